@@ -1,6 +1,6 @@
 """All registered queries: importing a query module registers what it holds."""
+from . import (change_queries, filter_queries, join_queries, merge_queries, page_queries,  # noqa: F401
+               report_queries, scalar_queries, scoring_queries, source_queries, stream_queries)
 from .registry import ORACLE, QUERIES
-from . import (filter_queries, page_queries, report_queries, scalar_queries,  # noqa: F401
-               scoring_queries)
 
 __all__ = ["ORACLE", "QUERIES"]

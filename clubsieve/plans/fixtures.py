@@ -133,7 +133,11 @@ SELECT s AS site_id, i AS position, source_url, discovered_url, anchor_text FROM
       WHEN 3 THEN concat('https://site-', o_orderkey // 200, '.com/rules.pdf')
       ELSE concat('https://shop.site-', o_orderkey // 200, '.com/cart') END,
     CASE o_orderkey % 5 WHEN 0 THEN 'Home' WHEN 1 THEN 'Our league on social' WHEN 2 THEN 'Login' WHEN 3 THEN 'Rules' ELSE 'Cart' END
-  FROM {orders} WHERE o_orderkey % 200 > 0)""",
+  FROM {orders} WHERE o_orderkey % 200 > 0
+  UNION ALL
+  SELECT o_orderkey // 200, 900, concat('https://www.site-', o_orderkey // 200, '.com/'),
+    concat('https://site-', o_orderkey // 200, '.com/login/map'), 'League venue'
+  FROM {orders} WHERE o_orderkey % 200 = 0)""",
     "site_pages": """
 SELECT o_orderkey // 200 AS site_id,
   CASE WHEN o_orderkey % 200 = 0 THEN concat('https://www.site-', o_orderkey // 200, '.com/')
@@ -189,6 +193,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str, *names: str) -> str:
     """The oracle query with the views it needs as WITH clauses."""
     ordered: list[str] = []
+    start = "WITH RECURSIVE " if "RECURSIVE" in names else "WITH "
+    names = tuple(n for n in names if n != "RECURSIVE")
 
     def add(n):
         for d in NEEDS.get(n, ()):
@@ -206,5 +212,5 @@ def with_views(sql: str, *names: str) -> str:
         parts.append(f"{n} AS ({body})")
     sql = sql.strip()
     if parts and sql.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + sql[5:]
-    return ("WITH " + ",\n".join(parts) + "\n" + sql) if parts else sql
+        return start + ",\n".join(parts) + ",\n" + sql[5:]
+    return (start + ",\n".join(parts) + "\n" + sql) if parts else sql

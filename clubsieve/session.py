@@ -45,3 +45,9 @@ def enable_checkpoints(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder unless the context already has one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def settle(df):
+    """The frame as a reliable checkpoint: it is computed once and survives lost executors."""
+    enable_checkpoints(df.sparkSession)
+    return df.checkpoint()
