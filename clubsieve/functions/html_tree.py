@@ -22,13 +22,18 @@ class Node:
     start: int
     children: list = field(default_factory=list)
     end: int = -1
-    source: str = ""
+    html: str = ""
 
     @property
     def text(self) -> str:
         """Stripped pieces of text, joined without a space."""
         return "".join(c.strip() if isinstance(c, str) else c.text for c in self.children)
 
+    def source(self, longest: int) -> str:
+        """The start of the element's own HTML."""
+        stop = self.start + longest
+        return self.html[self.start:min(self.end, stop) if self.end >= 0 else stop]
+
     @property
     def raw_text(self) -> str:
         return "".join(c if isinstance(c, str) else c.raw_text for c in self.children)
@@ -70,7 +75,7 @@ class _Builder(HTMLParser):
             self._shut(self.here, at)
             if tag == "tr" and self.here.tag == "tr":
                 self._shut(self.here, at)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.here, at)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.here, at, html=self.html)
         self.here.children.append(node)
         if tag not in VOID:
             self.here = node
@@ -88,10 +93,7 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Node:
-    b = _Builder(html or "")
-    for n in b.root.walk():
-        n.source = b.html[n.start:n.end if n.end >= 0 else None]
-    return b.root
+    return _Builder(html or "").root
 
 
 def elements(html: str | None, tags: set[str]) -> list[Node]:

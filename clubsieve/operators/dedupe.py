@@ -20,37 +20,61 @@ def _same_fields(a: tuple, b: tuple) -> int:
     return sum(x is None or y is None or x == y for x, y in zip(a, b))
 
 
-def _pair_runs(runs: pd.DataFrame) -> pd.DataFrame:
+def walk_sorted(df: DataFrame, keys: list[str], order: list, walk, schema: str) -> DataFrame:
+    """Runs a sequential walk per group over rows that arrive sorted.
+
+    Rows stream through in Arrow batches, so a group is never held as a whole; `walk(key)` gives
+    an object whose step(row) returns output rows, and which holds what it must remember.
+    """
+    columns = df.columns
+    names = [part.split()[0] for part in schema.split(", ")]
+    at = [columns.index(k) for k in keys]
+
+    def run(batches):
+        current, walker = None, None
+        for pdf in batches:
+            out = []
+            for row in zip(*[pdf[c].tolist() for c in columns]):
+                key = tuple(row[i] for i in at)
+                if key != current:
+                    current, walker = key, walk(key)
+                out.extend(walker.step(dict(zip(columns, row))))
+            yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+class PairWalk:
     """Greedy pairing of one URL, run by run.
 
     A run is a stretch of equal keys in walking order. Of the records left open so far at most
     one has a given key (a second would have paired with it), so the open list stays short. A run
     first serves the open records it matches, oldest first, then pairs up within itself.
     """
-    runs = runs.sort_values(["score", "key_text"], ascending=[False, True])
-    fields = [tuple(None if pd.isna(x) else x for x in r) for r in runs[[f"f{i}" for i in range(len(fv.SIX_KEY_FIELDS))]].itertuples(index=False)]
-    open_records: list[tuple[tuple, int, str, int]] = []
-    out = []
-    for key, score, sig, n in zip(fields, runs["score"], runs["key_text"], runs["n"]):
+
+    def __init__(self, key):
+        self.url = key[0]
+        self.open: list[tuple[tuple, int, str, int]] = []
+
+    def step(self, run):
+        key = tuple(run[f"f{i}"] for i in range(len(fv.SIX_KEY_FIELDS)))
+        score, text, n = run["score"], run["key_text"], run["n"]
         taken, still_open = 0, []
-        for other in open_records:
+        for other in self.open:
             agree = _same_fields(other[0], key) if taken < n else 0
             if agree >= fv.DUPLICATE_REVIEW_FROM:
-                out.append((other[1], other[2], other[3], score, sig, taken, 1, agree))
+                yield (self.url, *other[1:], score, text, taken, 1, agree)
                 taken += 1
             else:
                 still_open.append(other)
-        open_records = still_open
+        self.open = still_open
         pairs = (n - taken) // 2
         if pairs:
-            out.append((score, sig, taken, score, sig, taken + 1, pairs, len(key)))
+            yield (self.url, score, text, taken, score, text, taken + 1, pairs, len(key))
         if (n - taken) % 2:
-            open_records.append((key, score, sig, n - 1))
-    url = runs["url"].iloc[0]
-    return pd.DataFrame([(url, *r) for r in out], columns=PAIR_COLUMNS)
+            self.open.append((key, score, text, n - 1))
 
 
-PAIR_COLUMNS = ["url", "keep_score", "keep_key", "keep_rank", "archive_score", "archive_key", "archive_rank", "pairs", "matched"]
 PAIR_SCHEMA = ("url string, keep_score int, keep_key string, keep_rank bigint, archive_score int, archive_key string, "
                "archive_rank bigint, pairs bigint, matched int")
 
@@ -71,7 +95,7 @@ def duplicate_pairs(df: DataFrame, url: str = "url_scraped") -> DataFrame:
     run = ["url", "score", "key_text"]
     parts = rows.groupBy(*run, "bucket").agg(F.count("*").alias("n"), *[F.first(f).alias(f) for f in fs])
     runs = parts.groupBy(*run).agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in fs])
-    plan = runs.groupBy("url").applyInPandas(_pair_runs, PAIR_SCHEMA)
+    plan = walk_sorted(runs, ["url"], [F.desc("score"), "key_text"], PairWalk, PAIR_SCHEMA)
 
     # Rank of a record in its run, from bucket offsets, so that no run is sorted in one task.
     before = Window.partitionBy(*run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +146,7 @@ def _overlap(a: list, b: list) -> int:
     return n
 
 
-def _assign(rows: pd.DataFrame) -> pd.DataFrame:
+class GroupWalk:
     """Group number of each distinct key of a block, in order of first appearance.
 
     A key joins the first group it matches; the group then takes over the fields it lacked.
@@ -130,32 +154,32 @@ def _assign(rows: pd.DataFrame) -> pd.DataFrame:
     sport with a single shared field. A key with too few fields does not even match its own
     copies: where it opens a group, only its first record is in it (solo).
     """
-    rows = rows.sort_values(["seq", "value"])
-    cols = [f"f{i}" for i in range(N_KEYS)]
-    groups: list[list] = []
-    firsts: list[tuple] = []
-    out = []
-    for rec in rows.to_dict("records"):
-        key = [None if pd.isna(rec[c]) else rec[c] for c in cols]
-        page, parent = rec["page"], rec["parent"] if isinstance(rec["parent"], str) else None
-        at = next((i for i, g in enumerate(groups) if _overlap(key, g) >= 3), None)
+
+    def __init__(self, key):
+        self.key = key
+        self.groups: list[list] = []
+        self.firsts: list[tuple] = []
+
+    def related(self, n: int, page, parent, sport) -> bool:
+        first_page, first_parent, first_sport = self.firsts[n]
+        linked = (parent is not None and parent == first_page) or (first_parent is not None and first_parent == page)
+        return linked and sport is not None and sport == first_sport
+
+    def step(self, rec):
+        key = [rec[f"f{i}"] for i in range(N_KEYS)]
+        page, parent = rec["page"], rec["parent"]
+        at = next((n for n, g in enumerate(self.groups) if _overlap(key, g) >= 3), None)
         if at is None:
-            for i, g in enumerate(groups):
-                first_page, first_parent, first_sport = firsts[i]
-                related = (parent is not None and parent == first_page) or (first_parent is not None and first_parent == page)
-                if related and key[1] is not None and key[1] == first_sport and _overlap(key, g) >= 1:
-                    at = i
-                    break
+            at = next((n for n, g in enumerate(self.groups)
+                       if self.related(n, page, parent, key[1]) and _overlap(key, g) >= 1), None)
         opened = at is None
         if opened:
-            groups.append(key)
-            firsts.append((page, parent, key[1]))
-            at = len(groups) - 1
+            at = len(self.groups)
+            self.groups.append(key)
+            self.firsts.append((page, parent, key[1]))
         else:
-            groups[at] = [g if g is not None else k for g, k in zip(groups[at], key)]
-        solo = opened and sum(k is not None for k in key) < 3
-        out.append((rec["block"], rec["fixed"], rec["value"], at, solo))
-    return pd.DataFrame(out, columns=["block", "fixed", "value", "group_no", "solo"])
+            self.groups[at] = [g if g is not None else k for g, k in zip(self.groups[at], key)]
+        yield (*self.key, rec["value"], at, opened and sum(k is not None for k in key) < 3)
 
 
 def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_scraped",
@@ -182,8 +206,8 @@ def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_sc
     distinct = rows.groupBy("block", "fixed", "value").agg(
         F.min("seq").alias("seq"), F.min_by("league_id", "seq").alias("first_id"),
         *[F.first(c).alias(c) for c in (*named, "page", "parent")])
-    answer = distinct.drop("first_id").groupBy("block", "fixed").applyInPandas(
-        _assign, "block string, fixed string, value string, group_no int, solo boolean")
+    answer = walk_sorted(distinct.drop("first_id"), ["block", "fixed"], ["seq", "value"], GroupWalk,
+                         "block string, fixed string, value string, group_no int, solo boolean")
     answer = answer.join(distinct.select("block", "fixed", "value", "first_id"), ["block", "fixed", "value"])
     members = rows.select("league_id", "block", "fixed", "value").join(answer, ["block", "fixed", "value"]).withColumn(
         "alone", F.col("solo") & (F.col("league_id") != F.col("first_id")))

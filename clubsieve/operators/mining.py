@@ -54,7 +54,7 @@ def element_rows(pages: DataFrame) -> DataFrame:
 
     def parse(batches):
         for pdf in batches:
-            rows = [(pid, i, e.tag, e.text, e.source[:500])
+            rows = [(pid, i, e.tag, e.text, e.source(500))
                     for pid, html in zip(pdf["page_id"], pdf["html"])
                     for i, e in enumerate(html_tree.elements(html, set(fv.ELEMENT_TAG_WEIGHTS)))]
             yield pd.DataFrame(rows, columns=["page_id", "element_order", "tag", "text", "snippet"])
