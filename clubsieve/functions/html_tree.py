@@ -8,6 +8,8 @@ import json
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+from . import fixed_values as fv
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # A new one of these closes an open one of the same set first, as browsers do.
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -96,8 +98,8 @@ def parse(html: str | None) -> Node:
     return _Builder(html or "").root
 
 
-def elements(html: str | None, tags: set[str]) -> list[Node]:
-    return [n for n in parse(html).walk() if n.tag in tags]
+def elements(root: Node, tags: set[str]) -> list[Node]:
+    return [n for n in root.walk() if n.tag in tags]
 
 
 @dataclass
@@ -108,10 +110,10 @@ class Table:
     text: str
 
 
-def tables(html: str | None) -> list[Table]:
+def tables(root: Node) -> list[Table]:
     """Headers from thead or from a first row with th cells; data rows with any filled cell."""
     out = []
-    for t in parse(html).find("table"):
+    for t in root.find("table"):
         rows = t.find("tr")
         if not rows:
             continue
@@ -159,3 +161,31 @@ def flatten(tree: str) -> list[tuple]:
     parsed = json.loads(tree)
     visit(parsed if isinstance(parsed, list) else [parsed], "0")
     return out
+
+
+def sibling_label(siblings: list[dict], skip: int) -> str:
+    """Name of the first heading beside a node, else of the first short telling neighbour."""
+    others = [n for i, n in enumerate(siblings) if i != skip]
+    named = [(n.get("role") or "", (n.get("name") or "").strip()) for n in others]
+    heading = next((t for role, t in named if role in ("h1", "h2", "h3", "h4", "h5", "h6") and t), "")
+    return heading or next((t for _, t in named if 3 < len(t) < 60 and t.lower() not in fv.GENERIC_ANCHORS), "")
+
+
+def tree_links(tree: str) -> list[tuple[str, str, str]]:
+    """(path, anchor text, url) of the links of a tree, generic anchors named by their surroundings."""
+    out = []
+
+    def visit(nodes, path, above):
+        for i, n in enumerate(nodes):
+            here, around = f"{path}.{i}", [(nodes, i), *above]
+            text, url = (n.get("name") or "").strip(), (n.get("url") or "").strip()
+            if n.get("role") in ("a", "link") and text and url:
+                if text.lower() in fv.GENERIC_ANCHORS:
+                    label = next(filter(None, (sibling_label(*level) for level in around[:3])), "")
+                    text = f"{label} - {text}" if label else text
+                out.append((here, text, url))
+            visit(n.get("children") or [], here, around)
+
+    parsed = json.loads(tree)
+    visit(parsed if isinstance(parsed, list) else [parsed], "0", [])
+    return out

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, keys
+from ..session import settle
 from .merge import merge_groups
 
 RANK_BUCKETS = 256
@@ -95,7 +96,7 @@ def duplicate_pairs(df: DataFrame, url: str = "url_scraped") -> DataFrame:
     run = ["url", "score", "key_text"]
     parts = rows.groupBy(*run, "bucket").agg(F.count("*").alias("n"), *[F.first(f).alias(f) for f in fs])
     runs = parts.groupBy(*run).agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in fs])
-    plan = walk_sorted(runs, ["url"], [F.desc("score"), "key_text"], PairWalk, PAIR_SCHEMA)
+    plan = settle(walk_sorted(runs, ["url"], [F.desc("score"), "key_text"], PairWalk, PAIR_SCHEMA))
 
     # Rank of a record in its run, from bucket offsets, so that no run is sorted in one task.
     before = Window.partitionBy(*run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,7 +148,7 @@ def _overlap(a: list, b: list) -> int:
 
 
 class GroupWalk:
-    """Group number of each distinct key of a block, in order of first appearance.
+    """Group of each distinct key of a block, in order of first appearance, named by its first record.
 
     A key joins the first group it matches; the group then takes over the fields it lacked.
     Failing that, a page that is parent or child of the group's first page may join on the same
@@ -159,6 +160,7 @@ class GroupWalk:
         self.key = key
         self.groups: list[list] = []
         self.firsts: list[tuple] = []
+        self.heads: list[int] = []
 
     def related(self, n: int, page, parent, sport) -> bool:
         first_page, first_parent, first_sport = self.firsts[n]
@@ -177,9 +179,10 @@ class GroupWalk:
             at = len(self.groups)
             self.groups.append(key)
             self.firsts.append((page, parent, key[1]))
+            self.heads.append(rec["first_id"])
         else:
             self.groups[at] = [g if g is not None else k for g, k in zip(self.groups[at], key)]
-        yield (*self.key, rec["value"], at, opened and sum(k is not None for k in key) < 3)
+        yield (*self.key, rec["value"], self.heads[at], opened and sum(k is not None for k in key) < 3)
 
 
 def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_scraped",
@@ -206,14 +209,11 @@ def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_sc
     distinct = rows.groupBy("block", "fixed", "value").agg(
         F.min("seq").alias("seq"), F.min_by("league_id", "seq").alias("first_id"),
         *[F.first(c).alias(c) for c in (*named, "page", "parent")])
-    answer = walk_sorted(distinct.drop("first_id"), ["block", "fixed"], ["seq", "value"], GroupWalk,
-                         "block string, fixed string, value string, group_no int, solo boolean")
-    answer = answer.join(distinct.select("block", "fixed", "value", "first_id"), ["block", "fixed", "value"])
-    members = rows.select("league_id", "block", "fixed", "value").join(answer, ["block", "fixed", "value"]).withColumn(
-        "alone", F.col("solo") & (F.col("league_id") != F.col("first_id")))
-    heads = members.filter(~F.col("alone")).groupBy("block", "fixed", "group_no").agg(F.min("league_id").alias("group_id"))
-    return members.join(heads, ["block", "fixed", "group_no"], "left").select(
-        "league_id", F.when(F.col("alone"), F.col("league_id")).otherwise(F.col("group_id")).alias("group_id"))
+    answer = walk_sorted(distinct, ["block", "fixed"], ["seq", "value"], GroupWalk,
+                         "block string, fixed string, value string, group_id bigint, solo boolean")
+    members = rows.select("league_id", "block", "fixed", "value").join(answer, ["block", "fixed", "value"])
+    alone = F.col("solo") & (F.col("league_id") != F.col("group_id"))
+    return members.select("league_id", F.when(alone, F.col("league_id")).otherwise(F.col("group_id")).alias("group_id"))
 
 
 def deduplicate(df: DataFrame, parent_map: DataFrame | None = None, **options) -> DataFrame:

@@ -2,7 +2,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, html_tree, links as link_rules, pages as page_rules, urls
 from ..functions.text import has_any
@@ -48,32 +49,61 @@ def navigation_links(links: DataFrame, min_score: int | None = 100) -> DataFrame
     return out if min_score is None else out.filter(F.col("score") >= min_score)
 
 
-def element_rows(pages: DataFrame) -> DataFrame:
-    """Scored-element candidates: one row per element of the weighted tags, in page order."""
-    schema = "page_id bigint, element_order int, tag string, text string, snippet string"
+ELEMENTS = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("snippet", pa.string())]))
+TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
+                             ("row_count", pa.int32()), ("text", pa.string())]))
+
+
+def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True) -> DataFrame:
+    """Per page the weighted elements in page order and the tables, from one parse in Arrow batches.
+
+    Everything after it works on these arrays in place: no shuffle, however large a site is.
+    """
+    schema = ("page_id bigint, url string, "
+              "elements array<struct<tag: string, text: string, snippet: string>>, "
+              "tables array<struct<headers: array<string>, rows: array<array<string>>, row_count: int, text: string>>")
+
+    def elements_of(root):
+        return [{"tag": e.tag, "text": e.text, "snippet": e.source(500)}
+                for e in html_tree.elements(root, set(fv.ELEMENT_TAG_WEIGHTS))]
+
+    def tables_of(root):
+        return [{"headers": t.headers, "rows": t.rows, "row_count": t.row_count, "text": t.text} for t in html_tree.tables(root)]
 
     def parse(batches):
-        for pdf in batches:
-            rows = [(pid, i, e.tag, e.text, e.source(500))
-                    for pid, html in zip(pdf["page_id"], pdf["html"])
-                    for i, e in enumerate(html_tree.elements(html, set(fv.ELEMENT_TAG_WEIGHTS)))]
-            yield pd.DataFrame(rows, columns=["page_id", "element_order", "tag", "text", "snippet"])
+        for batch in batches:
+            roots = [html_tree.parse(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id").cast(pa.int64()), batch.column("url"),
+                 pa.array([elements_of(r) if elements else [] for r in roots], ELEMENTS),
+                 pa.array([tables_of(r) if tables else [] for r in roots], TABLES)],
+                names=["page_id", "url", "elements", "tables"])
 
-    return pages.select("page_id", "html").mapInPandas(parse, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
+
+
+def best_elements(elements: Column, longest: int = 20) -> Column:
+    """The elements with a keyword, weighted by their first keyword and their tag, best first."""
+    def weigh(e, order):
+        text = F.lower(e["text"])
+        first = F.coalesce(*[F.when(text.contains(w), F.struct(F.lit(w).alias("keyword"), F.lit(x).alias("weight")))
+                             for w, x in fv.ELEMENT_WORD_WEIGHTS.items()])
+        tag_weight = F.coalesce(*[F.when(e["tag"] == n, F.lit(x)) for n, x in fv.ELEMENT_TAG_WEIGHTS.items()])
+        score = first["weight"] * tag_weight
+        return F.when(F.length(e["text"]) >= 5, F.struct(
+            (-score).alias("minus_score"), order.alias("element_order"), e["tag"].alias("tag"),
+            F.substring(e["text"], 1, 200).alias("text"), first["keyword"].alias("keyword"), e["snippet"].alias("snippet")))
+
+    scored = F.filter(F.transform(elements, weigh), lambda e: e["minus_score"].isNotNull())
+    return F.slice(F.array_sort(scored), 1, longest)
 
 
 def scored_elements(pages: DataFrame, per_page: int = 20) -> DataFrame:
-    """Elements with their first keyword, weighted by keyword and tag; the best of each page."""
-    text = F.lower("text")
-    first = F.coalesce(*[F.when(text.contains(w), F.struct(F.lit(w).alias("keyword"), F.lit(x).alias("weight")))
-                         for w, x in fv.ELEMENT_WORD_WEIGHTS.items()])
-    tag_weight = F.coalesce(*[F.when(F.col("tag") == n, F.lit(x)) for n, x in fv.ELEMENT_TAG_WEIGHTS.items()])
-    rows = (element_rows(pages).filter(F.length("text") >= 5).withColumn("first", first)
-            .filter(F.col("first").isNotNull())
-            .select("page_id", "element_order", "tag", F.substring("text", 1, 200).alias("text"),
-                    F.col("first.keyword").alias("keyword"),
-                    (F.col("first.weight") * tag_weight).alias("score"), "snippet"))
-    return top_n(rows, "page_id", [F.desc("score"), "element_order"], per_page, "element_rank")
+    """The best elements of each page, one row each."""
+    best = F.posexplode(best_elements(F.col("elements"), per_page)).alias("i", "e")
+    return parse_pages(pages, tables=False).select("page_id", best).select(
+        "page_id", "e.element_order", "e.tag", "e.text", "e.keyword", (-F.col("e.minus_score")).alias("score"),
+        (F.col("i") + 1).alias("element_rank"), "e.snippet")
 
 
 def price_hints(elements: DataFrame) -> DataFrame:
@@ -84,33 +114,30 @@ def price_hints(elements: DataFrame) -> DataFrame:
                        F.concat_ws(".", "tag", "keyword").alias("source"))
 
 
+def with_data(tables: Column) -> Column:
+    return F.filter(tables, lambda t: F.size(t["rows"]) > 0)
+
+
 def page_tables(pages: DataFrame) -> DataFrame:
-    """One row per table with data: its headers, its non-empty rows and its row count in all."""
-    schema = ("page_id bigint, table_index int, headers array<string>, rows array<array<string>>, "
-              "row_count int, text string")
+    """One row per table with data, numbered on its page."""
+    return parse_pages(pages, elements=False).select("page_id", F.posexplode(with_data(F.col("tables"))).alias("table_index", "t")).select(
+        "page_id", "table_index", "t.headers", "t.rows", "t.row_count", "t.text")
 
-    def parse(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"]):
-                found = html_tree.tables(html)
-                rows += [(pid, i, t.headers, t.rows, t.row_count, t.text) for i, t in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["page_id", "table_index", "headers", "rows", "row_count", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(parse, schema)
+def list_confidence(groups: Column) -> Column:
+    return F.round(F.least(0.5 + groups * 0.15, F.lit(0.95)), 2)
 
 
-def data_tables(tables: DataFrame) -> DataFrame:
-    """Tables with data rows, renumbered on their page."""
-    return tables.filter(F.size("rows") > 0)
+def is_listing_table(t: Column) -> Column:
+    """At least two rows, and columns of at least two of the four kinds."""
+    return (F.size(t["headers"]) > 0) & (F.size(t["rows"]) >= 2) & (page_rules.header_groups(t["headers"]) >= 2)
 
 
 def listing_tables(tables: DataFrame) -> DataFrame:
-    """Tables that list records: at least two rows and columns of at least two of four kinds."""
-    groups = page_rules.header_groups(F.col("headers"))
-    return (data_tables(tables).filter((F.size("headers") > 0) & (F.size("rows") >= 2))
-            .withColumn("groups", groups).filter(F.col("groups") >= 2)
-            .withColumn("confidence", F.round(F.least(0.5 + F.col("groups") * 0.15, F.lit(0.95)), 2)))
+    """Tables that list records, with the confidence of that reading."""
+    whole = F.struct("headers", "rows")
+    return tables.filter(is_listing_table(whole)).withColumn(
+        "confidence", list_confidence(page_rules.header_groups(F.col("headers"))))
 
 
 def listing_rows(tables: DataFrame) -> DataFrame:
@@ -123,11 +150,15 @@ def listing_rows(tables: DataFrame) -> DataFrame:
                                       F.slice("cells", F.lit(1), cut("cells"))).alias("record")))
 
 
-def table_count_hints(tables: DataFrame) -> DataFrame:
-    """Team counts read off the number of rows of standings-like tables."""
-    n = F.col("row_count") - 1
-    return (tables.filter(has_any(F.lower("text"), fv.STANDINGS_TABLE_WORDS) & n.between(1, 50))
-            .select("page_id", F.lit("standings_table").alias("source"), n.alias("count"), F.lit(0.85).alias("confidence")))
+def counts_team_rows(t: Column) -> Column:
+    return has_any(F.lower(t["text"]), fv.STANDINGS_TABLE_WORDS) & (t["row_count"] - 1).between(1, 50)
+
+
+def table_count_hints(pages: DataFrame) -> DataFrame:
+    """Team counts read off the number of rows of standings-like tables, header excluded."""
+    hits = F.explode(F.filter("tables", counts_team_rows)).alias("t")
+    return parse_pages(pages, elements=False).select("page_id", hits).select(
+        "page_id", F.lit("standings_table").alias("source"), (F.col("t.row_count") - 1).alias("count"), F.lit(0.85).alias("confidence"))
 
 
 def text_count_hints(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -136,23 +167,27 @@ def text_count_hints(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def context_bundle(pages: DataFrame) -> DataFrame:
-    """Per page: type, three tables of five rows, price, count and list hints as one nested row."""
-    tables = page_tables(pages)
-    shown = lambda frame, name, *cols: frame.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
-    data = top_n(data_tables(tables), "page_id", ["table_index"], 3)
-    out = page_types(pages).select("page_id", "page_type", F.col("confidence").alias("page_confidence"))
-    parts = (
-        shown(data, "tables", "table_index", "headers", F.slice("rows", 1, 5).alias("rows")),
-        shown(price_hints(scored_elements(pages)), "price_hints", "element_order", "n", "kind", "value", "source"),
-        shown(table_count_hints(tables).unionByName(
-            text_count_hints(pages.select("page_id", page_rules.strip_tags(F.col("html"), "").alias("text")))),
-            "count_hints", "source", "count", "confidence"),
-        shown(listing_tables(tables), "list_hints", "table_index", "headers", "rows", "confidence"),
-    )
-    for p in parts:
-        out = out.join(p, "page_id", "left")
-    return out
+    """Per page: type, three tables of five rows, price, count and list hints as nested columns."""
+    hint = lambda source, n, c: F.struct(F.lit(source).alias("source"), n.alias("count"), F.lit(c).alias("confidence"))
+    types = pages.select("page_id", "url", page_rules.page_type_text(F.col("html")).alias("page_text"))
+    parsed = parse_pages(pages).withColumns({"data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
+    numbered = F.transform("data", lambda t, i: F.struct(i.alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"), page_rules.header_groups(t["headers"]).alias("groups")))
+    priced = F.filter("best", lambda e: e["keyword"].isin(*fv.PRICE_WORDS))
+    prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(e["text"]), lambda v: F.struct(
+        page_rules.price_kind(e["text"]).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
+    hints = parsed.select(
+        "page_id", F.transform(F.slice("data", 1, 3), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, 5).alias("rows"))).alias("tables"),
+        prices.alias("price_hints"),
+        F.transform(F.filter("tables", counts_team_rows), lambda t: hint("standings_table", t["row_count"] - 1, 0.85)).alias("table_counts"),
+        F.transform(F.filter(numbered, is_listing_table), lambda t: F.struct(
+            t["table_index"].alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"),
+            list_confidence(t["groups"]).alias("confidence"))).alias("list_hints"))
+    kind = page_rules.page_type(F.col("url"), F.col("page_text"))
+    typed = types.select("page_id", kind.alias("kind"), F.transform(
+        page_rules.team_counts(F.col("page_text")), lambda n: hint("text_mention", n, 0.7)).alias("text_counts"))
+    return typed.join(hints, "page_id").select(
+        "page_id", F.col("kind.page_type").alias("page_type"), F.col("kind.confidence").alias("page_confidence"), "tables", "price_hints",
+        F.concat("table_counts", "text_counts").alias("count_hints"), "list_hints")
 
 
 def link_contexts(pages: DataFrame) -> DataFrame:
@@ -194,30 +229,12 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
 def tree_links(trees: DataFrame) -> DataFrame:
     """Links of the trees; a generic anchor takes the nearest heading or label among its
     siblings, then among those of its ancestors, three levels in all."""
-    nodes = tree_nodes(trees)
-    blank = F.coalesce(F.col("name"), F.lit(""))
-    label = F.trim(blank)
-    links = nodes.filter(F.col("role").isin("a", "link") & (F.trim(F.coalesce("url", F.lit(""))) != "") & (label != "")).select(
-        "page_id", "path", "parent", "sibling", label.alias("anchor_text"), F.trim("url").alias("url"))
-    headings = nodes.withColumn("label", label).withColumn(
-        "rank", F.when(F.col("role").rlike("^h[1-6]$") & (F.col("label") != ""), 1).when(
-            (F.length("label") > 3) & (F.length("label") < 60) & ~F.lower("label").isin(*fv.GENERIC_ANCHORS), 2)
-    ).filter(F.col("rank").isNotNull())
-    # The two best labels of a sibling list are enough: at most one is the node itself.
-    best = top_n(headings, ["page_id", "parent"], ["rank", "sibling"], 2).groupBy("page_id", "parent").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "sibling", "label"))).alias("labels"))
-    generic = links.filter(F.lower("anchor_text").isin(*fv.GENERIC_ANCHORS))
-    steps = F.split("path", r"\.")
-    levels = F.explode(F.sequence(F.lit(0), F.least(F.lit(2), F.size(steps) - 2)))
-    up = (generic.select("page_id", "path", levels.alias("up"))
-          .withColumn("parent", F.array_join(F.slice(F.split("path", r"\."), F.lit(1), F.size(F.split("path", r"\.")) - 1 - F.col("up")), "."))
-          .withColumn("self", F.element_at(F.split("path", r"\."), -(F.col("up") + 1)).cast("int")))
-    named = (up.join(best, ["page_id", "parent"])
-             .withColumn("pick", F.get(F.filter("labels", lambda x: x["sibling"] != F.col("self")), F.lit(0)))
-             .filter(F.col("pick").isNotNull()).groupBy("page_id", "path")
-             .agg(F.min_by("pick.label", "up").alias("context")))
-    text = F.when(F.col("context").isNotNull(), F.concat_ws(" - ", "context", "anchor_text")).otherwise(F.col("anchor_text"))
-    return links.join(named, ["page_id", "path"], "left").select("page_id", "path", text.alias("anchor_text"), "url")
+    def parse(batches):
+        for pdf in batches:
+            rows = [(pid, *link) for pid, tree in zip(pdf["page_id"], pdf["tree"]) for link in html_tree.tree_links(tree)]
+            yield pd.DataFrame(rows, columns=["page_id", "path", "anchor_text", "url"])
+
+    return trees.select("page_id", "tree").mapInPandas(parse, "page_id bigint, path string, anchor_text string, url string")
 
 
 def role_histogram(nodes: DataFrame, limit: int = 10) -> DataFrame:

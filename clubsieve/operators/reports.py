@@ -84,14 +84,14 @@ def venue_progress(listings: DataFrame, venues: DataFrame) -> DataFrame:
     """Distinct venue names in total, enriched and pending, and the venues to review."""
     named = listings.filter(F.col("venue_name").isNotNull())
     names = named.groupBy("venue_name").agg(F.max(F.col("venue_id").isNotNull()).alias("linked"))
-    left = names.agg(F.count("*").alias("total"), F.count_if("linked").alias("enriched"))
-    review = venues.agg(F.count_if(~F.col("manually_verified") & (
+    left = names.agg(F.count("*").alias("total"), F.count_if("linked").alias("enriched"), F.lit(0).cast("bigint").alias("needs_review"))
+    none = F.lit(0).cast("bigint")
+    review = venues.agg(none.alias("total"), none.alias("enriched"), F.count_if(~F.col("manually_verified") & (
         F.col("confidence_score") < fv.VENUE_SAVE_FROM)).alias("needs_review"))
-    one_row = F.lit(1).alias("one")
-    return (left.select("*", one_row).join(review.select("*", one_row), "one")
-            .select("total", "enriched",
-                    F.greatest(F.col("total") - F.col("enriched"), F.lit(0)).alias("pending"),
-                    "needs_review"))
+    total, enriched = F.sum("total"), F.sum("enriched")
+    return left.unionByName(review).agg(total.alias("total"), enriched.alias("enriched"),
+                                        F.greatest(total - enriched, F.lit(0)).alias("pending"),
+                                        F.sum("needs_review").alias("needs_review"))
 
 
 def unlinked_venue_names(listings: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ SELECT l_orderkey AS page_id, 0 AS table_index, 'Day|Venue|Player fee' AS header
     ORDER BY l_linenumber, l_suppkey, l_quantity) AS cells FROM lineitem GROUP BY l_orderkey""")
 def _(t):
     rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";")
-    return mining.data_tables(mining.page_tables(table_pages(t))).select(
+    return mining.page_tables(table_pages(t)).select(
         "page_id", "table_index", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("data_rows"), rows.alias("cells"))
 
 
@@ -164,8 +164,8 @@ def _(t):
 @query("h8_team_counts_in_tables", """
 SELECT l_orderkey AS page_id, count(*) AS count FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 50""")
 def _(t):
-    tables = mining.page_tables(table_pages(t)).withColumn("text", F.concat("text", F.lit(" team")))
-    return mining.table_count_hints(tables).select("page_id", "count")
+    pages = table_pages(t).withColumn("html", F.replace("html", F.lit("<th>Day</th>"), F.lit("<th>Day of Team</th>")))
+    return mining.table_count_hints(pages).select("page_id", "count")
 
 
 @query("h9_listing_tables", """
