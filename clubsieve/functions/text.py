@@ -32,14 +32,23 @@ def truthy(c: Column, dtype: str) -> Column:
     return F.coalesce(c != 0, F.lit(False))
 
 
+def quoted(word: str) -> str:
+    """The word as a pattern that only matches itself."""
+    return re.escape(word).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\$", "[$]")
+
+
 def any_of(words) -> str:
-    """A pattern that finds any of the words as plain substrings."""
-    return "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\$", "[$]")
-                    for w in words)
+    """A pattern that finds any of the words, grouped by first letter so that most positions of a
+    text are ruled out by one character."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(quoted(w[1:]))
+    return "|".join(f"{quoted(c)}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
 
 
 def has_any(c: Column, words) -> Column:
-    return c.rlike(any_of(words))
+    """Whether any of the words occurs as a substring; words that hold another one are not needed."""
+    return c.rlike(any_of([w for w in dict.fromkeys(words) if not any(v != w and v in w for v in words)]))
 
 
 def hits(c: Column, words) -> Column:

@@ -74,17 +74,15 @@ def url_path(c: Column) -> Column:
 
 
 def city_from_url(c: Column) -> Column:
-    """City of the first path segment that is a known slug or starts with one and a hyphen."""
-    slugs = F.array(*[F.struct(F.lit(s).alias("slug"), F.lit(n).alias("city"))
-                      for s, n in fv.CITY_BY_SLUG.items()])
-    segments = F.filter(F.split(F.lower(path(with_scheme(c))), "/"), lambda s: s != "")
+    """City of the first path segment that is a known slug or starts with one and a hyphen.
 
-    def city_of(segment):
-        exact = F.filter(slugs, lambda e: e["slug"] == segment)
-        longer = F.filter(slugs, lambda e: F.startswith(segment, F.concat(e["slug"], F.lit("-"))))
-        return F.coalesce(F.get(exact, F.lit(0))["city"], F.get(longer, F.lit(0))["city"])
-
-    return F.get(F.array_compact(F.transform(segments, city_of)), F.lit(0))
+    One pattern finds the slug: a whole segment comes before a start of one, and slugs are tried
+    in the order of the table.
+    """
+    slugs = "|".join(fv.CITY_BY_SLUG)
+    slug = F.regexp_extract(F.lower(path(with_scheme(c))), f"/((?:{slugs})(?=/|$)|(?:{slugs})(?=-))", 1)
+    cities = F.create_map(*[F.lit(x) for pair in fv.CITY_BY_SLUG.items() for x in pair])
+    return F.when(slug != "", F.try_element_at(cities, slug))
 
 
 def org_name(url: Column, title: Column) -> Column:

@@ -12,11 +12,15 @@ OUTPUT = ["start", "url", "parent", "depth", "score", "page_type", "action", "fo
 
 
 def edges_of(links: DataFrame) -> DataFrame:
-    """Links in normal form with their navigation score; files are left out."""
+    """Links in normal form; files are left out."""
     url = urls.normalize_url(F.col("discovered_url"))
-    return (links.select(urls.normalize_url(F.col("source_url")).alias("parent"), "position", url.alias("url"), "anchor_text")
-            .filter(urls.is_fetchable(F.col("url")))
-            .withColumn("score", link_rules.navigation_score(F.col("url"), F.col("anchor_text"))))
+    return links.filter(urls.is_fetchable(F.substring_index("discovered_url", "#", 1))).select(
+        urls.normalize_url(F.col("source_url")).alias("parent"), "position", url.alias("url"), "anchor_text")
+
+
+def with_score(edges: DataFrame) -> DataFrame:
+    """The navigation score, computed only for links that a join has kept."""
+    return edges.withColumn("score", link_rules.navigation_score(F.col("url"), F.col("anchor_text")))
 
 
 def band(score: Column) -> Column:
@@ -58,7 +62,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
                                       "score": F.lit(None).cast("int"), "action": F.lit("collect"), "follow": F.lit(True)})
                    .join(types, "url", "left").select(*OUTPUT))
 
-    on_home = settle(first.select("start", F.col("url").alias("parent")).join(edges, "parent"))
+    on_home = settle(with_score(first.select("start", F.col("url").alias("parent")).join(edges, "parent")))
     home = on_home.filter(urls.same_site(F.col("url"), F.col("start"))).select("start", "url").distinct()
     primary = on_home.filter((F.col("score") >= min_score) & (F.col("url") != F.col("start")))
     level = settle(decide(best_row(primary, ["start", "url"], F.struct(F.col("score"), -F.col("position"))), types, True, 1))
@@ -71,7 +75,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
                  .filter(urls.same_site(F.col("url"), F.col("start")))
                  .join(visited, ["start", "url"], "left_anti").join(home, ["start", "url"], "left_anti"))
         once = best_row(found, ["start", "parent", "url"], F.col("position"), lowest=True)
-        kept = top_n(once, ["start", "parent"], ["position", "url"], children).filter("score >= 0")
+        kept = with_score(top_n(once, ["start", "parent"], ["position", "url"], children)).filter("score >= 0")
         chosen = best_row(kept, ["start", "url"], F.struct("parent", "position"), lowest=True)
         level = settle(decide(chosen, types, False, depth))
         levels.append(level)
@@ -84,7 +88,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
 def home_links(starts: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the start pages with score, type and category."""
     start = starts.select(urls.normalize_url(F.col("start_url")).alias("start")).distinct()
-    on_home = start.withColumn("parent", F.col("start")).join(edges_of(links), "parent")
+    on_home = with_score(start.withColumn("parent", F.col("start")).join(edges_of(links), "parent"))
     kind = link_rules.link_type(F.col("url"), F.col("anchor_text"))
     return on_home.withColumn("page_type", kind).withColumn(
         "field_category", link_rules.link_category(F.col("anchor_text"), F.col("page_type")))

@@ -83,18 +83,20 @@ def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True) ->
 
 
 def best_elements(elements: Column, longest: int = 20) -> Column:
-    """The elements with a keyword, weighted by their first keyword and their tag, best first."""
-    def weigh(e, order):
-        text = F.lower(e["text"])
-        first = F.coalesce(*[F.when(text.contains(w), F.struct(F.lit(w).alias("keyword"), F.lit(x).alias("weight")))
-                             for w, x in fv.ELEMENT_WORD_WEIGHTS.items()])
-        tag_weight = F.coalesce(*[F.when(e["tag"] == n, F.lit(x)) for n, x in fv.ELEMENT_TAG_WEIGHTS.items()])
-        score = first["weight"] * tag_weight
-        return F.when(F.length(e["text"]) >= 5, F.struct(
-            (-score).alias("minus_score"), order.alias("element_order"), e["tag"].alias("tag"),
-            F.substring(e["text"], 1, 200).alias("text"), first["keyword"].alias("keyword"), e["snippet"].alias("snippet")))
-
-    scored = F.filter(F.transform(elements, weigh), lambda e: e["minus_score"].isNotNull())
+    """The elements with a keyword, weighted by their first keyword and their tag, best first.
+
+    Each step hands its result on as a field, so nothing is computed twice per element.
+    """
+    long_enough = F.filter(F.transform(elements, lambda e, i: F.struct(i.alias("i"), e.alias("e"), F.lower(e["text"]).alias("low"))),
+                           lambda x: F.length(x["low"]) >= 5)
+    keyword = lambda low: F.coalesce(*[F.when(low.contains(w), F.struct(F.lit(w).alias("keyword"), F.lit(x).alias("weight")))
+                                       for w, x in fv.ELEMENT_WORD_WEIGHTS.items()])
+    tag_weight = lambda tag: F.coalesce(*[F.when(tag == n, F.lit(x)) for n, x in fv.ELEMENT_TAG_WEIGHTS.items()])
+    found = F.filter(F.transform(long_enough, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), keyword(x["low"]).alias("k"))),
+                     lambda x: x["k"].isNotNull())
+    scored = F.transform(found, lambda x: F.struct(
+        (-(x["k"]["weight"] * tag_weight(x["e"]["tag"]))).alias("minus_score"), x["i"].alias("element_order"), x["e"]["tag"].alias("tag"),
+        F.substring(x["e"]["text"], 1, 200).alias("text"), x["k"]["keyword"].alias("keyword"), x["e"]["snippet"].alias("snippet")))
     return F.slice(F.array_sort(scored), 1, longest)
 
 

@@ -75,7 +75,7 @@ def queue_plan(results: DataFrame, queue: DataFrame, listings: DataFrame) -> Dat
 def queue_additions(results: DataFrame, queue: DataFrame, listings: DataFrame) -> DataFrame:
     """New queue rows from the valid results: anti joins, then one row per URL."""
     url = F.col("url_canonical")
-    valid = results.filter(F.col("priority").isNotNull())
+    valid = results.filter(F.col("is_valid")).select("result_id", "url_canonical", "organization_name", "priority")
     active = queue.filter(F.col("status").isin("PENDING", "IN_PROGRESS")).select(F.col("url").alias("url_canonical"))
     scraped = listings.select(F.col("url_scraped").alias("url_canonical"))
     new = valid.join(active, "url_canonical", "left_anti").join(scraped, "url_canonical", "left_anti")
