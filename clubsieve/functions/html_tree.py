@@ -13,6 +13,9 @@ from . import fixed_values as fv
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 # A new one of these closes an open one of the same set first, as browsers do.
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+# Blocks end an open paragraph.
+BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+          "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
 HIDDEN = {"script", "style"}
 
 
@@ -73,6 +76,8 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         at = self._at()
+        if tag in BLOCKS and self.here.tag == "p":
+            self._shut(self.here, at)
         if tag in CLOSES and self.here.tag in CLOSES[tag]:
             self._shut(self.here, at)
             if tag == "tr" and self.here.tag == "tr":

@@ -26,7 +26,7 @@ def merge_groups(df: DataFrame, group: list[str], sequence: str = "league_id") -
     merged = ranked.groupBy(*group).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in columns],
         F.count("*").alias("merged_records"))
-    present = sum((keys.known(F.col(f)).isNotNull().cast("int") for f in fv.KEY_FIELDS), F.lit(0))
+    present = sum((keys.known(F.col(f)).isNotNull().cast("int") for f in fv.KEY_FIELDS if f in df.columns), F.lit(0))
     return merged.withColumn("identifying_fields_pct", F.round(present * 100.0 / len(fv.KEY_FIELDS), 1))
 
 
