@@ -85,7 +85,8 @@ def page_category(url: Column, text: Column) -> Column:
     for order, (name, pattern) in enumerate(fv.CATEGORY_PATH_PATTERNS.items()):
         found = F.lit(0)
         for w in fv.CATEGORY_WORDS[name]:
-            found = found + F.regexp_count(text, F.lit(rf"\b{w}\b"))
+            # Most words are absent, which a plain search finds out far faster.
+            found = found + F.when(text.contains(w), F.regexp_count(text, F.lit(rf"\b{w}\b"))).otherwise(0)
         score = F.when(where.rlike(pattern), 70).otherwise(0) + F.least(F.lit(30), found * 5)
         scored.append(F.struct(score.alias("score"), F.lit(-order).alias("order"),
                                F.lit(name).alias("name")))

@@ -13,7 +13,8 @@ from ..functions import fixed_values as fv, keys
 from ..session import settle
 from .merge import merge_groups
 
-RANK_BUCKETS = 256
+# Ids of one bucket span this much, so a bucket of a run has at most so many records.
+ID_SPAN = 100_000
 
 
 def _same_fields(a: tuple, b: tuple) -> int:
@@ -92,7 +93,7 @@ def duplicate_pairs(df: DataFrame, url: str = "url_scraped") -> DataFrame:
     fs = [f"f{i}" for i in range(len(lowered))]
     # A null and an empty value must stay apart.
     sig = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fs])
-    rows = rows.withColumns({"key_text": sig, "bucket": F.pmod(F.xxhash64("league_id"), F.lit(RANK_BUCKETS))})
+    rows = rows.withColumns({"key_text": sig, "bucket": F.floor(F.col("league_id") / ID_SPAN)})
     run = ["url", "score", "key_text"]
     parts = rows.groupBy(*run, "bucket").agg(F.count("*").alias("n"), *[F.first(f).alias(f) for f in fs])
     runs = parts.groupBy(*run).agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in fs])
