@@ -50,31 +50,63 @@ class PairWalk:
     """Greedy pairing of one URL, run by run.
 
     A run is a stretch of equal keys in walking order. Of the records left open so far at most
-    one has a given key (a second would have paired with it), so the open list stays short. A run
-    first serves the open records it matches, oldest first, then pairs up within itself.
+    one has a given key (a second would have paired with it). A run first serves the open records
+    it matches, oldest first, then pairs up within itself. Four agreeing fields of six leave at
+    least one of three field pairs whole, so candidates come from an index on those pairs.
     """
 
     def __init__(self, key):
         self.url = key[0]
-        self.open: list[tuple[tuple, int, str, int]] = []
+        self.count = 0
+        self.open: dict[int, tuple] = {}
+        self.index: list[dict[tuple, set[int]]] = [{}, {}, {}]
+
+    def candidates(self, key):
+        """Open records that may match, oldest first; a null field agrees with every value."""
+        found: set[int] = set()
+        for n, places in enumerate(self.index):
+            a, b = key[2 * n: 2 * n + 2]
+            if a is not None and b is not None:
+                for pair in {(a, b), (a, None), (None, b), (None, None)}:
+                    found |= places.get(pair, set())
+            else:
+                for (x, y), serials in places.items():
+                    if (a is None or x is None or x == a) and (b is None or y is None or y == b):
+                        found |= serials
+        return sorted(found)
+
+    def add(self, entry):
+        self.open[self.count] = entry
+        for n, places in enumerate(self.index):
+            places.setdefault(entry[0][2 * n: 2 * n + 2], set()).add(self.count)
+        self.count += 1
+
+    def remove(self, serial):
+        entry = self.open.pop(serial)
+        for n, places in enumerate(self.index):
+            pair = entry[0][2 * n: 2 * n + 2]
+            places[pair].discard(serial)
+            if not places[pair]:
+                del places[pair]
 
     def step(self, run):
         key = tuple(run[f"f{i}"] for i in range(len(fv.SIX_KEY_FIELDS)))
         score, text, n = run["score"], run["key_text"], run["n"]
-        taken, still_open = 0, []
-        for other in self.open:
-            agree = _same_fields(other[0], key) if taken < n else 0
+        taken = 0
+        for serial in self.candidates(key):
+            if taken == n:
+                break
+            other = self.open[serial]
+            agree = _same_fields(other[0], key)
             if agree >= fv.DUPLICATE_REVIEW_FROM:
                 yield (self.url, *other[1:], score, text, taken, 1, agree)
+                self.remove(serial)
                 taken += 1
-            else:
-                still_open.append(other)
-        self.open = still_open
         pairs = (n - taken) // 2
         if pairs:
             yield (self.url, score, text, taken, score, text, taken + 1, pairs, len(key))
         if (n - taken) % 2:
-            self.open.append((key, score, text, n - 1))
+            self.add((key, score, text, n - 1))
 
 
 PAIR_SCHEMA = ("url string, keep_score int, keep_key string, keep_rank bigint, archive_score int, archive_key string, "
@@ -162,27 +194,51 @@ class GroupWalk:
         self.groups: list[list] = []
         self.firsts: list[tuple] = []
         self.heads: list[int] = []
-
-    def related(self, n: int, page, parent, sport) -> bool:
-        first_page, first_parent, first_sport = self.firsts[n]
-        linked = (parent is not None and parent == first_page) or (first_parent is not None and first_parent == page)
-        return linked and sport is not None and sport == first_sport
+        # Group numbers by field value, and the ones that lack the field.
+        self.having: list[dict] = [{} for _ in range(N_KEYS)]
+        self.lacking: list[set[int]] = [set() for _ in range(N_KEYS)]
+        self.by_page: dict = {}
+        self.by_parent: dict = {}
+
+    def candidates(self, key):
+        """Groups that may match, in order: a match has the key's value, or none, in every filled
+        field, so the field with the fewest such groups is enough."""
+        best = None
+        for f, v in enumerate(key):
+            if v is not None:
+                size = len(self.having[f].get(v, ())) + len(self.lacking[f])
+                if best is None or size < best[0]:
+                    best = (size, f, v)
+        return sorted(self.having[best[1]].get(best[2], set()) | self.lacking[best[1]]) if best else []
+
+    def relatives(self, page, parent, sport):
+        """Groups whose first page is the parent or a child of this page, with the same sport."""
+        linked = self.by_page.get(parent, set()) | self.by_parent.get(page, set()) if parent is not None else self.by_parent.get(page, set())
+        return [n for n in sorted(linked) if sport is not None and self.firsts[n] == sport]
 
     def step(self, rec):
         key = [rec[f"f{i}"] for i in range(N_KEYS)]
         page, parent = rec["page"], rec["parent"]
-        at = next((n for n, g in enumerate(self.groups) if _overlap(key, g) >= 3), None)
+        at = next((n for n in self.candidates(key) if _overlap(key, self.groups[n]) >= 3), None)
         if at is None:
-            at = next((n for n, g in enumerate(self.groups)
-                       if self.related(n, page, parent, key[1]) and _overlap(key, g) >= 1), None)
+            at = next((n for n in self.relatives(page, parent, key[1]) if _overlap(key, self.groups[n]) >= 1), None)
         opened = at is None
         if opened:
             at = len(self.groups)
-            self.groups.append(key)
-            self.firsts.append((page, parent, key[1]))
+            self.groups.append([None] * N_KEYS)
+            self.firsts.append(key[1])
             self.heads.append(rec["first_id"])
-        else:
-            self.groups[at] = [g if g is not None else k for g, k in zip(self.groups[at], key)]
+            self.by_page.setdefault(page, set()).add(at)
+            if parent is not None:
+                self.by_parent.setdefault(parent, set()).add(at)
+            for lacking in self.lacking:
+                lacking.add(at)
+        group = self.groups[at]
+        for f, v in enumerate(key):
+            if group[f] is None and v is not None:
+                group[f] = v
+                self.lacking[f].discard(at)
+                self.having[f].setdefault(v, set()).add(at)
         yield (*self.key, rec["value"], self.heads[at], opened and sum(k is not None for k in key) < 3)
 
 
