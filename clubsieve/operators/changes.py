@@ -248,12 +248,14 @@ def reconcile_plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 def apply_reconcile(incoming: DataFrame, stored: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
     """The table after the plan: REPLACE archives the stored record, everything but REVIEW is written,
-    and sure duplicates within a URL are archived at the end."""
+    and sure duplicates within a URL are archived at the end.
+
+    Archiving comes first, so a record that is written into an archived one can bring it back.
+    """
     plan = settle(plan)
     replaced = plan.filter("decision = 'REPLACE'").select(F.col("existing_id").alias("league_id"))
     writes = plan.filter("insert_action IS NOT NULL").select("league_id", F.col("insert_action").alias("action"), "match_id")
-    written = apply_insert_plan(incoming, stored, writes, as_of)
-    current = archive(written, replaced)
+    current = apply_insert_plan(incoming, archive(stored, replaced), writes, as_of)
     narrow = settle(current.filter(~F.col("is_archived")).select("url_scraped", "league_id", "quality_score", *fv.SIX_KEY_FIELDS))
     sure = dedupe.duplicate_pairs(narrow).filter("confidence = 'AUTO'")
     return archive(current, sure.select(F.col("archive_id").alias("league_id")))

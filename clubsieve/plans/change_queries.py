@@ -279,12 +279,6 @@ def _(t):
     return changes.reconcile_counters(changes.reconcile_plan(t.incoming, t.stored))
 
 
-@query("m15_apply_reconcile")
-def _(t):
-    plan = changes.reconcile_plan(t.incoming, t.stored)
-    return changes.apply_reconcile(t.incoming, t.stored, plan, as_of()).select("league_id", "url_scraped", "quality_score", "is_archived")
-
-
 @query("m16_apply_confirmed_counts", f"""
 WITH u AS (SELECT league_id, new_num_teams FROM checks WHERE {STATUS_SQL} = 'CHANGED'
   QUALIFY row_number() OVER (PARTITION BY league_id ORDER BY checked_at DESC, check_id DESC, new_num_teams DESC) = 1)
@@ -330,6 +324,27 @@ def _(t):
                       F.col("archive.quality_score").alias("archive_quality"))
 
 
+_AFTER_COLUMNS = "league_id, url_scraped, organization_name, sport_season_code, season_year, venue_name, day_of_week, source_comp_level"
+_WRITTEN = "SELECT p.* FROM plan p JOIN decided d USING (league_id) WHERE decision <> 'REVIEW'"
+_MERGED_INTO = (MERGED_SQL.replace("FROM best b", f"FROM ({_WRITTEN} AND action = 'MERGE') b").replace("JOIN listings_x o", "JOIN old2 o"))
+_WALK_AFTER = recursive(WALK_SQL.strip()).replace("FROM listings WHERE NOT is_archived", "FROM after0 WHERE NOT is_archived").replace("pairs AS (", "dup AS (")
+
+
+@query("m15_apply_reconcile", f"""
+WITH {match_sql(3)}, {PLAN_SQL}, {DECISION_SQL},
+gone AS (SELECT existing_id AS league_id FROM decided WHERE decision = 'REPLACE'),
+old2 AS (SELECT * REPLACE (is_archived OR league_id IN (SELECT league_id FROM gone) AS is_archived) FROM listings_x), {_MERGED_INTO},
+after0 AS (SELECT {_AFTER_COLUMNS}, {SCORE_SQL} AS quality_score, is_archived FROM merged
+  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM old2 WHERE updated_at < date '{SPLIT_DAY}' AND league_id NOT IN (SELECT league_id FROM merged)
+  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM listings_x WHERE league_id IN (SELECT league_id FROM ({_WRITTEN} AND action = 'INSERT'))),
+{_WALK_AFTER}
+SELECT league_id, url_scraped, quality_score, is_archived OR league_id IN (SELECT archive_id FROM dup WHERE confidence = 'AUTO') AS is_archived FROM after0""",
+       ("RECURSIVE", "listings_x"))
+def _(t):
+    plan = changes.reconcile_plan(t.incoming, t.stored)
+    return changes.apply_reconcile(t.incoming, t.stored, plan, as_of()).select("league_id", "url_scraped", "quality_score", "is_archived")
+
+
 _NINE_KEYS = ["lower(organization_name)", "trim(lower(sport_name))",
               "cast(coalesce(greatest(year(season_start_date), year(season_end_date)), year(season_start_date), year(season_end_date)) AS varchar)",
               "lower(venue_name)", "lower(day_of_week)", "lower(source_comp_level)", "lower(gender_eligibility)", "cast(num_weeks AS varchar)",

@@ -183,7 +183,15 @@ def _(t):
     return t.links.select("page_id", "position", "anchor_text", "discovered_url")
 
 
-@query("h10_link_contexts")
+def _part(tag):
+    return f"len(regexp_extract_all(regexp_extract(html, '(?s)<{tag}[^>]*>(.*?)</{tag}>', 1), '<a '))"
+
+
+@query("h10_link_contexts", f"""
+SELECT a.page_id, a.position, a.href, trim({strip_sql('a.anchor_text', '')}) AS anchor_text, CASE WHEN a.position < n.in_nav THEN 'nav'
+    WHEN a.position >= n.whole - n.in_footer THEN 'footer' ELSE 'body' END AS context
+FROM anchors a JOIN (SELECT page_id, {_part('nav')} AS in_nav, {_part('footer')} AS in_footer, len(regexp_extract_all(html, '<a ')) AS whole FROM pages) n USING (page_id)""",
+       ("anchors",))
 def _(t):
     return mining.link_contexts(t.table("pages"))
 

@@ -28,6 +28,22 @@ def test_every_incoming_record_gets_one_decision(t):
     assert plan.filter("decision = 'REVIEW' AND insert_action IS NOT NULL").count() == 0
 
 
+def test_reconciled_table(t):
+    """Nothing is lost, replaced records are archived, and no sure duplicate of a URL stays active."""
+    plan = changes.reconcile_plan(t.incoming, t.stored).cache()
+    after = changes.apply_reconcile(t.incoming, t.stored, plan, as_of()).cache()
+    inserted = plan.filter("insert_action = 'INSERT'").count()
+    assert after.count() == t.stored.count() + inserted == after.select("league_id").distinct().count()
+    written_to = plan.filter("insert_action = 'MERGE'").select(F.col("match_id").alias("league_id"))
+    replaced = plan.filter("decision = 'REPLACE'").select(F.col("existing_id").alias("league_id")).join(written_to, "league_id", "left_anti")
+    assert replaced.count() > 0
+    assert after.join(replaced, "league_id", "left_semi").filter("NOT is_archived").count() == 0
+    before = t.stored.filter("is_archived").select("league_id").join(written_to, "league_id", "left_anti")
+    assert after.join(before, "league_id", "left_semi").filter("NOT is_archived").count() == 0
+    reviewed = plan.filter("decision = 'REVIEW'").select("league_id")
+    assert after.join(reviewed, "league_id", "left_semi").count() == 0
+
+
 def test_pages_tile_the_queue(t):
     total = t.queue.filter("status = 'PENDING'").count()
     seen, offset = [], 0
