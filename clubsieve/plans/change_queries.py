@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
+from .. import schemas
 from ..functions import fixed_values as fv, levels, scoring, urls
 from ..operators import changes, dedupe, matching, reports
 from .fixtures import AS_OF, SPLIT_DAY
@@ -60,6 +61,14 @@ def _(t):
     return changes.conform(raw_listings(t), schema)
 
 
+@query("m2_conform_to_listing", """
+SELECT league_id, organization_name, num_teams, cast(team_fee AS decimal(10,2)) AS team_fee, season_end_date, has_referee, cast(NULL AS varchar) AS end_time,
+  is_archived FROM listings""", ("listings",))
+def _(t):
+    return changes.conform(raw_listings(t), schemas.LISTING).select(
+        "league_id", "organization_name", "num_teams", "team_fee", "season_end_date", "has_referee", "end_time", "is_archived")
+
+
 @query("m3_set_status_by_filter", """
 SELECT scrape_id, CASE WHEN status = 'FAILED' AND (url ILIKE '%ottawa%' OR organization_name ILIKE '%ottawa%') THEN 'PENDING' ELSE status END AS status,
   status = 'FAILED' AND (url ILIKE '%ottawa%' OR coalesce(organization_name, '') ILIKE '%ottawa%') AS changed FROM queue""", ("queue",))

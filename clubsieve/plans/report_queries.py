@@ -213,7 +213,7 @@ WITH runs AS (SELECT status = 'COMPLETED' AS success, q.scrape_id % 101 AS quali
   FROM queue q WHERE status IN ('COMPLETED', 'FAILED'))
 SELECT count(*) AS total, count(*) FILTER (success) AS success, count(*) FILTER (NOT success) AS failed,
   {half_up('100 * count(*) FILTER (success)', 'count(*)', 1)} AS success_rate,
-  {half_up('sum(quality_score)', 'count(*) FILTER (success)', 0)} AS avg_quality, sum(duration_seconds) AS total_duration,
+  {half_up('sum(quality_score)', 'count(*) FILTER (success)', 0)} AS avg_quality, sum(duration_seconds)::bigint AS total_duration,
   {half_up('sum(duration_seconds)', 'count(*)', 1)} AS avg_duration FROM runs""", ("queue",))
 def _(t):
     k = F.col("scrape_id")

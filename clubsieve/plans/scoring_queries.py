@@ -104,7 +104,7 @@ def _(t):
 @query("v6_completeness_eight", """
 WITH n AS (SELECT league_id, 2 + (sport_season_code IS NOT NULL)::int + (venue_name IS NOT NULL)::int + (day_of_week IS NOT NULL)::int
   + (source_comp_level IS NOT NULL)::int + (gender_eligibility IS NOT NULL)::int + (num_weeks IS NOT NULL)::int AS k FROM listings)
-SELECT league_id, k * 12.5 AS pct, CASE WHEN k = 8 THEN 'COMPLETE' WHEN k = 7 THEN 'ACCEPTABLE' WHEN k >= 4 THEN 'PARTIAL'
+SELECT league_id, (k * 12.5)::double AS pct, CASE WHEN k = 8 THEN 'COMPLETE' WHEN k = 7 THEN 'ACCEPTABLE' WHEN k >= 4 THEN 'PARTIAL'
   ELSE 'FAILED' END AS status FROM n""", ("listings",))
 def _(t):
     df = t.listings
