@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed_values as fv, keys, scoring
-from ..functions.codes import sport_of_code, sports_table
+from ..functions import fixed_values as fv
+from ..functions.codes import sports_table
 from .filters import missing_fields
 
 

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import schemas
-from ..functions import fixed_values as fv, levels, scoring, urls
-from ..operators import changes, dedupe, matching, reports
-from .fixtures import AS_OF, SPLIT_DAY
+from ..functions import scoring, urls
+from ..operators import changes, dedupe
+from .fixtures import SPLIT_DAY
 from .join_queries import SAME_DAY_SQL, match_sql, page_parents
 from .merge_queries import MERGED_SQL, _SHOWN
 from .registry import query

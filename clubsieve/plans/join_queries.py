@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import codes, keys, urls
-from ..operators import joins, matching, reports, search
+from ..functions import keys, urls
+from ..operators import joins, matching, search
 from .filter_queries import VENUE_LINK_SQL
-from .fixtures import AS_OF, SPLIT_DAY
+from .fixtures import SPLIT_DAY
 from .registry import query
 from .report_queries import DOMAIN_CITY_SQL, checks_with_status
-from .scalar_queries import _CONTENT, _LABEL, _REASON
+from .scalar_queries import _REASON
 from .scoring_queries import STATUS_SQL, as_of
 from .sql_parts import CASE_CITY
 

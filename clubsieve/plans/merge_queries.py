@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv, scoring
-from ..operators import filters, matching, merge, reports
+from ..functions import fixed_values as fv
+from ..operators import matching, merge, reports
 from .join_queries import match_sql
 from .registry import query
 from .scoring_queries import NINE_COUNT, SCORE_SQL, as_of

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, fixed_values as fv, keys, levels, screening, text, urls
 from .registry import query
-from .sql_parts import (CASE_CITY, any_contains, hit_count, in_list, pairs, sql_text, title_words)
+from .sql_parts import (CASE_CITY, any_contains, hit_count, in_list, pairs, title_words)
 
 HOST = "regexp_extract({0}, '^[a-z]+://([^/?#]*)', 1)"
 PATH = "regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1)"

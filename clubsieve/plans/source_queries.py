@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv, pages as page_rules, urls
-from ..operators import crawl, filters, ranking, vectors
+from ..functions import fixed_values as fv, similarity, urls
+from ..operators import crawl, filters, vectors
 from ..session import shared_folder
 from ..sources import responses, tables
 from .registry import query
@@ -302,3 +302,15 @@ def _(t):
 def _(t):
     table_functions.register_views(t.spark, t.listings, checks_with_status(t), t.results, t.queries)
     return t.spark.sql("SELECT domain, city FROM domain_city_map")
+
+
+@query("t4_sorted_page", """
+SELECT league_id, quality_score FROM listings ORDER BY quality_score DESC, league_id LIMIT 100 OFFSET 50""", ("listings",))
+def _(t):
+    return t.listings.orderBy(F.desc("quality_score"), "league_id").offset(50).limit(100).select("league_id", "quality_score")
+
+
+@query("u5_similarity_ratio")
+def _(t):
+    """Similarity of each venue's name and the name it was found under."""
+    return t.venues.select("venue_id", F.round(similarity.ratio("venue_name", "google_name"), 6).alias("ratio"))
