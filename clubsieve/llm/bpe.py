@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .tokens import default_path, encoder
+from .tokens import byte_characters, default_path, encoder
 
 WINDOW, CUT_BITS, BASE = 16, 9, 0xA0761D6478BD642F
 MOST_CHUNKS, LONGEST_CHUNK = 8192, 2048
@@ -174,9 +174,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def byte_table(tokenizer: str) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary; a character without a byte stands for its own UTF-8."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [b for b in range(256) if b not in shown]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
     vocabulary = encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True)
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():

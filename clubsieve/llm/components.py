@@ -19,11 +19,11 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 64) -> DataF
     labels = settle(both.groupBy("x").agg(F.min("y").alias("least"))
                     .select(F.col("x").alias("node"), F.least("x", "least").alias("component")))
     for _ in range(most_rounds):
-        near = (both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("near")))
-        closer = (labels.join(near, labels.node == near.x, "left")
+        near = (both.join(labels.hint("merge"), both.y == labels.node).groupBy("x").agg(F.min("component").alias("near")))
+        closer = (labels.join(near.hint("merge"), labels.node == near.x, "left")
                   .select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
         target = closer.select(F.col("node").alias("t"), F.col("component").alias("further"))
-        after = settle(closer.join(target, closer.component == target.t, "left")
+        after = settle(closer.join(target.hint("merge"), closer.component == target.t, "left")
                        .select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")))
         if after.where("was <> component").isEmpty():
             return after.select("node", "component")

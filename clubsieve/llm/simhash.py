@@ -11,6 +11,8 @@ equal variants is linked to its least member if that is near. If any member of a
 least one, all fingerprints of that group go through the plain form with all 2081 variants, where
 everything that shares a variant lies within the radius and a star of links loses nothing. No form
 compares all members of a group with each other.
+
+These tables grow with the input and Spark guesses the size of exploded rows too low, so no join may broadcast.
 """
 from __future__ import annotations
 
@@ -89,7 +91,7 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     if parts == 1:
         ball = _variants(fps, list(range(BITS)), radius // 2)
         least = ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key", "a")
-        return ball.join(least, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+        return ball.join(least.hint("merge"), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     left = radius - -(-radius // 3)  # what two of the three parts have between them at most
     third = [list(range(0, 21)), list(range(21, 42)), list(range(42, 64))]
     keyed = None  # keys of different pairs of parts may coincide; that only adds a candidate
@@ -97,11 +99,11 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
         one = _variants(fps, [*pair[0], *pair[1]], -(-left // 2))
         keyed = one if keyed is None else keyed.unionByName(one)
     groups = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key", "a")
-    met = settle(keyed.join(groups, "key").where("fp <> a")
+    met = settle(keyed.join(groups.hint("merge"), "key").where("fp <> a")
                  .select("key", "a", F.col("fp").alias("b"), (distance(F.col("a"), F.col("fp")) <= radius).alias("near")))
     stars = met.where("near").select("a", "b")
     odd = met.where("not near").select("key").distinct()
-    rest = met.join(odd, "key", "left_semi").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    rest = met.join(odd.hint("merge"), "key", "left_semi").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     return stars.unionByName(links(rest, radius, 1)).distinct()
 
 
@@ -114,7 +116,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = settle(fingerprints(docs, id_col, text_col, width))
     least = settle(fps.groupBy("fp").agg(F.min("id").alias("least")))
     group = components(links(least.select("fp"), radius, parts), "a", "b")
-    named = least.join(group, least.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    named = least.join(group.hint("merge"), least.fp == group.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     smallest = named.groupBy("c").agg(F.min("least").alias("component"))
-    classes = named.join(smallest, "c").select("fp", "component")
-    return fps.join(classes, "fp").select("id", "fp", "component")
+    classes = named.join(smallest.hint("merge"), "c").select("fp", "component")
+    return fps.join(classes.hint("merge"), "fp").select("id", "fp", "component")
