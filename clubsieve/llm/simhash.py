@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..session import settle
 from .components import components
@@ -88,19 +88,18 @@ def links(fps: DataFrame, radius: int = 4, parts: int = 3) -> DataFrame:
     """
     if radius % 2 or radius < 2 or parts not in (1, 3):
         raise ValueError("an even radius, and 1 or 3 parts")
+    order = Window.partitionBy("key").orderBy("fp")  # the least of a group, without holding the group
     if parts == 1:
         ball = _variants(fps, list(range(BITS)), radius // 2)
-        least = ball.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key", "a")
-        return ball.join(least.hint("merge"), "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+        return ball.select(F.first("fp").over(order).alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
     left = radius - -(-radius // 3)  # what two of the three parts have between them at most
     third = [list(range(0, 21)), list(range(21, 42)), list(range(42, 64))]
     keyed = None  # keys of different pairs of parts may coincide; that only adds a candidate
     for pair in combinations(third, 2):
         one = _variants(fps, [*pair[0], *pair[1]], -(-left // 2))
         keyed = one if keyed is None else keyed.unionByName(one)
-    groups = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("key", "a")
-    met = settle(keyed.join(groups.hint("merge"), "key").where("fp <> a")
-                 .select("key", "a", F.col("fp").alias("b"), (distance(F.col("a"), F.col("fp")) <= radius).alias("near")))
+    met = settle(keyed.select("key", F.first("fp").over(order).alias("a"), F.col("fp").alias("b")).where("a <> b")
+                 .withColumn("near", distance(F.col("a"), F.col("b")) <= radius))
     stars = met.where("near").select("a", "b")
     odd = met.where("not near").select("key").distinct()
     rest = met.join(odd.hint("merge"), "key", "left_semi").select(F.explode(F.array("a", "b")).alias("fp")).distinct()
