@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
+
 # The base patterns and the least length of what they must hold.
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -162,7 +164,7 @@ def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
                         tokens.append(text[a:z])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
 
-    found = docs.select(text_col).mapInArrow(run, "kind string, token string").distinct().withColumn("h", F.xxhash64("token"))
+    found = settle(docs.select(text_col).mapInArrow(run, "kind string, token string").distinct()).withColumn("h", F.xxhash64("token"))
     parts = [found.where(F.col("kind") == k).orderBy("h", "token").limit(sample) for k in ("assign", "access", "hex", "background")]
     out = parts[0]
     for p in parts[1:]:
