@@ -34,9 +34,11 @@ def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     begins = np.cumsum(sizes) - sizes
     if len(data) <= WINDOW:
         return data, begins, [np.array([0, n] if n else [0]) for n in sizes.tolist()]
-    at = np.arange(WINDOW, len(data))
-    h = W.mix(W.rolling(data.astype(W.U64) + W.U64(1), at - WINDOW, at, BASE))
-    at = at[((h >> W.U64(64 - CUT_BITS)) == 0) & ((data[at] & 0xC0) != 0x80)]
+    prefix = np.zeros(len(data) + 1, dtype=W.U64)
+    np.cumsum((data.astype(W.U64) + W.U64(1)) * W.powers(BASE, len(data)), dtype=W.U64, out=prefix[1:])
+    h = (prefix[WINDOW:-1] - prefix[:-WINDOW - 1]) * W.powers(pow(BASE, -1, 1 << 64), len(data))[:len(data) - WINDOW]
+    h = (h ^ (h >> W.U64(32))) * W.U64(0xD6E8FEB86659FD93)
+    at = np.flatnonzero(((h >> W.U64(64 - CUT_BITS)) == 0) & ((data[WINDOW:] & 0xC0) != 0x80)) + WINDOW
     out = []
     lo, hi = np.searchsorted(at, begins + WINDOW), np.searchsorted(at, begins + sizes)
     for a, b, begin, n in zip(lo.tolist(), hi.tolist(), begins.tolist(), sizes.tolist()):
@@ -44,14 +46,15 @@ def cuts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return data, begins, out
 
 
-def chunk_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and size of every chunk that may be shared."""
+def chunk_hashes(texts: list[bytes]):
+    """The joined bytes, and hash, start and end of every chunk that may be shared."""
     data, begins, bounds = cuts(texts)
-    starts = np.concatenate([b[:-1] + s for b, s in zip(bounds, begins)] or [np.zeros(0, np.int64)]).astype(np.int64)
-    ends = np.concatenate([b[1:] + s for b, s in zip(bounds, begins)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    none = [np.zeros(0, dtype=np.int64)]
+    starts = np.concatenate(none + [b[:-1] + s for b, s in zip(bounds, begins)]).astype(np.int64)
+    ends = np.concatenate(none + [b[1:] + s for b, s in zip(bounds, begins)]).astype(np.int64)
     fit = (ends - starts <= LONGEST_CHUNK) & (ends - starts > 64)
     starts, ends = starts[fit], ends[fit]
-    return W.mix(W.rolling(data.astype(W.U64) + W.U64(1), starts, ends, BASE)), ends - starts
+    return data, W.mix(W.rolling(data.astype(W.U64) + W.U64(1), starts, ends, BASE)).view(np.int64), starts, ends
 
 
 def _slices(batch: pa.RecordBatch, at: int = 0):
@@ -66,9 +69,9 @@ def shared_chunks(docs: DataFrame, text_col: str = "text", most: int = MOST_CHUN
     def count(batches):
         for b in batches:
             for texts in _slices(b):
-                h, size = chunk_hashes(texts)
-                distinct, first, n = np.unique(h.view(np.int64), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n), pa.array(size[first])], names=["h", "n", "size"])
+                _, h, start, end = chunk_hashes(texts)
+                distinct, first, n = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n), pa.array((end - start)[first])], names=["h", "n", "size"])
 
     texts = docs.select(text_col)
     best = (texts.mapInArrow(count, "h bigint, n bigint, size bigint").groupBy("h").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
@@ -79,15 +82,11 @@ def shared_chunks(docs: DataFrame, text_col: str = "text", most: int = MOST_CHUN
         want, done = wanted.value, set()
         for b in batches:
             for texts in _slices(b):
-                data, begins, bounds = cuts(texts)
-                h, _ = chunk_hashes(texts)
-                at = np.searchsorted(want, h.view(np.int64))
-                known = (at < len(want)) & (want[np.minimum(at, len(want) - 1)] == h.view(np.int64)) if len(want) else np.zeros(len(h), bool)
-                if not known.any():
+                data, h, start, end = chunk_hashes(texts)
+                known = np.flatnonzero(np.isin(h, want))
+                if not len(known):
                     continue
-                raw = data.tobytes()
-                spans = [(int(x + s), int(y + s)) for c, s in zip(bounds, begins) for x, y in zip(c[:-1], c[1:]) if 64 < y - x <= LONGEST_CHUNK]
-                new = {raw[spans[i][0]:spans[i][1]] for i in np.flatnonzero(known)} - done
+                new = {data[start[i]:end[i]].tobytes() for i in known} - done
                 done |= new
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary())], names=["chunk"])
 
@@ -166,7 +165,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for b in batches:
             ids = []
             for texts in _slices(b, 1):
-                ids += [encode_text(enc, t, c, known) for t, c in zip(texts, cuts(texts)[2])]
+                bounds = cuts(texts)[2] if known else [None] * len(texts)
+                ids += [encode_text(enc, t, c, known) for t, c in zip(texts, bounds)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
@@ -182,16 +182,20 @@ def byte_table(tokenizer: str) -> list[bytes]:
     return out
 
 
-def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """id, ids and text of every row of encode(); bytes that are no UTF-8 become U+FFFD."""
+def decoder(tokenizer: str | None = None):
+    """A function from the ids of encode() to their text; bytes that are no UTF-8 become U+FFFD."""
     tokenizer = tokenizer or default_path("byte_bpe_50k.json")
-    dtype = encoder(tokenizer).dtype
+    dtype, piece = encoder(tokenizer).dtype, byte_table(tokenizer).__getitem__
+    return lambda ids: b"".join(map(piece, np.frombuffer(ids, dtype=dtype).tolist())).decode("utf-8", "replace")
+
+
+def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """id, ids and text of every row of encode()."""
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches):
-        piece = byte_table(tokenizer).__getitem__
+        text = decoder(tokenizer)
         for b in batches:
-            texts = [b"".join(map(piece, np.frombuffer(x, dtype=dtype).tolist())).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text(x) for x in b.column(1).to_pylist()], pa.string())], names=["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, ids binary, text string")

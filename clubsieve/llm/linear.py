@@ -25,8 +25,8 @@ class Plan:
     labels: tuple[str, ...]
     grams: tuple[int, ...] = (4, 5)
     bits: int = 20
-    rows: int = 10_000
-    features: int = 2048
+    rows: int = 6_000
+    features: int = 1024
     folds: int = 5
     lower: bool = True
     rate: bool = False  # weigh counts by the length of the text
