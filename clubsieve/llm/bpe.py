@@ -23,7 +23,8 @@ from .tokens import byte_characters, default_path, encoder
 
 WINDOW, CUT_BITS, BASE = 16, 9, 0xA0761D6478BD642F
 MOST_CHUNKS, LONGEST_CHUNK = 8192, 2048
-SLICE = 2 << 20
+SLICE = 1 << 20
+REMEMBERED = 150_000  # pre-tokens that a worker keeps; up to four workers run beside each other here
 _ANCHOR = re.compile(rb" (?=[!-~])")  # a space before a visible ASCII character always starts a piece
 
 
@@ -147,7 +148,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     kind = docs.schema[id_col].dataType.simpleString()
 
     def once(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, REMEMBERED)
         for b in batches:
             chunks, rows = b.column(0).to_pylist(), []
             for c in chunks:
@@ -161,7 +162,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     table = docs.sparkSession.sparkContext.broadcast({bytes(r.chunk): (r.inside, r.last, bytes(r.head), bytes(r.ids), bytes(r.tail)) for r in found})
 
     def run(batches):
-        enc, known = encoder(tokenizer), table.value
+        enc, known = encoder(tokenizer, REMEMBERED), table.value
         for b in batches:
             ids = []
             for texts in _slices(b, 1):

@@ -7,6 +7,7 @@ out-of-fold probabilities of a label are features of the labels after it. Scorin
 """
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,31 +128,29 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
 
     def frequencies(batches):
         n = 1 << plan.bits
-        total = np.zeros((2 * len(cols), n), dtype=np.int32)
-        seen = np.zeros((2 * len(cols), 1), dtype=np.int64)
+        total = np.zeros((len(cols) + 1, n), dtype=np.int32)  # texts with the feature: all, and those with each label
+        seen = np.zeros(len(cols) + 1, dtype=np.int64)
         for b in batches:
-            y = np.array([b.column(1 + k).to_pylist() for k in range(len(cols))], dtype=np.int64)
+            y = np.array([[1] * b.num_rows] + [b.column(1 + k).to_pylist() for k in range(len(cols))], dtype=bool)
             for lo, hi, part in _prepared(b, 0, plan):
                 of, value, _ = hashed(part, plan)
                 pairs = np.unique(of.astype(np.int64) << plan.bits | value)
                 of, value = pairs >> plan.bits, pairs & (n - 1)
-                for k in range(len(cols)):
-                    for c in (0, 1):
-                        total[2 * k + c] += np.bincount(value[y[k, lo:hi][of] == c], minlength=n).astype(np.int32)
-                        seen[2 * k + c] += int((y[k, lo:hi] == c).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["total", "seen"])
-
-    found = rows.mapInArrow(frequencies, "total binary, seen binary").collect()  # four tasks, 2**bits counts per label
-    if not found:
-        return None
-    total = sum(np.frombuffer(r.total, dtype=np.int32).astype(np.float64) for r in found).reshape(2 * len(cols), -1)
-    seen = sum(np.frombuffer(r.seen, dtype=np.int64) for r in found).astype(np.float64)
-    if (seen == 0).any():
+                for k in range(len(cols) + 1):
+                    total[k] += np.bincount(value[y[k, lo:hi][of]], minlength=n).astype(np.int32)
+                seen += y[:, lo:hi].sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["total", "seen"])
+
+    total, seen = np.zeros((len(cols) + 1, 1 << plan.bits), dtype=np.int32), np.zeros(len(cols) + 1)
+    for r in rows.mapInArrow(frequencies, "total binary, seen binary").toLocalIterator():  # four tasks, 2**bits counts per label
+        total += np.frombuffer(zlib.decompress(r.total), dtype=np.int32).reshape(total.shape)
+        seen += np.frombuffer(r.seen, dtype=np.int64)
+    if (seen == 0).any() or (seen[1:] == seen[0]).any():
         return None
     z = np.zeros(total.shape[1])
     for k in range(len(cols)):
-        off, on, n0, n1 = total[2 * k], total[2 * k + 1], seen[2 * k], seen[2 * k + 1]
-        p = (off + on) / (n0 + n1)
+        on, n1, n0 = total[k + 1], seen[k + 1], seen[0] - seen[k + 1]
+        off, p = total[0] - on, total[0] / seen[0]
         z = np.maximum(z, np.abs(on / n1 - off / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1)))
     best = np.argsort(-z, kind="stable")[: plan.features]
     best = best[z[best] > 0]
@@ -173,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
                        pa.array([x[i:j].astype("<f4").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=[*cols, "s", "x"])
 
     sparse = rows.mapInArrow(vectors, ", ".join(f"{c} int" for c in cols) + ", s binary, x binary").collect()
+    del total, z
     x = np.zeros((len(sparse), width - 1), dtype=np.float32)
     for i, r in enumerate(sparse):
         x[i, np.frombuffer(r.s, dtype="<i4") - 1] = np.frombuffer(r.x, dtype="<f4")

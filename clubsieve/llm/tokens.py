@@ -113,11 +113,11 @@ class PieceEncoder:
         return np.frombuffer(self.encode(text), dtype=self.dtype)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, most: int = 600_000) -> PieceEncoder:
     """One encoder for each file and process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, most) not in _encoders:
+        _encoders[path, most] = PieceEncoder(path, most)
+    return _encoders[path, most]
