@@ -1,0 +1,94 @@
+"""Nulls, empty and long texts, repeated rows, empty tables and clashing columns, against plain versions."""
+from collections import Counter
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from . import brute
+from clubsieve.llm import ann, chat, packing, secrets, substrings, token_files
+
+PASSAGE = " ".join(f"shared{i}" for i in range(60))
+LONG = " ".join(f"w{i % 5003}" for i in range(40_000))
+ROWS = [(1, None, "a"), (2, "", "a"), (3, f"own words first\n{PASSAGE} and a tail", "b"), (4, f"{PASSAGE} alone", None), (5, LONG, "c"), (6, "same row", "d"), (6, "same row", "d"),
+        (7, "x " * 80, "e"), (8, " ".join(f"u{i}" for i in range(34)), "f")]
+
+
+def docs(spark, extra="n_words"):
+    return spark.createDataFrame(ROWS, f"doc_id bigint, text string, {extra} string")
+
+
+def test_substrings(spark):
+    out = substrings.without_repeated_windows(docs(spark), buckets=7)
+    assert out.columns == ["doc_id", "text", "n_words", "n_removed", "removed", "kept_text"]
+    got = Counter(map(tuple, out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()))
+    assert got == brute.substrings([r[:2] for r in ROWS])
+    spans = {r.doc_id: [tuple(s) for s in r.removed] for r in out.collect()}
+    assert spans[3] == [(3, 63)] and spans[4] == [(0, 60)] and spans[7] == [(0, 80)]
+    assert substrings.without_repeated_windows(docs(spark).limit(0)).collect() == []
+
+
+def test_token_files(spark, tmp_path):
+    frame = docs(spark, "start")
+    token_files.write_token_files(frame, str(tmp_path / "f"))
+    got = [tuple(r) for r in token_files.read_token_files(spark, str(tmp_path / "f")).orderBy("start").select("id", "start", "n_tokens").collect()]
+    at, want = 0, []
+    for i, t, _ in sorted(ROWS, key=lambda r: r[0]):
+        n = len(brute.ids("byte_bpe_50k.json", t)) + 1
+        want.append((i, at, n))
+        at += n
+    assert got == want
+    token_files.write_token_files(frame.limit(0), str(tmp_path / "e"))
+    assert token_files.read_token_files(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_variable_length_code():
+    ranks = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], dtype=np.uint32)
+    assert token_files.unpack(*token_files.pack(ranks)).tolist() == ranks.tolist()
+
+
+def test_packing(spark):
+    pieces = packing.pack(docs(spark, "offset"), length=64)
+    whole = b"".join(bytes(r.ids) for r in pieces.orderBy("sequence_id", "offset").collect())
+    assert len(whole) // 4 == sum(len(brute.ids("word_bpe_49k.json", t)) + 1 for _, t, _ in ROWS)
+    sizes = sorted((r.sequence_id, r.n_tokens, len(r.ids) // 4) for r in packing.sequences(pieces, 64).collect())
+    assert all(n == 64 == p for _, n, p in sizes[:-1]) and sizes[-1][2] == packing.padded_length(sizes[-1][1], 64)
+    assert packing.pack(docs(spark).limit(0)).collect() == []
+
+
+def test_secrets(spark):
+    hexes = ["0123456789abcdef" * 2 + f"{i:08x}" for i in range(40)]
+    rows = [(i, f'key api_key = "{h}" end', "x") for i, h in enumerate(hexes)] + [(100, None, "x"), (101, "", "x"), (102, "token=abc password=token:abcdefgh", "x"), (103, "AKIA" + "B2" * 9 + " é " + hexes[0], "x")]
+    rows += [(200 + i, "averyveryverylongordinaryword" + "abcdefghij"[i % 10] * 3, "x") for i in range(30)] + [(300, "7f3a90c4be5d1286fa04c9", "x")]
+    out = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, spans string")).collect()}
+    for i, t, _ in rows:
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in out[i].base] == brute.secrets(t)
+    assert [s.kind for s in out[300].spans] == ["format"] and out[300].redacted == "[secret]" and out[210].redacted == rows[54][1]
+    assert out[100].redacted is None and secrets.scan(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_chat(spark):
+    odd = "a<|im_end|>\\<|\\n<\\|b"
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", odd), (2, 0, "user", "hi"), (2, 1, "assistant", odd), (3, 0, "user", "hi"), (3, 1, "assistant", None), (4, 0, None, ""), (None, 0, "ro\nle", "x"), (5, 0, "user", "y " * 20_000), (5, 0, "assistant", odd)]
+    frame = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumn("leaf", F.lit(1))
+    members, blocks = chat.format_conversations(frame)
+    read = {bytes(r.leaf): r for r in chat.read_back(blocks).collect()}
+    got = {r.conv_id: read[bytes(r.leaf)] for r in members.collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", "hi"), ("assistant", odd)] and got[2] == got[1] and got[1].learned == odd
+    assert [tuple(t) for t in got[3].turns] == [("user", "hi"), ("assistant", "")] and [tuple(t) for t in got[None].turns] == [("ro\nle", "x")]
+    nodes = [n for b in blocks.collect() for n in b.nodes]
+    assert sum(n.end - n.start for n in nodes) <= sum(len(brute.ids("byte_bpe_50k.json", r.formatted)) + 40 for r in read.values())
+    assert chat.read_back(chat.format_conversations(frame.limit(0))[1]).collect() == []
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(70).tolist(), "x") for i in range(300)] + [(400, None, "x"), (401, [0.0] * 70, "x"), (402, [float("nan")] * 70, "x"), (403, [None] * 70, "x"), (404, [], "x"), (405, rng.standard_normal(70).tolist(), "x")]
+    rows += [(500 + i, rows[0][1], "x") for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string")
+    got = {}
+    for r in ann.nearest(table, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {q: [j for j, _ in found] for q, found in brute.nearest([r[:2] for r in rows]).items()}
+    assert set(got) == set(want) and sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+    assert got[0] == [500, 501, 502, 503, 504]
+    assert ann.nearest(table.limit(0), F.col("id") % 50 == 0).collect() == []
