@@ -29,10 +29,20 @@ class Node:
     end: int = -1
     html: str = ""
 
+    def pieces(self):
+        """All text below the element in order, without recursion, so depth does not matter."""
+        waiting = [self]
+        while waiting:
+            at = waiting.pop()
+            if isinstance(at, str):
+                yield at
+            else:
+                waiting.extend(reversed(at.children))
+
     @property
     def text(self) -> str:
         """Stripped pieces of text, joined without a space."""
-        return "".join(c.strip() if isinstance(c, str) else c.text for c in self.children)
+        return "".join(p.strip() for p in self.pieces())
 
     def source(self, longest: int) -> str:
         """The start of the element's own HTML."""
@@ -41,13 +51,14 @@ class Node:
 
     @property
     def raw_text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.raw_text for c in self.children)
+        return "".join(self.pieces())
 
     def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+        waiting = [self]
+        while waiting:
+            at = waiting.pop()
+            yield at
+            waiting.extend(c for c in reversed(at.children) if isinstance(c, Node))
 
     def find(self, *tags):
         return [n for n in self.walk() if n is not self and n.tag in tags]

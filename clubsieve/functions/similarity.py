@@ -17,7 +17,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a.fillna(""), b.fillna("")):
         if (x, y) not in seen:
-            seen[x, y] = SequenceMatcher(None, x, y).ratio()
+            seen[x, y] = SequenceMatcher(None, x, y, autojunk=False).ratio()
         out.append(seen[x, y])
     return pd.Series(out)
 
@@ -27,7 +27,7 @@ def tab_score(text: pd.Series) -> pd.Series:
     """0.8 for a known tab word inside the text, else the best similarity of at least 0.5."""
     def one(t: str) -> float:
         t = t.lower().strip()
-        near = (0.8 if w in t else SequenceMatcher(None, t, w).ratio() for w in fv.TAB_WORDS)
+        near = (0.8 if w in t else SequenceMatcher(None, t, w, autojunk=False).ratio() for w in fv.TAB_WORDS)
         return max((r for r in near if r >= 0.5), default=0.0)
 
     text = text.fillna("")

@@ -143,13 +143,18 @@ def listing_tables(tables: DataFrame) -> DataFrame:
 
 
 def listing_rows(tables: DataFrame) -> DataFrame:
-    """Every row of the listing tables as a map from header to cell."""
-    cut = lambda r: F.least(F.size("headers"), F.size(r))
+    """Every row of the listing tables as a map from header to cell.
+
+    Of repeated headers the last column counts. Cells beyond the header row have no name and are left out.
+    """
+    named = F.arrays_zip(F.slice("headers", F.lit(1), F.least(F.size("headers"), F.size("cells"))).alias("key"),
+                         F.slice("cells", F.lit(1), F.least(F.size("headers"), F.size("cells"))).alias("value"))
+    keys = F.transform("named", lambda e: e["key"])
+    last = F.filter("named", lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]))
     return (listing_tables(tables).select("page_id", "table_index", "confidence", "headers",
                                           F.posexplode("rows").alias("row_index", "cells"))
-            .select("page_id", "table_index", "row_index", "confidence",
-                    F.map_from_arrays(F.slice("headers", F.lit(1), cut("cells")),
-                                      F.slice("cells", F.lit(1), cut("cells"))).alias("record")))
+            .withColumn("named", named)
+            .select("page_id", "table_index", "row_index", "confidence", F.map_from_entries(last).alias("record")))
 
 
 def counts_team_rows(t: Column) -> Column:

@@ -103,3 +103,21 @@ def test_extraction_responses(spark):
     df = spark.createDataFrame(list(cases.items()), "k int, t string")
     got = responses.extracted_records(df, "t", "a string, n int", ["k"]).groupBy("k").agg(F.sort_array(F.collect_list("a")).alias("a")).collect()
     assert {r.k: r.a for r in got} == {1: ["x", "y"], 2: ["x", "y"], 3: ["x"], 4: ["x"], 5: ["x"]}
+
+
+def test_deep_nesting_and_repeated_headers(spark):
+    from clubsieve.functions import html_tree
+    deep = html_tree.parse("<div>" * 5000 + "end" + "</div>" * 5000)
+    assert deep.text == deep.raw_text == "end" and len(html_tree.elements(deep, {"div"})) == 5000
+    html = ("<table><tr><th>Team</th><th>Day</th><th>Fee</th><th>Fee</th><th></th><th></th></tr>"
+            + "".join(f"<tr><td>t{i}</td><td>Mon</td><td>{i}</td><td>{i + 1}</td><td>a</td><td>b</td></tr>" for i in range(4)) + "</table>")
+    tables = spark.createDataFrame([(1, 0, ["Team", "Day", "Fee", "Fee", "", ""], [["t", "Mon", "1", "2", "a", "b", "spare"]])],
+                                   "page_id bigint, table_index int, headers array<string>, rows array<array<string>>")
+    from clubsieve.operators import mining
+    keep = mining.listing_tables
+    mining.listing_tables = lambda t: t.selectExpr("*", "0.9 AS confidence")
+    try:
+        record = mining.listing_rows(tables).collect()[0].record
+    finally:
+        mining.listing_tables = keep
+    assert record == {"Team": "t", "Day": "Mon", "Fee": "2", "": "b"} and html_tree.tables(html_tree.parse(html))[0].headers[2:4] == ["Fee", "Fee"]
