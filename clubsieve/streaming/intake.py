@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -19,8 +20,32 @@ def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int = 100
 
 
 def without_repeats(stream: DataFrame, time: str, keys: list[str], within: str) -> DataFrame:
-    """Each key once per span of time. The state of a key goes when the watermark passes it."""
-    return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
+    """The rows of each key that come at least a span of time after the last one kept; rows without a time are left out.
+
+    The time last kept is the state of a key; rows of one batch are walked in order of time, so it does not
+    matter how many files a batch holds as long as later batches hold later rows. A row that arrives after a
+    later one was kept stays if it lies a whole span before it. State goes when the watermark is a span past it.
+    """
+    span = pd.Timedelta(within)
+
+    def walk(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
+        rows = rows.sort_values([time, *[c for c in rows.columns if c != time]], kind="stable")
+        last, kept = pd.Timestamp(state.get[0], unit="us") if state.exists else None, []
+        for t in rows[time]:
+            take = last is None or abs(t - last) >= span
+            kept.append(take)
+            if take and (last is None or t > last):
+                last = t
+        state.update((last.value // 1000,))
+        state.setTimeoutTimestamp(max(last.value // 1_000_000 + int(span.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield rows[kept]
+
+    timed = stream.where(F.col(time).isNotNull()).withWatermark(time, within)
+    return timed.groupBy(*keys).applyInPandasWithState(walk, stream.schema, "last bigint", "append", "EventTimeTimeout")
 
 
 def run_to_table(stream: DataFrame, folder: str) -> str:

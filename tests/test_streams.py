@@ -30,8 +30,8 @@ def test_latest_rows_over_batches(spark, tmp_path):
 
 def test_repeats_within_the_span_are_dropped(spark, tmp_path):
     source = str(tmp_path / "in")
-    write_batches(spark, source, [[(1, at(0), 1), (2, at(10), 1), (3, at(20), 2)], [(4, at(40), 1), (5, at(500), 1)]])
-    stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
-    out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / "work"))
-    ids = {r.event_id for r in spark.read.parquet(out).collect()}
-    assert 3 in ids and len(ids & {1, 2, 4}) == 1
+    write_batches(spark, source, [[(1, at(0), 1), (2, at(10), 1), (3, at(20), 2)], [(4, at(40), 1), (5, at(500), 1)], [(6, at(505), 1), (7, at(560), 1)]])
+    for files in (1, 10, 100):
+        stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=files)
+        out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / f"work{files}"))
+        assert {r.event_id for r in spark.read.parquet(out).collect()} == {1, 3, 5, 7}
