@@ -12,7 +12,15 @@ def event_stream(t):
     return intake.stream_of(t.spark, f"{t.sf_dir}/events*.parquet", schema)
 
 
-@query("st1_intake_without_repeats")
+@query("st1_intake_without_repeats", """
+WITH RECURSIVE e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type,
+                            row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(ts AS TIMESTAMP), event_id) AS n FROM events),
+walk AS (
+  SELECT *, TRUE AS kept, ts AS last FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.*, e.ts - w.last >= INTERVAL 3 HOUR, CASE WHEN e.ts - w.last >= INTERVAL 3 HOUR THEN e.ts ELSE w.last END
+  FROM walk w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.n = w.n + 1)
+SELECT event_id, ts, user_id, event_type FROM walk WHERE kept""")
 def _(t):
     """The batch rule drops a repeat within N days; here a user's event type within three hours."""
     stream = event_stream(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
