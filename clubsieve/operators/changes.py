@@ -12,6 +12,7 @@ from ..functions.text import strip
 from ..session import settle
 from . import dedupe, matching, merge
 from .filters import queue_filter
+from .ranking import best_row
 
 NUMERIC_FIELDS = {"team_fee": "double", "individual_fee": "double", "num_teams": "int", "slots_left": "int", "num_weeks": "int",
                   "players_per_side": "int", "team_capacity": "int"}
@@ -67,17 +68,14 @@ def insert_plan(incoming: DataFrame, stored: DataFrame, is_child: Column | None
 
 
 def apply_insert_plan(incoming: DataFrame, stored: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
-    """The stored table after the plan. Of several records that merge into one, the best-scored is merged.
+    """The stored table after the plan: every MERGE record goes into its match, every INSERT record is added.
 
-    The plan is read several times; pass a settled or stored one if it is costly.
+    The plan is settled first, as it is read for both.
     """
-    score = incoming.select("league_id", F.coalesce("quality_score", F.lit(0)).alias("q"))
-    pairs = (plan.filter("action = 'MERGE'").join(score, "league_id").groupBy("match_id")
-             .agg(F.max_by("league_id", F.struct(F.col("q"), -F.col("league_id"))).alias("league_id")))
-    merged = merge.merge_pairs(incoming, stored, pairs, as_of).drop("merged_from")
-    kept = stored.join(merged.select("league_id"), "league_id", "left_anti")
+    plan = settle(plan.select("league_id", "action", "match_id"))
+    merged = merge.merge_into(incoming, stored, plan.filter("action = 'MERGE'"), as_of).drop("merged")
     new = incoming.join(plan.filter("action = 'INSERT'").select("league_id"), "league_id", "left_semi")
-    return kept.unionByName(merged, allowMissingColumns=True).unionByName(new, allowMissingColumns=True)
+    return merged.unionByName(new, allowMissingColumns=True)
 
 
 def set_status(df: DataFrame, condition: Column, status: str) -> DataFrame:
@@ -147,22 +145,35 @@ def venue_upsert_plan(venues: DataFrame, incoming: DataFrame) -> DataFrame:
         "province": levels.province(F.col("address")), "city": levels.city_of_address(F.col("address"))}).drop("name", "name_id", "place_owner")
 
 
+VENUE_FIELDS = ("venue_name", "city", "google_name", "province", "address", "lat", "lng", "google_place_id", "confidence_score",
+                "raw_api_response", "updated_at")
+
+
 def apply_venue_upsert(venues: DataFrame, plan: DataFrame) -> DataFrame:
-    """The venues after the plan; the last row (highest seq) wins where several hit one venue."""
-    fields = [c for c in ("google_name", "address", "lat", "confidence_score") if c in plan.columns and c in venues.columns]
-    target = F.coalesce(F.col("venue_id").cast("string"), F.col("google_place_id"), F.lower("venue_name"))
-    last = plan.groupBy(target.alias("_target")).agg(F.max_by(F.struct(*plan.columns), "seq").alias("p"),
-                                                     F.first("venue_id").alias("venue_id"))
-    updates = last.filter("venue_id IS NOT NULL").select("venue_id", F.col("p").alias("u"))
-    out = venues.join(updates, "venue_id", "left")
-    changed = F.col("u").isNotNull()
-    updated = out.select(*[
-        F.when(changed, F.col(f"u.{c}")).otherwise(F.col(c)).alias(c) if c in fields
-        else F.coalesce(F.col("u.new_place_id"), F.col(c)).alias(c) if c == "google_place_id"
-        else F.when(changed & F.col("u.action").eqNullSafe("UPDATE_BY_PLACE"), F.col("u.venue_name")).otherwise(F.col(c)).alias(c) if c == "venue_name"
-        else F.col(c) for c in venues.columns])
-    new = last.filter("venue_id IS NULL").select("p.*").withColumn("google_place_id", F.col("new_place_id"))
-    return updated.unionByName(new.select(*[c for c in venues.columns if c in new.columns]), allowMissingColumns=True)
+    """The venues after the plan, with every field the plan carries; names stay unique in any case.
+
+    The batch is folded by name, then by the venue or place it goes to; the last row (highest seq,
+    which is unique) wins. Rows that would give one new place id to several venues: the first keeps it.
+    """
+    once = best_row(plan.withColumn("_name", F.lower("venue_name")), "_name", [F.desc("seq")])
+    target = (F.when(F.col("venue_id").isNotNull(), F.struct(F.lit("venue").alias("kind"), F.col("venue_id").cast("string").alias("value")))
+              .when(F.col("new_place_id").isNotNull(), F.struct(F.lit("place").alias("kind"), F.col("new_place_id").alias("value")))
+              .otherwise(F.struct(F.lit("name").alias("kind"), F.col("_name").alias("value"))))
+    last = best_row(once.withColumn("_target", target), "_target", [F.desc("seq")])
+    first = last.groupBy("new_place_id").agg(F.min("seq").alias("_first"))
+    last = last.join(first, "new_place_id", "left").withColumn(
+        "google_place_id", F.when(F.col("seq") == F.col("_first"), F.col("new_place_id")))
+    fields = [c for c in VENUE_FIELDS if c in plan.columns]
+    known = venues.columns + [c for c in fields if c not in venues.columns]
+    kinds = dict(plan.dtypes) | dict(venues.dtypes)
+    updates = last.filter("venue_id IS NOT NULL").select("venue_id", F.struct(*fields).alias("u"))
+    joined = venues.select(*[F.col(c) if c in venues.columns else F.lit(None).cast(kinds[c]).alias(c) for c in known]).join(updates, "venue_id", "left")
+    updated = joined.select(*[
+        F.col(c) if c not in fields
+        else F.coalesce(F.col(f"u.{c}"), F.col(c)).alias(c) if c == "google_place_id"
+        else F.when(F.col("u").isNotNull(), F.col(f"u.{c}").cast(kinds[c])).otherwise(F.col(c)).alias(c) for c in known])
+    new = last.filter("venue_id IS NULL").select(*[F.col(c).cast(kinds[c]).alias(c) for c in fields])
+    return updated.unionByName(new, allowMissingColumns=True)
 
 
 def backfill_domain_and_type(df: DataFrame) -> DataFrame:
@@ -205,7 +216,7 @@ def set_type_of_url(df: DataFrame, url: str, listing_type: str) -> DataFrame:
 
 def put_reports(snapshots: DataFrame, reports: DataFrame, key: str = "gap_report") -> DataFrame:
     """Each domain's report under one key of the metadata of its newest snapshot (the least id on a tie)."""
-    newest = snapshots.groupBy("domain").agg(F.max_by("snapshot_id", F.struct(F.col("created_at"), -F.col("snapshot_id"))).alias("snapshot_id"))
+    newest = best_row(snapshots.select("domain", "created_at", "snapshot_id"), "domain", [F.desc("created_at"), "snapshot_id"]).drop("created_at")
     target = newest.join(reports.select("domain", "report"), "domain").select("snapshot_id", "report")
     out = snapshots.join(target, "snapshot_id", "left")
     kept = F.map_filter(F.coalesce("metadata", F.expr("map()").cast("map<string,string>")), lambda k, v: k != key)
@@ -246,27 +257,43 @@ def reconcile_plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         F.when(decision != "REVIEW", F.col("match_id")).alias("match_id"))
 
 
-def apply_reconcile(incoming: DataFrame, stored: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
-    """The table after the plan: REPLACE archives the stored record, everything but REVIEW is written,
-    and sure duplicates within a URL are archived at the end.
+def write_reconciled(incoming: DataFrame, stored: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
+    """The table after the writes of the plan: REPLACE archives the stored record, everything but REVIEW is written.
 
     Archiving comes first, so a record that is written into an archived one can bring it back.
     """
-    plan = settle(plan)
     replaced = plan.filter("decision = 'REPLACE'").select(F.col("existing_id").alias("league_id"))
     writes = plan.filter("insert_action IS NOT NULL").select("league_id", F.col("insert_action").alias("action"), "match_id")
-    current = apply_insert_plan(incoming, archive(stored, replaced), writes, as_of)
-    narrow = settle(current.filter(~F.col("is_archived")).select("url_scraped", "league_id", "quality_score", *fv.SIX_KEY_FIELDS))
-    sure = dedupe.duplicate_pairs(narrow).filter("confidence = 'AUTO'")
-    return archive(current, sure.select(F.col("archive_id").alias("league_id")))
+    return apply_insert_plan(incoming, archive(stored, replaced), writes, as_of)
+
+
+def sure_duplicates(table: DataFrame) -> DataFrame:
+    """The AUTO pairs among the active records of each URL."""
+    narrow = settle(table.filter(~F.col("is_archived")).select("url_scraped", "league_id", "quality_score", *fv.SIX_KEY_FIELDS))
+    return dedupe.duplicate_pairs(narrow).filter("confidence = 'AUTO'")
+
+
+def apply_reconcile(incoming: DataFrame, stored: DataFrame, plan: DataFrame, as_of: Column) -> DataFrame:
+    """The table after the plan is written and sure duplicates within a URL are archived."""
+    current = write_reconciled(incoming, stored, settle(plan), as_of)
+    return archive(current, sure_duplicates(current).select(F.col("archive_id").alias("league_id")))
+
+
+def review_rows(incoming: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows for the review queue: what the plan leaves to a person, with the whole extracted record as JSON."""
+    open_ = plan.filter("decision = 'REVIEW'").select("league_id", F.col("existing_id").alias("existing_league_id"), "reason")
+    records = incoming.select("league_id", F.col("url_scraped").alias("url"), F.to_json(F.struct(*incoming.columns)).alias("extracted"))
+    return records.join(open_, "league_id").select("url", "extracted", "existing_league_id", "reason")
 
 
-def reconcile_counters(plan: DataFrame) -> DataFrame:
-    """Run counters of a reconcile plan."""
+def reconcile_counters(plan: DataFrame, sure: DataFrame) -> DataFrame:
+    """Run counters of a reconcile plan and of the sure duplicates found after it."""
+    rows = plan.select("decision", "existing_id", "insert_action", F.lit(False).alias("sure")).unionByName(
+        sure.select(F.lit(True).alias("sure")), allowMissingColumns=True)
     written = F.col("insert_action").isin("INSERT", "MERGE")
-    return plan.agg(F.count("*").alias("leagues_extracted"), F.count_if(written).alias("leagues_written"),
+    return rows.agg(F.count_if(~F.col("sure")).alias("leagues_extracted"), F.count_if(written).alias("leagues_written"),
                     F.count_distinct(F.when(F.col("decision") == "REPLACE", F.col("existing_id"))).alias("archived"),
-                    F.count_if(F.col("decision") == "REVIEW").alias("review_queued"))
+                    F.count_if(F.col("decision") == "REVIEW").alias("review_queued"), F.count_if("sure").alias("auto_consolidated"))
 
 
 def apply_confirmed_counts(listings: DataFrame, checks: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
     on_home = settle(with_score(first.select("start", F.col("url").alias("parent")).join(edges, "parent")))
     home = on_home.filter(urls.same_site(F.col("url"), F.col("start"))).select("start", "url").distinct()
     primary = on_home.filter((F.col("score") >= min_score) & (F.col("url") != F.col("start")))
-    level = settle(decide(best_row(primary, ["start", "url"], F.struct(F.col("score"), -F.col("position"))), types, True, 1))
+    level = settle(decide(best_row(primary, ["start", "url"], [F.desc("score"), "position"]), types, True, 1))
     levels = [first, level]
     for depth in range(2, max_depth + 2):
         visited = levels[0].select("start", "url")
@@ -74,9 +74,9 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
         found = (level.filter("follow").select("start", F.col("url").alias("parent")).join(edges, "parent")
                  .filter(urls.same_site(F.col("url"), F.col("start")))
                  .join(visited, ["start", "url"], "left_anti").join(home, ["start", "url"], "left_anti"))
-        once = best_row(found, ["start", "parent", "url"], F.col("position"), lowest=True)
+        once = best_row(found, ["start", "parent", "url"], ["position"])
         kept = with_score(top_n(once, ["start", "parent"], ["position", "url"], children)).filter("score >= 0")
-        chosen = best_row(kept, ["start", "url"], F.struct("parent", "position"), lowest=True)
+        chosen = best_row(kept, ["start", "url"], ["parent", "position"])
         level = settle(decide(chosen, types, False, depth))
         levels.append(level)
     out = levels[0]
@@ -103,7 +103,7 @@ def extra_pages(starts: DataFrame, links: DataFrame, reached: DataFrame, min_sco
     uncovered = category_coverage(used, "start").filter("NOT covered").select("start", "field_category")
     fresh = (home.filter(F.col("score") >= lower_score).join(uncovered, ["start", "field_category"], "left_semi")
              .join(reached.select("start", "url"), ["start", "url"], "left_anti"))
-    once = best_row(fresh, ["start", "field_category", "url"], F.struct(F.col("score"), -F.col("position")))
+    once = best_row(fresh, ["start", "field_category", "url"], [F.desc("score"), "position"])
     return top_n(once, ["start", "field_category"], [F.desc("score"), "position", "url"], per_category, "rank").select(
         "start", "field_category", "url", "score", "rank")
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.codes import seasons_table, sports_table
+from .ranking import best_row
 from .reports import domain_city_map
 
 
@@ -75,8 +76,7 @@ def code_names(listings: DataFrame) -> DataFrame:
 def fresh_snapshots(snapshots: DataFrame, as_of: Column, key: str = "url", days: int = 7) -> DataFrame:
     """The newest snapshot per key at a day, if it is not older than `days`."""
     recent = snapshots.filter((F.col("created_at") <= as_of) & (F.col("created_at") >= F.date_sub(as_of, days)))
-    row = F.struct(*[F.col(c) for c in snapshots.columns])
-    return recent.groupBy(key).agg(F.max_by(row, F.struct(F.col("created_at"), -F.col("snapshot_id"))).alias("r")).select("r.*")
+    return best_row(recent, key, [F.desc("created_at"), "snapshot_id"])
 
 
 def fresh_batches(snapshots: DataFrame, as_of: Column, marker: str, days: int = 7, min_chars: int = 1000) -> DataFrame:

@@ -55,9 +55,9 @@ def best_matches(incoming: DataFrame, stored: DataFrame, block: str = "base_doma
               .filter(enough(F.col("shared")))
               .select("league_id", "block", "stored_mask", "shared", value_of(names, F.col("shared")).alias("value")))
     found = probes.join(index, ["block", "stored_mask", "shared", "value"])
-    best = F.max(F.struct(F.bit_count("shared").alias("overlap"), (-F.col("match_id")).alias("minus_id")))
+    best = F.min(F.struct((-F.bit_count("shared")).alias("minus_overlap"), "match_id"))
     return found.groupBy("league_id").agg(best.alias("b")).select(
-        "league_id", (-F.col("b.minus_id")).alias("match_id"), F.col("b.overlap").cast("int").alias("overlap"))
+        "league_id", F.col("b.match_id").alias("match_id"), (-F.col("b.minus_overlap")).cast("int").alias("overlap"))
 
 
 def division_label(day: str = "day_of_week", gender: str = "gender_eligibility",
@@ -77,8 +77,8 @@ def match_divisions(extracted: DataFrame, listings: DataFrame, floor: float = 0.
         "url", F.lower("division_name").alias("division")).distinct()
     scored = (names.join(labels, "url").withColumn("ratio", similarity.ratio("division", "label"))
               .filter(F.col("ratio") >= floor))
-    best = scored.groupBy("url", "division").agg(F.max_by(
-        F.struct("league_id", "ratio"), F.struct(F.col("ratio"), -F.col("league_id"))).alias("b")).select(
+    best = scored.groupBy("url", "division").agg(F.min_by(
+        F.struct("league_id", "ratio"), F.struct((-F.col("ratio")).alias("r"), "league_id")).alias("b")).select(
         "url", "division", F.col("b.league_id").alias("named_id"), F.round("b.ratio", 6).alias("ratio"))
     single = labels.groupBy("url").agg(F.sum("n").alias("n"), F.min("league_id").alias("single_id")).filter("n = 1")
     unnamed = F.coalesce(F.col("division_name"), F.lit("")) == ""

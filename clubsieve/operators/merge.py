@@ -17,42 +17,68 @@ def filled_count(df: DataFrame) -> Column:
 def merge_groups(df: DataFrame, group: list[str], sequence: str = "league_id") -> DataFrame:
     """One record per group: the most complete one, its nulls filled from the others in order.
 
-    Each column is a max_by over the records that have it, so a group folds map-side and its
+    Each column is a min_by over the records that have it, so a group folds map-side and its
     size does not matter.
     """
-    order = F.struct(filled_count(df).alias("n"), (-F.col(sequence)).alias("s"))
+    order = F.struct((-filled_count(df)).alias("n"), F.col(sequence).alias("s"))
     ranked = df.withColumn("_order", order)
     columns = [c for c in df.columns if c not in group]
     merged = ranked.groupBy(*group).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in columns],
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in columns],
         F.count("*").alias("merged_records"))
     present = sum((keys.known(F.col(f)).isNotNull().cast("int") for f in fv.KEY_FIELDS if f in df.columns), F.lit(0))
     return merged.withColumn("identifying_fields_pct", F.round(present * 100.0 / len(fv.KEY_FIELDS), 1))
 
 
+def fold_partners(new: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per stored record that something merges into: its best new value of each column.
+
+    Of all new records paired with it, a column takes its value from the best-scored one that has
+    one, the least id on a tie; the score of that record stays with the value. A partial aggregate,
+    so many partners of one record cost one row per task.
+    """
+    score = F.coalesce("quality_score", F.lit(0))
+    rows = pairs.select("league_id", "match_id").join(new.withColumn("_score", score), "league_id")
+    order = F.struct((-F.col("_score")).alias("s"), "league_id")
+    return rows.groupBy("match_id").agg(*[
+        F.min_by(F.struct(F.col(c).alias("value"), F.col("_score").alias("score")), F.when(F.col(c).isNotNull(), order)).alias(f"new_{c}")
+        for c in columns])
+
+
+def merge_into(new: DataFrame, old: DataFrame, pairs: DataFrame, as_of: Column) -> DataFrame:
+    """The stored table with every new record of a pair (league_id, match_id) merged into its match.
+
+    Each value comes from the best-scored record that has one, among the stored record and all of
+    its partners; new ones go first on equal scores. Id and creation time stay those of the stored
+    record, the score of a changed record is computed anew and the highest completeness kept.
+    `merged` tells which rows changed. The stored side is read once.
+    """
+    columns = [c for c in old.columns if c in new.columns and c not in KEPT_FROM_STORED]
+    joined = old.join(fold_partners(new, pairs, columns), F.col("league_id") == F.col("match_id"), "left")
+    own = F.coalesce("quality_score", F.lit(0))
+
+    def pick(c):
+        found = F.col(f"new_{c}")
+        if c == "identifying_fields_pct":
+            return F.when(F.col("match_id").isNull(), F.col(c)).otherwise(
+                F.greatest(F.coalesce(F.col("best_pct"), F.lit(0)), F.coalesce(F.col(c), F.lit(0))))
+        return F.when(F.col(c).isNull() | (found["score"] >= own), F.coalesce(found["value"], F.col(c))).otherwise(F.col(c))
+
+    if "identifying_fields_pct" in columns:
+        best = pairs.join(new.select("league_id", "identifying_fields_pct"), "league_id").groupBy(
+            F.col("match_id").alias("_target")).agg(F.max("identifying_fields_pct").alias("best_pct"))
+        joined = joined.join(best, F.col("league_id") == F.col("_target"), "left")
+    out = joined.select(*[pick(c).alias(c) if c in columns else F.col(c) for c in old.columns], F.col("match_id").isNotNull().alias("merged"))
+    return out.withColumn("quality_score", F.when(F.col("merged"), scoring.quality_score(out, as_of)).otherwise(F.col("quality_score")))
+
+
 def merge_pairs(new: DataFrame, old: DataFrame, pairs: DataFrame, as_of: Column) -> DataFrame:
-    """Merged record of each (league_id, match_id) pair.
+    """The merged record of each pair (league_id, match_id); `merged_from` is the new record.
 
-    The record with the higher score is the base (the new one wins a tie), its nulls come from
-    the other; id and creation time stay those of the stored record, the score is recomputed and
-    the higher completeness kept.
+    Pairs of one stored record share one merged record, see `merge_into`.
     """
-    columns = [c for c in old.columns if c in new.columns]
-    pack = lambda df, name: df.select(F.col("league_id").alias(f"{name}_id"), F.struct(*columns).alias(name))
-    joined = (pairs.select(F.col("league_id").alias("n_id"), F.col("match_id").alias("o_id"))
-              .join(pack(new, "n"), "n_id").join(pack(old, "o"), "o_id"))
-    score = lambda side: F.coalesce(F.col(f"{side}.quality_score"), F.lit(0))
-    newer = score("n") >= score("o")
-    pick = {c: F.when(newer, F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))).otherwise(
-        F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))) for c in columns}
-    for c in KEPT_FROM_STORED:
-        if c in pick:
-            pick[c] = F.col(f"o.{c}")
-    if "identifying_fields_pct" in pick:
-        pct = "identifying_fields_pct"
-        pick[pct] = F.greatest(F.coalesce(F.col(f"n.{pct}"), F.lit(0)), F.coalesce(F.col(f"o.{pct}"), F.lit(0)))
-    merged = joined.select(F.col("n_id").alias("merged_from"), *[v.alias(c) for c, v in pick.items()])
-    return merged.withColumn("quality_score", scoring.quality_score(merged, as_of))
+    merged = merge_into(new, old, pairs, as_of).filter("merged").drop("merged")
+    return pairs.select(F.col("league_id").alias("merged_from"), F.col("match_id").alias("league_id")).join(merged, "league_id")
 
 
 def absorb(df: DataFrame, pairs: DataFrame) -> DataFrame:

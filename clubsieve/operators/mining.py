@@ -261,7 +261,7 @@ def pages_by_type(pages: DataFrame, site: str, order: str, per_site: int = 5, re
     """
     kept = top_n(pages, site, [order], per_site, "site_rank")
     if repeats == "replace":
-        return best_row(kept, [site, "page_type"], F.col("site_rank")).withColumn("slot", F.col("page_type"))
+        return best_row(kept, [site, "page_type"], [F.desc("site_rank")]).withColumn("slot", F.col("page_type"))
     inside = Window.partitionBy(site, "page_type").orderBy("site_rank")
     again = F.row_number().over(inside) > 1
     return kept.withColumn("slot", F.when(again, F.concat_ws("_", "page_type", (F.col("site_rank") - 1).cast("string")))

@@ -1,34 +1,32 @@
 """Latest rows, survivors and top-n lists.
 
-"The best row of a group" is a max_by / min_by aggregate: it folds map-side, so a group that
-holds a third of the table costs one row per task. "The best n" uses row_number() <= n, which
-Spark turns into a per-task group limit ahead of the shuffle.
+"The best n rows of a group" is row_number() <= n, which Spark turns into a per-task group limit
+ahead of the shuffle: a group that holds a third of the table sends n rows per task. Orders end
+in an ascending id, so ids may be numbers or text.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def best_row(df: DataFrame, keys, order: Column, lowest: bool = False) -> DataFrame:
-    """The whole row with the greatest (or least) order value in each group."""
+def best_row(df: DataFrame, keys, order: list) -> DataFrame:
+    """The whole first row of each group by a list of sort columns."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    pick = F.min_by if lowest else F.max_by
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    return df.groupBy(*keys).agg(pick(whole, order).alias("_row")).select("_row.*")
+    first = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return first.filter(F.col("_rank") <= 1).drop("_rank")
 
 
 def latest_checks(checks: DataFrame) -> DataFrame:
     """Newest check of each listing; the smaller id wins a tie."""
-    order = F.struct(F.col("checked_at"), -F.col("check_id"))
-    return best_row(checks.filter(F.col("league_id").isNotNull()), "league_id", order)
+    return best_row(checks.filter(F.col("league_id").isNotNull()), "league_id", [F.desc("checked_at"), "check_id"])
 
 
 def latest_snapshots(snapshots: DataFrame, by: str = "domain") -> DataFrame:
-    return best_row(snapshots, by, F.struct(F.col("created_at"), -F.col("snapshot_id")))
+    return best_row(snapshots, by, [F.desc("created_at"), "snapshot_id"])
 
 
 def first_by_key(df: DataFrame, key: str, arrival: str) -> DataFrame:
-    return best_row(df, key, F.col(arrival), lowest=True)
+    return best_row(df, key, [F.asc_nulls_last(arrival)])
 
 
 def top_n(df: DataFrame, keys, order: list, n: int, rank_as: str | None = None) -> DataFrame:
@@ -40,7 +38,7 @@ def top_n(df: DataFrame, keys, order: list, n: int, rank_as: str | None = None)
 
 def best_links(links: DataFrame, per_page: int = 20) -> DataFrame:
     """One row per target of a page, with its highest score, then the best targets of the page."""
-    once = best_row(links, ["page_id", "discovered_url"], F.struct(F.col("score"), -F.col("position")))
+    once = best_row(links, ["page_id", "discovered_url"], [F.desc("score"), "position"])
     return top_n(once, "page_id", [F.desc("score"), "position"], per_page, "link_rank")
 
 
@@ -70,4 +68,4 @@ def rank_within(df: DataFrame, key: str, order: list, bucket: Column, rank_as: s
 
 def survivors(df: DataFrame, keys) -> DataFrame:
     """The record with the highest quality of each group; the smaller id wins a tie."""
-    return best_row(df, keys, F.struct(F.coalesce("quality_score", F.lit(0)), -F.col("league_id")))
+    return best_row(df, keys, [F.desc(F.coalesce("quality_score", F.lit(0))), "league_id"])

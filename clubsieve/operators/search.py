@@ -79,6 +79,6 @@ def queue_additions(results: DataFrame, queue: DataFrame, listings: DataFrame) -
     active = queue.filter(F.col("status").isin("PENDING", "IN_PROGRESS")).select(F.col("url").alias("url_canonical"))
     scraped = listings.select(F.col("url_scraped").alias("url_canonical"))
     new = valid.join(active, "url_canonical", "left_anti").join(scraped, "url_canonical", "left_anti")
-    return best_row(new, "url_canonical", F.col("result_id"), lowest=True).select(
+    return best_row(new, "url_canonical", ["result_id"]).select(
         url.alias("url"), urls.base_domain(url).alias("base_domain"), F.col("result_id").alias("source_result_id"),
         "organization_name", "priority", F.lit("PENDING").alias("status"), F.lit(0).alias("scrape_attempts"))

@@ -7,9 +7,10 @@ from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegerType, L
 from .. import schemas
 from ..functions import scoring, urls
 from ..operators import changes, dedupe
+from ..session import settle
 from .fixtures import SPLIT_DAY
 from .join_queries import SAME_DAY_SQL, match_sql, page_parents
-from .merge_queries import MERGED_SQL, _SHOWN
+from .merge_queries import _SHOWN, merged_sql
 from .registry import query
 from .report_queries import checks_with_status
 from .scoring_queries import NINE_COUNT, SCORE_SQL, STATUS_SQL, as_of
@@ -27,7 +28,7 @@ def _(t):
 
 
 @query("m1_apply_insert_plan", f"""
-WITH {match_sql(3)}, {PLAN_SQL}, {MERGED_SQL.replace('FROM best b', "FROM (SELECT * FROM plan WHERE action = 'MERGE') b")}
+WITH {match_sql(3)}, {PLAN_SQL}, to_merge AS (SELECT * FROM plan WHERE action = 'MERGE'), {merged_sql("to_merge")}
 SELECT league_id, {', '.join(_SHOWN)}, {SCORE_SQL} AS quality_score FROM merged
 UNION ALL SELECT league_id, {', '.join(_SHOWN)}, quality_score FROM listings_x WHERE updated_at < date '{SPLIT_DAY}' AND league_id NOT IN (SELECT league_id FROM merged)
 UNION ALL SELECT league_id, {', '.join(_SHOWN)}, quality_score FROM listings_x WHERE league_id IN (SELECT league_id FROM plan WHERE action = 'INSERT')""", ("listings_x",))
@@ -147,15 +148,26 @@ def _(t):
     return changes.venue_upsert_plan(t.venues, found_venues(t)).select("seq", "venue_id", "action", "new_place_id", "province", "city")
 
 
+def named_once(t):
+    """Venues as a table with unique names holds them: the least id of each name."""
+    return t.venues.join(t.venues.groupBy(F.lower("venue_name")).agg(F.min("venue_id").alias("venue_id")), "venue_id", "left_semi")
+
+
 @query("m7_apply_venue_upsert", f"""
-WITH {FOUND_SQL}, last AS (SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY coalesce(cast(venue_id AS varchar), google_place_id, lower(venue_name)) ORDER BY seq DESC) = 1)
-SELECT v.venue_id, CASE WHEN action = 'UPDATE_BY_PLACE' THEN l.venue_name ELSE v.venue_name END AS venue_name,
-  coalesce(l.new_place_id, v.google_place_id) AS google_place_id, CASE WHEN seq IS NOT NULL THEN 'Found ' || seq ELSE google_name END AS google_name
-FROM venues v LEFT JOIN last l ON l.venue_id = v.venue_id
-UNION ALL SELECT NULL, venue_name, new_place_id, 'Found ' || seq FROM last WHERE venue_id IS NULL""", ("venues",))
-def _(t):
-    return changes.apply_venue_upsert(t.venues, changes.venue_upsert_plan(t.venues, found_venues(t))).select(
-        "venue_id", "venue_name", "google_place_id", "google_name")
+WITH stored AS (SELECT * FROM venues WHERE venue_id IN (SELECT min(venue_id) FROM venues GROUP BY lower(venue_name))), {FOUND_SQL.replace("FROM venues ", "FROM stored ").strip()},
+named AS (SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY lower(venue_name) ORDER BY seq DESC) = 1),
+last AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY venue_id, CASE WHEN venue_id IS NULL THEN new_place_id END,
+    CASE WHEN venue_id IS NULL AND new_place_id IS NULL THEN lower(venue_name) END ORDER BY seq DESC) = 1),
+own AS (SELECT * REPLACE (CASE WHEN seq = min(seq) OVER (PARTITION BY new_place_id) THEN new_place_id END AS new_place_id) FROM last)
+SELECT v.venue_id, coalesce(l.venue_name, v.venue_name) AS venue_name, coalesce(l.new_place_id, v.google_place_id) AS google_place_id,
+  CASE WHEN seq IS NOT NULL THEN 'Found ' || seq ELSE google_name END AS google_name, CASE WHEN seq IS NOT NULL THEN seq || ' Elm St, Delta, AB T1T 1T1, Canada' ELSE address END AS address,
+  CASE WHEN seq IS NOT NULL THEN 'AB' END AS province, CASE WHEN seq IS NOT NULL THEN 'Delta' END AS city, CASE WHEN seq IS NOT NULL THEN seq % 100 ELSE confidence_score END AS confidence_score
+FROM stored v LEFT JOIN own l ON l.venue_id = v.venue_id
+UNION ALL SELECT NULL, venue_name, new_place_id, 'Found ' || seq, seq || ' Elm St, Delta, AB T1T 1T1, Canada', 'AB', 'Delta', seq % 100 FROM own WHERE venue_id IS NULL""", ("venues",))
+def _(t):
+    stored = named_once(t)
+    return changes.apply_venue_upsert(stored, changes.venue_upsert_plan(stored, found_venues(t))).select(
+        "venue_id", "venue_name", "google_place_id", "google_name", "address", "province", "city", "confidence_score")
 
 
 @query("m9_backfill_domain_and_type", """
@@ -279,15 +291,6 @@ def _(t):
     return changes.reconcile_plan(t.incoming, t.stored).select("league_id", "existing_id", "decision", "insert_action", "match_id")
 
 
-@query("m15_reconcile_counters", f"""
-WITH {match_sql(3)}, {PLAN_SQL}, {DECISION_SQL}
-SELECT count(*) AS leagues_extracted, count(*) FILTER (decision <> 'REVIEW' AND action IN ('INSERT', 'MERGE')) AS leagues_written,
-  count(DISTINCT existing_id) FILTER (decision = 'REPLACE') AS archived, count(*) FILTER (decision = 'REVIEW') AS review_queued
-FROM decided d JOIN plan p USING (league_id)""", ("listings_x",))
-def _(t):
-    return changes.reconcile_counters(changes.reconcile_plan(t.incoming, t.stored))
-
-
 @query("m16_apply_confirmed_counts", f"""
 WITH u AS (SELECT league_id, new_num_teams FROM checks WHERE {STATUS_SQL} = 'CHANGED'
   QUALIFY row_number() OVER (PARTITION BY league_id ORDER BY checked_at DESC, check_id DESC, new_num_teams DESC) = 1)
@@ -335,17 +338,19 @@ def _(t):
 
 _AFTER_COLUMNS = "league_id, url_scraped, organization_name, sport_season_code, season_year, venue_name, day_of_week, source_comp_level"
 _WRITTEN = "SELECT p.* FROM plan p JOIN decided d USING (league_id) WHERE decision <> 'REVIEW'"
-_MERGED_INTO = (MERGED_SQL.replace("FROM best b", f"FROM ({_WRITTEN} AND action = 'MERGE') b").replace("JOIN listings_x o", "JOIN old2 o"))
+_AFTER_WRITES = f"""
+gone AS (SELECT existing_id AS league_id FROM decided WHERE decision = 'REPLACE'),
+old2 AS (SELECT * REPLACE (is_archived OR league_id IN (SELECT league_id FROM gone) AS is_archived) FROM listings_x),
+to_merge AS ({_WRITTEN} AND action = 'MERGE'), {merged_sql("to_merge", "old2")},
+after0 AS (SELECT {_AFTER_COLUMNS}, {SCORE_SQL} AS quality_score, is_archived FROM merged
+  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM old2 WHERE updated_at < date '{SPLIT_DAY}' AND league_id NOT IN (SELECT league_id FROM merged)
+  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM listings_x WHERE league_id IN (SELECT league_id FROM ({_WRITTEN} AND action = 'INSERT')))"""
 _WALK_AFTER = recursive(WALK_SQL.strip()).replace("FROM listings WHERE NOT is_archived", "FROM after0 WHERE NOT is_archived").replace("pairs AS (", "dup AS (")
 
 
 @query("m15_apply_reconcile", f"""
 WITH {match_sql(3)}, {PLAN_SQL}, {DECISION_SQL},
-gone AS (SELECT existing_id AS league_id FROM decided WHERE decision = 'REPLACE'),
-old2 AS (SELECT * REPLACE (is_archived OR league_id IN (SELECT league_id FROM gone) AS is_archived) FROM listings_x), {_MERGED_INTO},
-after0 AS (SELECT {_AFTER_COLUMNS}, {SCORE_SQL} AS quality_score, is_archived FROM merged
-  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM old2 WHERE updated_at < date '{SPLIT_DAY}' AND league_id NOT IN (SELECT league_id FROM merged)
-  UNION ALL SELECT {_AFTER_COLUMNS}, quality_score, is_archived FROM listings_x WHERE league_id IN (SELECT league_id FROM ({_WRITTEN} AND action = 'INSERT'))),
+{_AFTER_WRITES.strip()},
 {_WALK_AFTER}
 SELECT league_id, url_scraped, quality_score, is_archived OR league_id IN (SELECT archive_id FROM dup WHERE confidence = 'AUTO') AS is_archived FROM after0""",
        ("RECURSIVE", "listings_x"))
@@ -354,6 +359,30 @@ def _(t):
     return changes.apply_reconcile(t.incoming, t.stored, plan, as_of()).select("league_id", "url_scraped", "quality_score", "is_archived")
 
 
+@query("m15_reconcile_counters", f"""
+WITH {match_sql(3)}, {PLAN_SQL}, {DECISION_SQL},
+{_AFTER_WRITES.strip()},
+{_WALK_AFTER}
+SELECT count(*) AS leagues_extracted, count(*) FILTER (decision <> 'REVIEW' AND action IN ('INSERT', 'MERGE')) AS leagues_written,
+  count(DISTINCT existing_id) FILTER (decision = 'REPLACE') AS archived, count(*) FILTER (decision = 'REVIEW') AS review_queued,
+  (SELECT count(*) FROM dup WHERE confidence = 'AUTO') AS auto_consolidated
+FROM decided d JOIN plan p USING (league_id)""", ("RECURSIVE", "listings_x"))
+def _(t):
+    plan = settle(changes.reconcile_plan(t.incoming, t.stored))
+    after = changes.write_reconciled(t.incoming, t.stored, plan, as_of())
+    return changes.reconcile_counters(plan, changes.sure_duplicates(after))
+
+
+@query("m15_review_rows", f"""
+WITH {match_sql(3)}, {PLAN_SQL}, {DECISION_SQL}
+SELECT n.url_scraped AS url, d.existing_id AS existing_league_id, n.league_id AS extracted_id, n.num_teams AS extracted_teams
+FROM decided d JOIN plan p USING (league_id) JOIN listings n ON n.league_id = d.league_id WHERE decision = 'REVIEW'""", ("listings_x",))
+def _(t):
+    out = changes.review_rows(t.incoming, changes.reconcile_plan(t.incoming, t.stored))
+    seen = lambda f, kind: F.get_json_object("extracted", f"$.{f}").cast(kind)
+    return out.select("url", "existing_league_id", seen("league_id", "bigint").alias("extracted_id"), seen("num_teams", "int").alias("extracted_teams"))
+
+
 _NINE_KEYS = ["lower(organization_name)", "trim(lower(sport_name))",
               "cast(coalesce(greatest(year(season_start_date), year(season_end_date)), year(season_start_date), year(season_end_date)) AS varchar)",
               "lower(venue_name)", "lower(day_of_week)", "lower(source_comp_level)", "lower(gender_eligibility)", "cast(num_weeks AS varchar)",

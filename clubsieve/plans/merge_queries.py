@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..operators import matching, merge, reports
+from ..operators import matching, merge, ranking, reports
+from ..session import settle
 from .join_queries import match_sql
 from .registry import query
 from .scoring_queries import NINE_COUNT, SCORE_SQL, as_of
@@ -28,33 +29,32 @@ def _(t):
         "url_scraped", "league_id", "merged_records", *_SHOWN, F.col("identifying_fields_pct").alias("pct"))
 
 
-MERGED_SQL = f"""
-pairs AS (SELECT b.league_id, b.match_id FROM best b JOIN listings_x n ON n.league_id = b.league_id
-  QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY n.quality_score DESC, b.league_id) = 1),
-merged AS (SELECT p.league_id AS merged_from, o.league_id, {', '.join(f"CASE WHEN n.quality_score >= o.quality_score THEN coalesce(n.{c}, o.{c}) ELSE coalesce(o.{c}, n.{c}) END AS {c}" for c in _ALL if c not in ('league_id', 'quality_score'))}
-  FROM pairs p JOIN listings_x n ON n.league_id = p.league_id JOIN listings_x o ON o.league_id = p.match_id)"""
-
-
-def best_pairs(t):
-    """One incoming record per stored one: the best-scored, then the least id."""
-    found = matching.best_matches(t.incoming, t.stored).join(t.incoming.select("league_id", "quality_score"), "league_id")
-    return found.groupBy("match_id").agg(F.max_by("league_id", F.struct(F.col("quality_score"), -F.col("league_id"))).alias("league_id"))
+def merged_sql(pairs: str = "best", old: str = "listings_x") -> str:
+    """Stored records with all of their partners merged: per column the first value by score, new before stored."""
+    values = ", ".join(f"first({c} ORDER BY quality_score DESC, is_new DESC, id) FILTER ({c} IS NOT NULL) AS {c}"
+                       for c in _ALL if c not in ("league_id", "quality_score"))
+    return f"""
+parts AS (SELECT n.* RENAME (league_id AS id), b.match_id AS target, true AS is_new FROM listings_x n JOIN {pairs} b ON b.league_id = n.league_id
+  UNION ALL SELECT o.* RENAME (league_id AS id), league_id, false FROM {old} o WHERE league_id IN (SELECT match_id FROM {pairs})),
+merged AS (SELECT target AS league_id, {values} FROM parts GROUP BY target)"""
 
 
 @query("r5_merge_pairs", f"""
-WITH {match_sql(3)}, {MERGED_SQL} SELECT merged_from, league_id, {', '.join(_SHOWN)}, {SCORE_SQL} AS quality_score FROM merged""", ("listings_x",))
+WITH {match_sql(3)}, {merged_sql()} SELECT b.league_id AS merged_from, m.league_id, {', '.join(_SHOWN)}, {SCORE_SQL} AS quality_score
+FROM best b JOIN merged m ON m.league_id = b.match_id""", ("listings_x",))
 def _(t):
-    return merge.merge_pairs(t.incoming, t.stored, best_pairs(t), as_of()).select("merged_from", "league_id", *_SHOWN, "quality_score")
+    pairs = settle(matching.best_matches(t.incoming, t.stored))
+    return merge.merge_pairs(t.incoming, t.stored, pairs, as_of()).select("merged_from", "league_id", *_SHOWN, "quality_score")
 
 
 def copy_pairs(t):
     """The two best-scored members of every group of copies."""
     keyed = reports.duplicate_groups(t.active, columns=("league_id", "quality_score"))
     ks = [c for c in keyed.columns if c.startswith("key_")]
-    order = lambda c: F.struct(F.col("quality_score"), -F.col(c))
-    best = keyed.groupBy(*ks).agg(F.max_by("league_id", order("league_id")).alias("keep_id"))
+    order = [F.desc("quality_score"), "league_id"]
+    best = ranking.best_row(keyed, ks, order).select(*ks, F.col("league_id").alias("keep_id"))
     rest = keyed.join(best, ks).filter("league_id <> keep_id")
-    return rest.groupBy("keep_id").agg(F.max_by("league_id", order("league_id")).alias("archive_id"))
+    return ranking.best_row(rest, "keep_id", order).select("keep_id", F.col("league_id").alias("archive_id"))
 
 
 COPY_PAIRS_SQL = """

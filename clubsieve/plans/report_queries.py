@@ -346,7 +346,7 @@ SELECT source_url, discovered_url, score, row_number() OVER (PARTITION BY source
 FROM once QUALIFY link_rank <= 3""", ("site_links",))
 def _(t):
     df = t.scored_site_links
-    once = ranking.best_row(df, ["source_url", "discovered_url"], F.struct(F.col("score"), -F.col("position")))
+    once = ranking.best_row(df, ["source_url", "discovered_url"], [F.desc("score"), "position"])
     return ranking.top_n(once, "source_url", [F.desc("score"), "position", "discovered_url"], 3, "link_rank").select(
         "source_url", "discovered_url", "score", "link_rank")
 

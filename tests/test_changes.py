@@ -85,4 +85,40 @@ def test_venue_place_ids_are_never_stolen(t, spark):
     plan = {r.seq: (r.venue_id, r.action, r.new_place_id) for r in changes.venue_upsert_plan(venues, new).collect()}
     assert plan == {1: (1, "UPDATE_BY_NAME", None), 2: (2, "UPDATE_BY_PLACE", "p2"), 3: (3, "UPDATE_BY_NAME", "p9"), 4: (None, "INSERT", "p7")}
     after = changes.apply_venue_upsert(venues, changes.venue_upsert_plan(venues, new)).collect()
-    assert sorted((r.venue_name, r.google_place_id) for r in after) == [("Gym", "p9"), ("New", "p7"), ("Other", "p2"), ("Park", "p1")]
+    assert sorted((r.venue_name, r.google_place_id) for r in after) == [("New", "p7"), ("Other", "p2"), ("PARK", "p1"), ("gym", "p9")]
+
+
+def test_venue_names_and_places_stay_unique(spark):
+    """One name with several places, one place under several names, and a name that reads like an id."""
+    venues = spark.createDataFrame([(1, "Park", "p1"), (12, "Hall", None)], "venue_id bigint, venue_name string, google_place_id string")
+    new = spark.createDataFrame(
+        [(1, "Rink", "p5", None), (2, "RINK", "p6", None), (3, "Arena", "p7", None), (4, "Arena West", "p7", None), (5, "12", None, None),
+         (6, "hall", "p8", None), (7, "Dome", "p8", "1 Elm St, Delta, AB T1T 1T1, Canada")],
+        "seq int, venue_name string, google_place_id string, address string").withColumn("lng", F.col("seq").cast("double"))
+    after = changes.apply_venue_upsert(venues, changes.venue_upsert_plan(venues, new)).collect()
+    got = {r.venue_name: (r.venue_id, r.google_place_id, r.lng, r.city) for r in after}
+    assert len(after) == len({r.venue_name.lower() for r in after})
+    assert got == {"Park": (1, "p1", None, None), "RINK": (None, "p6", 2.0, None), "Arena West": (None, "p7", 4.0, None), "12": (None, None, 5.0, None),
+                   "hall": (12, "p8", 6.0, None), "Dome": (None, None, 7.0, "Delta")}
+
+
+def test_every_merged_record_gives_its_values(spark):
+    """Three records merge into one: each value comes from the best-scored record that has one."""
+    schema = "league_id string, created_at string, quality_score int, url_scraped string, a string, b string, c string, d string"
+    stored = spark.createDataFrame([("s", "old", 40, "u", "sa", None, "sc", None), ("t", "old", 1, "u", "ta", None, None, None)], schema)
+    new = spark.createDataFrame([("x", "new", 50, "u", None, "xb", None, None), ("y", "new", 40, "u", "ya", "yb", None, None),
+                                 ("z", "new", 10, "u", "za", "zb", "zc", "zd")], schema)
+    pairs = new.select("league_id", F.lit("s").alias("match_id"))
+    from clubsieve.operators.merge import merge_into
+    from clubsieve.functions import scoring
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(scoring, "quality_score", lambda df, as_of: F.lit(99))
+        got = sorted(tuple(r) for r in merge_into(new, stored, pairs, as_of()).collect())
+    assert got == [("s", "old", 99, "u", "ya", "xb", "sc", "zd", True), ("t", "old", 1, "u", "ta", None, None, None, False)]
+
+
+def test_reviews_keep_the_whole_record(t):
+    plan = changes.reconcile_plan(t.incoming, t.stored)
+    rows = changes.review_rows(t.incoming, plan).collect()
+    assert len(rows) == plan.filter("decision = 'REVIEW'").count() > 0
+    assert all(r.reason and r.existing_league_id and "organization_name" in r.extracted for r in rows)
