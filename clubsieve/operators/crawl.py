@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, links as link_rules, urls
-from ..session import settle
+from ..session import settle, settle_by
 from .ranking import best_row, top_n
 from .reports import category_coverage
 
+SLOTS = 16
 OUTPUT = ["start", "url", "parent", "depth", "score", "page_type", "action", "follow"]
 
 
@@ -18,6 +19,21 @@ def edges_of(links: DataFrame) -> DataFrame:
         urls.normalize_url(F.col("source_url")).alias("parent"), "position", url.alias("url"), "anchor_text")
 
 
+def laid_out(edges: DataFrame) -> DataFrame:
+    """The edges once more, settled by parent and slot, so that each level moves its frontier only.
+
+    The links of one page are spread over SLOTS partitions.
+    """
+    slot = F.pmod(F.xxhash64("url"), F.lit(SLOTS)).cast("int")
+    return settle_by(edges.withColumn("slot", slot), "parent", "slot")
+
+
+def reach(frontier: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges that leave the frontier (start, parent): each of its rows looks into every slot."""
+    every = frontier.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    return every.join(edges, ["parent", "slot"]).drop("slot")
+
+
 def with_score(edges: DataFrame) -> DataFrame:
     """The navigation score, computed only for links that a join has kept."""
     return edges.withColumn("score", link_rules.navigation_score(F.col("url"), F.col("anchor_text")))
@@ -52,17 +68,17 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
 
     Level 1 takes the links of the start page with at least `min_score`. Later levels, `max_depth`
     of them, take the first `children` unvisited links of a followed page that stay on the site,
-    are not on the start page and have no negative score. Each level is one join and is settled
-    in the shared folder, so the plan does not grow with the depth.
+    are not on the start page and have no negative score. The edges are laid out once; each level is
+    one join that moves its frontier only, and is settled in the shared folder, so the plan does not grow with the depth.
     """
-    edges = edges_of(links)
+    edges = laid_out(edges_of(links))
     types = pages.select(urls.normalize_url(F.col("url")).alias("url"), "page_type").groupBy("url").agg(F.min("page_type").alias("page_type"))
     start = starts.select(urls.normalize_url(F.col("start_url")).alias("start")).distinct()
     first = settle(start.withColumns({"url": F.col("start"), "parent": F.lit(None).cast("string"), "depth": F.lit(0),
                                       "score": F.lit(None).cast("int"), "action": F.lit("collect"), "follow": F.lit(True)})
                    .join(types, "url", "left").select(*OUTPUT))
 
-    on_home = settle(with_score(first.select("start", F.col("url").alias("parent")).join(edges, "parent")))
+    on_home = settle(with_score(reach(first.select("start", F.col("url").alias("parent")), edges)))
     home = on_home.filter(urls.same_site(F.col("url"), F.col("start"))).select("start", "url").distinct()
     primary = on_home.filter((F.col("score") >= min_score) & (F.col("url") != F.col("start")))
     level = settle(decide(best_row(primary, ["start", "url"], [F.desc("score"), "position"]), types, True, 1))
@@ -71,7 +87,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
         visited = levels[0].select("start", "url")
         for done in levels[1:]:
             visited = visited.unionByName(done.select("start", "url"))
-        found = (level.filter("follow").select("start", F.col("url").alias("parent")).join(edges, "parent")
+        found = (reach(level.filter("follow").select("start", F.col("url").alias("parent")), edges)
                  .filter(urls.same_site(F.col("url"), F.col("start")))
                  .join(visited, ["start", "url"], "left_anti").join(home, ["start", "url"], "left_anti"))
         once = best_row(found, ["start", "parent", "url"], ["position"])

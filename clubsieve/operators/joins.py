@@ -63,6 +63,12 @@ def fill_counts(listings: DataFrame, counts: DataFrame) -> DataFrame:
         "num_teams", F.coalesce(F.nullif(F.col("num_teams"), F.lit(0)), F.col("found_teams"), F.col("num_teams"))).drop("found_teams")
 
 
+def backfill_city(listings: DataFrame, results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(league_id, city, city_source) of the listings without a city that get one; others are left out."""
+    lacking = listings.filter("city IS NULL AND url_scraped IS NOT NULL")
+    return city_with_fallback(lacking, results, queries).filter("city IS NOT NULL").select("league_id", "city", "city_source")
+
+
 def code_names(listings: DataFrame) -> DataFrame:
     """Season and sport names of the codes, from the two fixed dictionaries."""
     spark = listings.sparkSession

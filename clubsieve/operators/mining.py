@@ -54,17 +54,18 @@ TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.lis
                              ("row_count", pa.int32()), ("text", pa.string())]))
 
 
-def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True) -> DataFrame:
+def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, snippet: int = 500) -> DataFrame:
     """Per page the weighted elements in page order and the tables, from one parse in Arrow batches.
 
-    Everything after it works on these arrays in place: no shuffle, however large a site is.
+    Texts are whole; `snippet` is how much of the source is shown of each element. Everything after
+    it works on these arrays in place: no shuffle, however large a site is.
     """
     schema = ("page_id bigint, url string, "
               "elements array<struct<tag: string, text: string, snippet: string>>, "
               "tables array<struct<headers: array<string>, rows: array<array<string>>, row_count: int, text: string>>")
 
     def elements_of(root):
-        return [{"tag": e.tag, "text": e.text, "snippet": e.source(500)}
+        return [{"tag": e.tag, "text": e.text, "snippet": e.source(snippet)}
                 for e in html_tree.elements(root, set(fv.ELEMENT_TAG_WEIGHTS))]
 
     def tables_of(root):
@@ -82,9 +83,10 @@ def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True) ->
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
 
-def best_elements(elements: Column, longest: int = 20) -> Column:
+def best_elements(elements: Column, longest: int | None = None, shown: int | None = None) -> Column:
     """The elements with a keyword, weighted by their first keyword and their tag, best first.
 
+    All of them with whole texts, unless `longest` (elements) or `shown` (characters) says otherwise.
     Each step hands its result on as a field, so nothing is computed twice per element.
     """
     long_enough = F.filter(F.transform(elements, lambda e, i: F.struct(i.alias("i"), e.alias("e"), F.lower(e["text"]).alias("low"))),
@@ -96,13 +98,14 @@ def best_elements(elements: Column, longest: int = 20) -> Column:
                      lambda x: x["k"].isNotNull())
     scored = F.transform(found, lambda x: F.struct(
         (-(x["k"]["weight"] * tag_weight(x["e"]["tag"]))).alias("minus_score"), x["i"].alias("element_order"), x["e"]["tag"].alias("tag"),
-        F.substring(x["e"]["text"], 1, 200).alias("text"), x["k"]["keyword"].alias("keyword"), x["e"]["snippet"].alias("snippet")))
-    return F.slice(F.array_sort(scored), 1, longest)
+        (x["e"]["text"] if shown is None else F.left(x["e"]["text"], F.lit(shown))).alias("text"), x["k"]["keyword"].alias("keyword"), x["e"]["snippet"].alias("snippet")))
+    best = F.array_sort(scored)
+    return best if longest is None else F.slice(best, 1, longest)
 
 
-def scored_elements(pages: DataFrame, per_page: int = 20) -> DataFrame:
-    """The best elements of each page, one row each."""
-    best = F.posexplode(best_elements(F.col("elements"), per_page)).alias("i", "e")
+def scored_elements(pages: DataFrame, per_page: int | None = None, shown: int | None = None) -> DataFrame:
+    """The elements of each page with a keyword, best first, one row each; limits as in `best_elements`."""
+    best = F.posexplode(best_elements(F.col("elements"), per_page, shown)).alias("i", "e")
     return parse_pages(pages, tables=False).select("page_id", best).select(
         "page_id", "e.element_order", "e.tag", "e.text", "e.keyword", (-F.col("e.minus_score")).alias("score"),
         (F.col("i") + 1).alias("element_rank"), "e.snippet")
@@ -173,8 +176,11 @@ def text_count_hints(pages: DataFrame, text: str = "text") -> DataFrame:
                         F.explode(page_rules.team_counts(F.col(text))).alias("count"), F.lit(0.7).alias("confidence"))
 
 
-def context_bundle(pages: DataFrame) -> DataFrame:
-    """Per page: type, three tables of five rows, price, count and list hints as nested columns."""
+def context_bundle(pages: DataFrame, shown_tables: int = 3, shown_rows: int = 5) -> DataFrame:
+    """Per page: type, the first rows of the first tables, price, count and list hints as nested columns.
+
+    The two limits are for display; the hints come from all tables and whole texts.
+    """
     hint = lambda source, n, c: F.struct(F.lit(source).alias("source"), n.alias("count"), F.lit(c).alias("confidence"))
     types = pages.select("page_id", "url", page_rules.page_type_text(F.col("html")).alias("page_text"))
     parsed = parse_pages(pages).withColumns({"data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
@@ -183,7 +189,7 @@ def context_bundle(pages: DataFrame) -> DataFrame:
     prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(e["text"]), lambda v: F.struct(
         page_rules.price_kind(e["text"]).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
     hints = parsed.select(
-        "page_id", F.transform(F.slice("data", 1, 3), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, 5).alias("rows"))).alias("tables"),
+        "page_id", F.transform(F.slice("data", 1, shown_tables), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, shown_rows).alias("rows"))).alias("tables"),
         prices.alias("price_hints"),
         F.transform(F.filter("tables", counts_team_rows), lambda t: hint("standings_table", t["row_count"] - 1, 0.85)).alias("table_counts"),
         F.transform(F.filter(numbered, is_listing_table), lambda t: F.struct(

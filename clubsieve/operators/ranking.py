@@ -29,14 +29,15 @@ def first_by_key(df: DataFrame, key: str, arrival: str) -> DataFrame:
     return best_row(df, key, [F.asc_nulls_last(arrival)])
 
 
-def top_n(df: DataFrame, keys, order: list, n: int, rank_as: str | None = None) -> DataFrame:
+def top_n(df: DataFrame, keys, order: list, n: int | None, rank_as: str | None = None) -> DataFrame:
+    """The first n rows of each group; None means all of them."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = ranked.filter(F.col("_rank") <= n)
+    kept = ranked if n is None else ranked.filter(F.col("_rank") <= n)
     return kept.withColumnRenamed("_rank", rank_as) if rank_as else kept.drop("_rank")
 
 
-def best_links(links: DataFrame, per_page: int = 20) -> DataFrame:
+def best_links(links: DataFrame, per_page: int | None = 20) -> DataFrame:
     """One row per target of a page, with its highest score, then the best targets of the page."""
     once = best_row(links, ["page_id", "discovered_url"], [F.desc("score"), "position"])
     return top_n(once, "page_id", [F.desc("score"), "position"], per_page, "link_rank")

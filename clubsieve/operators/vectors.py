@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import pages as page_rules, vectors
 from .ranking import top_n
 
-EMBEDDED_CHARS = 8000
-
 
 def similar(df: DataFrame, query: list[float], k: int = 10, threshold: float = 0.0, vector: str = "embedding") -> DataFrame:
     """The k rows most similar to one query vector, strictly above a threshold.
@@ -29,12 +27,16 @@ def similar_to_each(df: DataFrame, queries: dict[str, list[float]], k: int = 10,
     return top_n(scored, "query", [F.desc("similarity"), "vec_id"], k, "rank")
 
 
-def page_pieces(pages: DataFrame, page_type: Column, metadata: Column) -> DataFrame:
-    """Clean text of pages with the part that an embedding service takes, and tagged metadata."""
+def page_pieces(pages: DataFrame, page_type: Column, metadata: Column, embedded: int | None = 8000) -> DataFrame:
+    """Clean text of pages with the part that an embedding service takes, and tagged metadata.
+
+    `embedded` is the longest input of the service in characters, None for whole texts. Where the
+    rest shall get vectors too, cut `content` with `text_pieces`.
+    """
     text = page_rules.html_to_text(F.col("html"))
     return pages.withColumn("content", text).select(
         "page_id", F.col("url").alias("url_scraped"), page_type.alias("page_type"), "content",
-        F.left("content", F.lit(EMBEDDED_CHARS)).alias("embed_text"),
+        (F.col("content") if embedded is None else F.left("content", F.lit(embedded))).alias("embed_text"),
         F.map_concat(metadata, F.create_map(F.lit("page_type"), page_type, F.lit("source_url"), F.col("url"))).alias("metadata"))
 
 

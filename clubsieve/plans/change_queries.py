@@ -6,14 +6,15 @@ from pyspark.sql.types import BooleanType, DateType, DecimalType, IntegerType, L
 
 from .. import schemas
 from ..functions import scoring, urls
-from ..operators import changes, dedupe
+from ..operators import changes, dedupe, joins
 from ..session import settle
 from .fixtures import SPLIT_DAY
 from .join_queries import SAME_DAY_SQL, match_sql, page_parents
 from .merge_queries import _SHOWN, merged_sql
 from .registry import query
-from .report_queries import checks_with_status
+from .report_queries import DOMAIN_CITY_SQL, checks_with_status
 from .scoring_queries import NINE_COUNT, SCORE_SQL, STATUS_SQL, as_of
+from .sql_parts import CASE_CITY
 
 PLAN_SQL = f"""
 plan AS (SELECT l.league_id, CASE WHEN sport_name IS NULL AND sport_season_code IS NULL THEN 'INVALID' WHEN b.match_id IS NOT NULL THEN 'MERGE'
@@ -206,6 +207,16 @@ def _(t):
     return new.filter("city IS NOT NULL")
 
 
+@query("m9_backfill_city", f"""
+WITH domains AS ({DOMAIN_CITY_SQL})
+SELECT league_id, CASE WHEN quality_score < 50 THEN 'Old Town' ELSE coalesce({CASE_CITY}, d.city) END AS city
+FROM listings LEFT JOIN domains d ON d.domain = regexp_extract(url_scraped, '://www\\.([^/]+)', 1)""", ("listings", "results", "queries"))
+def _(t):
+    before = t.listings.withColumn("city", F.when(F.col("quality_score") < 50, "Old Town"))
+    found = joins.backfill_city(before, t.screened_results, t.queries)
+    return changes.apply_updates(before, found.select("league_id", "city"), "league_id").select("league_id", "city")
+
+
 @query("m10_rename_domain", """
 SELECT league_id, CASE WHEN base_domain = 'org-7.com' THEN 'org-8.com' ELSE base_domain END AS base_domain FROM listings_x""", ("listings_x",))
 def _(t):

@@ -51,3 +51,18 @@ def settle(df):
     """The frame as a reliable checkpoint: it is computed once and survives lost executors."""
     enable_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def settle_by(df, *keys):
+    """The frame as a reliable checkpoint, partitioned by the keys: later joins on them do not move it.
+
+    A checkpoint keeps its partitioning only where its plan is not adaptive, so that is switched
+    off while it is written.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return settle(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

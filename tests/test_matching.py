@@ -123,3 +123,19 @@ def test_same_day_or_only(spark):
                                 "league_id bigint, url_scraped string, day_of_week string")
     got = {r.league_id: r.existing_id for r in matching.same_day_or_only(new, old).collect()}
     assert got == {10: 1, 11: 2, 12: 3, 13: None, 14: None}
+
+
+def test_text_ids(spark):
+    """Latest rows, survivors, matches and merged groups take text ids; the least one wins a tie."""
+    from clubsieve.operators import merge, ranking
+    checks = spark.createDataFrame([("b", "l1", 5), ("a", "l1", 5), ("c", "l1", 4), ("d", None, 9)], "check_id string, league_id string, checked_at int")
+    assert [r.check_id for r in ranking.latest_checks(checks).collect()] == ["a"]
+    rows = spark.createDataFrame([("y", "k", 3, None, "p"), ("x", "k", 3, "v", None)], "league_id string, k string, quality_score int, a string, b string")
+    assert [r.league_id for r in ranking.survivors(rows, "k").collect()] == ["x"]
+    merged = merge.merge_groups(rows, ["k"]).first()
+    assert (merged.league_id, merged.a, merged.b) == ("x", "v", "p")
+    schema = ("league_id string, base_domain string, organization_name string, sport_name string, season_start_date date, season_end_date date, "
+              "venue_name string, day_of_week string, source_comp_level string, gender_eligibility string, num_weeks int, players_per_side int")
+    of = lambda i: (i, "a.com", "Org", "Soccer", None, None, "Gym", "Monday", None, None, 8, None)
+    found = matching.best_matches(spark.createDataFrame([of("n")], schema), spark.createDataFrame([of("t"), of("s")], schema)).collect()
+    assert [tuple(r) for r in found] == [("n", "s", 5)]

@@ -121,3 +121,13 @@ def test_deep_nesting_and_repeated_headers(spark):
     finally:
         mining.listing_tables = keep
     assert record == {"Team": "t", "Day": "Mon", "Fee": "2", "": "b"} and html_tree.tables(html_tree.parse(html))[0].headers[2:4] == ["Fee", "Fee"]
+
+
+def test_prices_of_late_elements_and_long_texts(spark):
+    """A price behind 5000 characters and one in the 30th element with a keyword count like any other."""
+    html = ("<p>Team fee " + "word " * 1000 + "$77.00</p>" + "<p>The cost is shown below</p>" * 40 + "<p>Cost $55.00</p>")
+    got = {r.value for r in mining.price_hints(mining.scored_elements(pages_of(spark, html))).collect()}
+    assert got == {77.0, 55.0}
+    bundle = mining.context_bundle(pages_of(spark, html)).first()
+    assert {p.value for p in bundle.price_hints} == {77.0, 55.0}
+    assert mining.scored_elements(pages_of(spark, html), per_page=20, shown=200).agg({"element_rank": "max"}).first()[0] == 20

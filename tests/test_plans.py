@@ -1,10 +1,11 @@
 """What the physical plans must and must not hold."""
 import pytest
 
+from clubsieve.operators import crawl
 from clubsieve.plans.catalog import QUERIES
 
-RUNS_AT_ONCE = {"s2_csv_round_trip", "s3_append_snapshots", "s8_append_links", "s9_append_checks", "st1_intake_without_repeats", "st2_latest_per_key",
-                "m15_apply_reconcile", "g1_crawl", "g2_extra_pages", "g3_parent_map"}
+# These run streams or write tables; what they return is a scan.
+RUNS_AT_ONCE = {"s2_csv_round_trip", "s3_append_snapshots", "s8_append_links", "s9_append_checks", "st1_intake_without_repeats", "st2_latest_per_key"}
 PYTHON = {"v8_venue_confidence", "h14_tab_score", "j9_match_divisions", "h5_scored_elements", "h5_page_elements", "h6_price_hints_of_elements",
           "h7_page_tables", "h8_team_counts_in_tables", "h9_listing_tables", "h10_link_contexts", "h10_discovered_links", "h18_tree_links",
           "h21_context_bundle", "r1_duplicate_pairs", "r2_duplicate_groups_of_urls", "r3_assign_groups", "r3_assign_groups_with_parents", "r3_deduplicate", "u5_similarity_ratio"}
@@ -51,3 +52,29 @@ def test_filters_and_columns_reach_the_scan(plans):
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_acctbal:double>" in scan
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,3)]" in plans["f16_vectors_of"]
     assert "l_extendedprice" not in plans["f17_checks_of_run"]
+
+
+def test_best_rows_are_not_sorted_aggregates(plans):
+    for name in ("w1_", "w2_", "w3_", "w4_", "w7_", "j4_", "j16_"):
+        for found in [n for n in plans if n.startswith(name)]:
+            assert "SortAggregate" not in plans[found], found
+
+
+def test_applied_plans_move_little(plans):
+    assert plans["m1_apply_insert_plan"].count("Exchange hashpartitioning") <= 15
+
+
+def test_levels_do_not_move_the_edges(spark):
+    """The plan of a level: the frontier is exchanged, the laid out edges are only read."""
+    links = spark.range(1000).selectExpr("concat('https://a.com/p', id % 50) AS source_url", "cast(id AS int) AS position",
+                                         "concat('https://a.com/p', id % 70) AS discovered_url", "'League' AS anchor_text")
+    edges = crawl.laid_out(crawl.edges_of(links))
+    frontier = spark.range(10).selectExpr("'https://a.com' AS start", "concat('https://a.com/p', id) AS parent")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = crawl.reach(frontier, edges)
+        p = plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Exchange hashpartitioning") == 1, p
+    assert found.count() == edges.join(frontier, "parent", "left_semi").count() > 0
