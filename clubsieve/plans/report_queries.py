@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv, scoring, urls
-from ..operators import ranking, reports
+from ..operators import joins, ranking, reports
 from .registry import query
 from .report_sql import WORK_LIST_SQL
 from .scalar_queries import _REASON
@@ -78,20 +78,28 @@ def _(t):
     return reports.duplicate_groups(t.active)
 
 
+# Only verified venues are linked here, so that some names stay open.
+VERIFIED_LINK_SQL = VENUE_LINK_SQL.replace("FROM venues", "FROM venues WHERE manually_verified")
+
+
+def linked_to_verified(t):
+    return joins.link_venues(t.listings_x, t.venues.filter("manually_verified"))
+
+
 @query("a8_venue_progress", f"""
-WITH {VENUE_LINK_SQL}
+WITH {VERIFIED_LINK_SQL}
 SELECT count(DISTINCT venue_name) AS total, count(DISTINCT venue_name) FILTER (venue_id IS NOT NULL) AS enriched,
   greatest(0, count(DISTINCT venue_name) - count(DISTINCT venue_name) FILTER (venue_id IS NOT NULL)) AS pending,
   (SELECT count(*) FROM venues WHERE NOT manually_verified AND confidence_score < 60) AS needs_review FROM linked""", ("listings_x", "venues"))
 def _(t):
-    return reports.venue_progress(t.linked, t.venues)
+    return reports.venue_progress(linked_to_verified(t), t.venues)
 
 
 @query("a9_unlinked_venue_names", f"""
-WITH {VENUE_LINK_SQL} SELECT venue_name, count(*) AS league_count FROM linked
+WITH {VERIFIED_LINK_SQL} SELECT venue_name, count(*) AS league_count FROM linked
 WHERE venue_id IS NULL AND venue_name IS NOT NULL GROUP BY venue_name""", ("listings_x", "venues"))
 def _(t):
-    return reports.unlinked_venue_names(t.linked)
+    return reports.unlinked_venue_names(linked_to_verified(t))
 
 
 @query("a10_venue_listing_stats", f"""

@@ -12,7 +12,7 @@ from clubsieve.plans.catalog import ORACLE, QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-MAY_BE_EMPTY = {"s4_snapshots_of_url", "a9_unlinked_venue_names"}
+MAY_BE_EMPTY = {"s4_snapshots_of_url"}
 
 
 def plain(v):
