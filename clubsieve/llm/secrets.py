@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -135,12 +137,10 @@ def infer(samples: list[list[int]], alpha: float = ALPHA) -> Automaton:
 
 
 def _uncovered(text: str, spans) -> list[tuple[int, int]]:
-    """Candidate tokens that touch no base span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in spans):
-            out.append((m.start(), m.end()))
-    return out
+    """Candidate tokens that touch no base span; spans are in order of their starts."""
+    starts, reach = [a for a, _, _ in spans], [0, *accumulate((b for _, b, _ in spans), max)]
+    found = ((m.start(), m.end()) for m in CANDIDATE.finditer(text))
+    return [(a, b) for a, b in found if reach[bisect_left(starts, b)] <= a]  # how far the spans that start before b reach
 
 
 def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -54,12 +54,18 @@ def _keyed(texts: list[bytes], width: int, buckets: int):
     return data, starts, ends, first, at, h, bucket, new
 
 
-def _name(texts: list[bytes]) -> str:
-    """A block is known by its contents, so that it is the same one when it is computed again."""
+def _name(block: pa.Table, texts: list[bytes], text_at: int) -> str:
+    """A block is known by its contents, so that it is the same one when it is computed again.
+
+    All columns count: blocks of nothing but copies of one text still differ in their ids.
+    """
     d = xxhash.xxh3_128()
     for t in texts:
         d.update(len(t).to_bytes(8, "little"))
         d.update(t)
+    for k, column in enumerate(block.columns):
+        if k != text_at:
+            d.update(repr(column.to_pylist()).encode("utf-8", "surrogatepass"))
     return d.hexdigest()
 
 
@@ -76,7 +82,7 @@ def _packed(docs: DataFrame, text_at: int, width: int, buckets: int) -> DataFram
             cut = np.flatnonzero(np.diff(of, prepend=-1))
             stop = np.append(cut[1:], len(of))
             yield pa.RecordBatch.from_arrays([
-                pa.array([_name(texts)] * len(cut)), pa.array(of[cut], pa.int32()),
+                pa.array([_name(block, texts, text_at)] * len(cut)), pa.array(of[cut], pa.int32()),
                 pa.array([distinct[a:b].astype("<u8").tobytes() for a, b in zip(cut, stop)], pa.binary()),
                 pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(cut, stop)], pa.binary()),
             ], names=["block", "bucket", "hashes", "again"])
@@ -110,7 +116,7 @@ def _stored(docs: DataFrame, text_at: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(block)
-            name = _name(W.text_bytes(block.column(text_at)))
+            name = _name(block, W.text_bytes(block.column(text_at)), text_at)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
     return docs.mapInArrow(run, "block string, rows binary")
