@@ -113,7 +113,9 @@ def probability(score: np.ndarray, a: float, b: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """A model of plan.labels (columns of labels holding 0 or 1), or None if the sample lacks a label's 0 or 1.
+    """A model of plan.labels (columns of labels holding 0 or 1), or None if the sample lacks the last label's 0 or 1.
+
+    An earlier label that lacks one of them picks no features and gets about its base rate everywhere.
 
     Rows of labels with a null id or label are left out; of repeated ids one counts, the one with the
     greatest labels. Of repeated documents one text counts.
@@ -145,10 +147,11 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
     for r in rows.mapInArrow(frequencies, "total binary, seen binary").toLocalIterator():  # four tasks, 2**bits counts per label
         total += np.frombuffer(zlib.decompress(r.total), dtype=np.int32).reshape(total.shape)
         seen += np.frombuffer(r.seen, dtype=np.int64)
-    if (seen == 0).any() or (seen[1:] == seen[0]).any():
+    told = (seen[1:] > 0) & (seen[1:] < seen[0])
+    if not told[-1]:
         return None
     z = np.zeros(total.shape[1])
-    for k in range(len(cols)):
+    for k in np.flatnonzero(told):
         on, n1, n0 = total[k + 1], seen[k + 1], seen[0] - seen[k + 1]
         off, p = total[0] - on, total[0] / seen[0]
         z = np.maximum(z, np.abs(on / n1 - off / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1)))
@@ -172,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
                        pa.array([x[i:j].astype("<f4").tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())], names=[*cols, "s", "x"])
 
     sparse = rows.mapInArrow(vectors, ", ".join(f"{c} int" for c in cols) + ", s binary, x binary").collect()
+    sparse.sort(key=lambda r: (zlib.crc32(r.s), zlib.crc32(r.x), *(r[c] for c in cols)))  # folds and sums do not follow the order of arrival
     del total, z
     x = np.zeros((len(sparse), width - 1), dtype=np.float32)
     for i, r in enumerate(sparse):

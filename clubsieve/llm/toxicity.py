@@ -33,8 +33,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """All columns of docs, and p_<category> for each and the verdict is_toxic: the last probability reaches the threshold.
 
     labels holds the categories of plan.labels as 0 or 1. Null and empty texts have no feature and get the
-    base rates. Categories without both kinds of label leave no model: probabilities are null and no row is
-    toxic. Repeated rows are scored each. Columns of docs that bear an added name are replaced.
+    base rates, as does every text for an earlier category without both kinds of label. A last category
+    without both leaves no model: probabilities are null and no row is toxic. Repeated rows are scored each. Columns of docs that bear an added name are replaced.
     """
     model = linear.fit(docs, labels, plan, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**bits slots and `features` weights
