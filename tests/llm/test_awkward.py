@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import brute
@@ -28,6 +29,27 @@ def test_substrings(spark):
     assert substrings.without_repeated_windows(docs(spark).limit(0)).collect() == []
 
 
+def test_blocks_of_copies_only(spark, monkeypatch):
+    """Blocks of equal texts and different ids are different blocks, so no group holds more than one."""
+    rows = [(i, PASSAGE, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, removed int").repartition(4)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2 * len(PASSAGE))
+    assert [tuple(r) for r in substrings.without_repeated_windows(frame).select("n_words", "n_removed", "kept_text").distinct().collect()] == [(60, 60, "")]
+    table = pa.table({"doc_id": [1, 1], "text": ["a", "a"]})
+    assert substrings._name(table.slice(0, 1), [b"a"], 1) == substrings._name(table.slice(1, 1), [b"a"], 1) != substrings._name(pa.table({"doc_id": [2], "text": ["a"]}), [b"a"], 1)
+
+
+def test_tokens_that_touch_no_span():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices("abcdef0123456789=/_K", k=rng.choice((3, 21, 30)))) for _ in range(rng.randrange(8)))
+        spans = sorted((a, a + rng.randrange(1, 30), "hex") for a in rng.choices(range(len(text) + 1), k=rng.randrange(5)))
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
+        assert secrets._uncovered(text, spans) == want
+    many = " ".join(f"{'q' * 22} {'0' * 24}" for _ in range(30_000))
+    assert len(secrets._uncovered(many, secrets.base_spans(many))) == 30_000
+
+
 def test_token_files(spark, tmp_path):
     frame = docs(spark, "start")
     token_files.write_token_files(frame, str(tmp_path / "f"))
