@@ -31,7 +31,7 @@ class Plan:
     folds: int = 5
     lower: bool = True
     rate: bool = False  # weigh counts by the length of the text
-    steps: int = 120
+    steps: int = 400
     penalty: float = 1e-4
 
 
