@@ -18,6 +18,8 @@ from ..session import settle
 from . import words as W
 
 SLICE = 1 << 20
+BLOCK = 1 << 14  # hash values whose counts are summed in one task
+STRIP = 256  # rows of the training matrix that stay in cache between its two products
 
 
 @dataclass(frozen=True)
@@ -26,8 +28,8 @@ class Plan:
     labels: tuple[str, ...]
     grams: tuple[int, ...] = (4, 5)
     bits: int = 20
-    rows: int = 6_000
-    features: int = 1024
+    rows: int = 10_000
+    features: int = 2048
     folds: int = 5
     lower: bool = True
     rate: bool = False  # weigh counts by the length of the text
@@ -79,18 +81,28 @@ def _prepared(batch: pa.RecordBatch, at: int, plan: Plan):
         yield a, b, texts[a:b]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, plan: Plan) -> tuple[np.ndarray, float]:
-    """Weights and bias of a regularised logistic regression, by Adam over all rows."""
-    w, m, v = (np.zeros(x.shape[1] + 1, dtype=np.float64) for _ in range(3))
-    rate = y.mean() if len(y) else 0.5
+def logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of regularised logistic regressions, one per column of `use`, by Adam over the rows it marks.
+
+    All of them walk the rows together, so no subset of x is copied and x is read once a step.
+    """
+    n = use.sum(axis=0)
+    share = use / np.maximum(1, n)
+    rate = np.where(n > 0, y @ share, 0.5)
+    w, m, v = (np.zeros((x.shape[1] + 1, use.shape[1]), dtype=np.float64) for _ in range(3))
     w[-1] = np.log((rate + 1e-3) / (1 - rate + 1e-3))
     for t in range(1, plan.steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1].astype(np.float32) + w[-1], -30, 30)))
-        d = ((p - y) / max(1, len(y))).astype(np.float32)
-        g = np.append(d @ x, d.sum()) + plan.penalty * np.append(w[:-1], 0)
+        w32, g = w[:-1].astype(np.float32), plan.penalty * w
+        g[-1] = 0
+        for i in range(0, len(x), STRIP):
+            strip = x[i:i + STRIP]
+            p = 1 / (1 + np.exp(-np.clip(strip @ w32 + w[-1], -30, 30)))
+            d = ((p - y[i:i + STRIP, None]) * share[i:i + STRIP]).astype(np.float32)
+            g[:-1] += strip.T @ d
+            g[-1] += d.sum(axis=0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-1], w[-1]
 
 
 def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -126,12 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
     sample = one.orderBy(F.xxhash64("id"), "id").limit(plan.rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample has at most plan.rows rows of two numbers and the labels.
-    rows = settle(texts.join(F.broadcast(sample), "id").groupBy("id", *cols).agg(F.max("text").alias("text")).select("text", *cols)).coalesce(4)
+    rows = settle(texts.join(F.broadcast(sample), "id").groupBy("id", *cols).agg(F.max("text").alias("text")).select("text", *cols)).coalesce(8)
+
+    seen = np.array(rows.agg(F.count("*"), *[F.coalesce(F.sum((F.col(c) != 0).cast("long")), F.lit(0)) for c in cols]).first(), dtype=np.float64)
+    told = (seen[1:] > 0) & (seen[1:] < seen[0])
+    if not told[-1]:
+        return None
 
     def frequencies(batches):
         n = 1 << plan.bits
         total = np.zeros((len(cols) + 1, n), dtype=np.int32)  # texts with the feature: all, and those with each label
-        seen = np.zeros(len(cols) + 1, dtype=np.int64)
         for b in batches:
             y = np.array([[1] * b.num_rows] + [b.column(1 + k).to_pylist() for k in range(len(cols))], dtype=bool)
             for lo, hi, part in _prepared(b, 0, plan):
@@ -140,24 +156,22 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
                 of, value = pairs >> plan.bits, pairs & (n - 1)
                 for k in range(len(cols) + 1):
                     total[k] += np.bincount(value[y[k, lo:hi][of]], minlength=n).astype(np.int32)
-                seen += y[:, lo:hi].sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["total", "seen"])
-
-    total, seen = np.zeros((len(cols) + 1, 1 << plan.bits), dtype=np.int32), np.zeros(len(cols) + 1)
-    for r in rows.mapInArrow(frequencies, "total binary, seen binary").toLocalIterator():  # four tasks, 2**bits counts per label
-        total += np.frombuffer(zlib.decompress(r.total), dtype=np.int32).reshape(total.shape)
-        seen += np.frombuffer(r.seen, dtype=np.int64)
-    told = (seen[1:] > 0) & (seen[1:] < seen[0])
-    if not told[-1]:
-        return None
-    z = np.zeros(total.shape[1])
-    for k in np.flatnonzero(told):
-        on, n1, n0 = total[k + 1], seen[k + 1], seen[0] - seen[k + 1]
-        off, p = total[0] - on, total[0] / seen[0]
-        z = np.maximum(z, np.abs(on / n1 - off / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1)))
-    best = np.argsort(-z, kind="stable")[: plan.features]
-    best = best[z[best] > 0]
-    slot = np.zeros(total.shape[1], dtype=np.int32)
+        firsts = range(0, n, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array([zlib.compress(total[:, a:a + BLOCK].tobytes(), 1) for a in firsts], pa.binary())], names=["first", "total"])
+
+    def differences(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(t), dtype=np.int32).reshape(len(cols) + 1, -1) for t in group.column("total").to_pylist())
+        z = np.zeros(total.shape[1])
+        for k in np.flatnonzero(told):
+            on, n1, n0 = total[k + 1], seen[k + 1], seen[0] - seen[k + 1]
+            off, p = total[0] - on, total[0] / seen[0]
+            z = np.maximum(z, np.abs(on / n1 - off / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n0 + 1 / n1)))
+        at = np.flatnonzero(z > 0)
+        return pa.table({"value": group.column("first")[0].as_py() + at, "z": z[at]})
+
+    ranked = rows.mapInArrow(frequencies, "first bigint, total binary").groupBy("first").applyInArrow(differences, "value bigint, z double")
+    best = [r.value for r in ranked.orderBy(F.desc("z"), "value").limit(plan.features).collect()]  # at most plan.features numbers
+    slot = np.zeros(1 << plan.bits, dtype=np.int32)
     slot[best] = np.arange(1, len(best) + 1)
     width = len(best) + 1
     shared = docs.sparkSession.sparkContext.broadcast(slot)
@@ -176,27 +190,31 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str = "doc_id",
 
     sparse = rows.mapInArrow(vectors, ", ".join(f"{c} int" for c in cols) + ", s binary, x binary").collect()
     sparse.sort(key=lambda r: (zlib.crc32(r.s), zlib.crc32(r.x), *(r[c] for c in cols)))  # folds and sums do not follow the order of arrival
-    del total, z
-    x = np.zeros((len(sparse), width - 1), dtype=np.float32)
+    x = np.zeros((len(sparse), width - 1 + len(cols)), dtype=np.float32)  # the last columns are filled by the chain
     for i, r in enumerate(sparse):
         x[i, np.frombuffer(r.s, dtype="<i4") - 1] = np.frombuffer(r.x, dtype="<f4")
-    return Model(plan, slot, tuple(fit_chain(x, np.array([[r[c] for c in cols] for r in sparse], dtype=np.float64), plan)))
+    y = np.array([[r[c] for c in cols] for r in sparse], dtype=np.float64)
+    del sparse
+    return Model(plan, slot, tuple(chained(x, y, plan)))
 
 
 def fit_chain(x: np.ndarray, y: np.ndarray, plan: Plan):
     """A layer per column of y; each sees the out-of-fold probabilities of those before it."""
+    return chained(np.concatenate([x, np.zeros(y.shape, dtype=np.float32)], axis=1), y, plan)
+
+
+def chained(x: np.ndarray, y: np.ndarray, plan: Plan):
+    """fit_chain with room in x for a column per column of y, which it fills."""
     fold = np.arange(len(x)) * 2654435761 % (1 << 32) * plan.folds >> 32
+    use = np.column_stack([*(fold != f for f in range(plan.folds)), np.ones(len(x), dtype=bool)])
+    width = x.shape[1] - y.shape[1]
     for k in range(y.shape[1]):
-        t = y[:, k]
-        score = np.zeros(len(x))
-        for f in range(plan.folds):
-            out = fold == f
-            w, bias = logistic(x[~out], t[~out], plan)
-            score[out] = x[out] @ w.astype(np.float32) + bias
-        w, bias = logistic(x, t, plan)
+        t, seen = y[:, k], x[:, :width + k]
+        w, bias = logistic(seen, t, use, plan)
+        score = (seen @ w.astype(np.float32) + bias)[np.arange(len(x)), fold]
         a, b = platt(score, t)
-        yield w, bias, a, b
-        x = np.concatenate([x, probability(score, a, b)[:, None].astype(np.float32)], axis=1)
+        yield w[:, -1], float(bias[-1]), a, b
+        x[:, width + k] = probability(score, a, b)
 
 
 def predict(model: Model, texts: list[bytes]) -> np.ndarray:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from clubsieve.llm import linear, quality, toxicity
+from clubsieve.llm import linear, quality, queries, toxicity
 
 PLAN = linear.Plan(labels=("insult", "contempt", "toxic"), grams=(5, 6), rows=400, features=256, steps=60)
 
@@ -55,3 +55,26 @@ def test_awkward_rows(spark):
     assert all(r.p_toxic is not None for r in toxicity.score_toxicity(docs, both, plan=PLAN).collect())
     assert quality.score_quality(docs.limit(0), both).collect() == []
     assert toxicity.score_toxicity(docs.limit(0), toxicity.weak_labels(docs.limit(0), both)).collect() == []
+
+
+def test_rare_toxic_words_of_held_out_labels(spark, tmp_path):
+    # 149 words of eight letters have 1788 hashed features of their own.
+    rng = random.Random(4)
+    rare = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(149)]
+    rows = []
+    for i in range(4000):
+        words = [rng.choice(("tree", "river", "stone", "walks")) for _ in range(20)]
+        if i % 2:
+            words.insert(rng.randrange(len(words)), rare[i // 2 % len(rare)])
+        rows.append((i, " ".join(words), i % 2))
+    spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, toxic) for i, _, toxic in rows if i % 3], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r.toxic for r in queries.op4_toxicity(spark, str(tmp_path)).collect()}
+    held = [r for r in rows if r[0] % 3 == 0]
+    assert np.mean([got[i] for i, _, toxic in held if toxic]) > 0.97
+    assert not any(got[i] for i, _, toxic in held if not toxic)
+
+
+def test_the_models_read_ten_thousand_labelled_rows():
+    for plan in (toxicity.PLAN, quality.PLAN):
+        assert (plan.rows, plan.features) == (10_000, 2048)
