@@ -3,8 +3,8 @@
 Grammar inference in the manner of state merging: the credentials of one kind make a prefix tree with
 counts; states whose outgoing frequencies do not differ by more than a Hoeffding bound are merged, and what
 is left is a probabilistic automaton over character classes. A background automaton is learned from long
-tokens that no base pattern covers. Every candidate token of every text is scored by its likelihood under
-the formats against the background; those above a fixed margin are added to the base spans.
+tokens that no base pattern covers. Every candidate token of every text, or what base spans leave of it, is
+scored by its likelihood under the formats against the background; those above a fixed margin are added.
 """
 from __future__ import annotations
 
@@ -25,9 +25,9 @@ KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are longest anyway, so shorter ones need not be matched and dropped
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-SAMPLE, MARGIN = 400, 12.0
+LEAST_ASSIGN, LEAST_ACCESS, LEAST_CANDIDATE = 6, 20, 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
+SAMPLE, MARGIN, LONGEST_SAMPLE = 400, 12.0, 256
 ALPHA = 0.05
 
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
@@ -143,6 +143,29 @@ def _uncovered(text: str, spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found if reach[bisect_left(starts, b)] <= a]  # how far the spans that start before b reach
 
 
+def _left_over(text: str, spans) -> list[tuple[int, int]]:
+    """The stretches that spans leave of candidate tokens, where long enough; spans are in order of their starts."""
+    covered: list[list[int]] = []
+    for a, b, _ in spans:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    out, i = [], 0
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while i < len(covered) and covered[i][1] <= at:
+            i += 1
+        while i < len(covered) and covered[i][0] < end:
+            out.append((at, covered[i][0]))
+            at = covered[i][1]
+            if at >= end:
+                break
+            i += 1
+        out.append((at, end))
+    return [(a, b) for a, b in out if b - a >= LEAST_CANDIDATE]
+
+
 def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """kind, token: at most `sample` distinct credentials per base kind, and as many background tokens."""
 
@@ -155,11 +178,11 @@ def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
                 spans = base_spans(text)
                 for a, z, kind in spans:
                     token = ASSIGN.match(text[a:z])[2] if kind == "assign" else text[a:z]
-                    if len(token) <= 256:
+                    if len(token) <= LONGEST_SAMPLE:
                         kinds.append(kind)
                         tokens.append(token)
                 for a, z in _uncovered(text, spans):
-                    if z - a <= 256:
+                    if z - a <= LONGEST_SAMPLE:
                         kinds.append("background")
                         tokens.append(text[a:z])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
@@ -195,9 +218,9 @@ def likely(token: str, models: dict[str, Automaton], margin: float = MARGIN) ->
 
 
 def all_spans(text: str, models: dict[str, Automaton], margin: float = MARGIN):
-    """Base spans, and all spans: a token in which no base span lies may be added as kind `format`."""
+    """Base spans, and all spans: a token, or what base spans leave of one, may be added as kind `format`."""
     base = base_spans(text)
-    more = [(a, z, "format") for a, z in _uncovered(text, base) if likely(text[a:z], models, margin)]
+    more = [(a, z, "format") for a, z in _left_over(text, base) if likely(text[a:z], models, margin)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -214,6 +237,10 @@ def redact(text: str, spans, mark: str = "[secret]") -> str:
 def scan(docs: DataFrame, text_col: str = "text", margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
     """All columns of docs, and base and spans (array of kind, start, end in code points) and redacted (the text without them).
 
+    Outside the base patterns only tokens, and stretches that base spans leave of a token, of 20 characters or
+    more are scored: a shorter credential without a base pattern is not found. Formats are learned from whole
+    tokens of at most 256 characters; longer ones are scored all the same.
+
     A null text is empty. Repeated rows are scanned each. Without labelled credentials of any kind, or
     without background tokens, only the base patterns count. Columns of docs that bear an added name are replaced.
     """
