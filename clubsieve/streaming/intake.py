@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -19,41 +21,65 @@ def stream_of(spark: SparkSession, path: str, schema, files_per_batch: int = 100
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def without_repeats(stream: DataFrame, time: str, keys: list[str], within: str) -> DataFrame:
+@dataclass(frozen=True)
+class Intake:
+    """A stream whose rows are walked per key in order of time, once all that is there has arrived."""
+    stream: DataFrame
+    time: str
+    keys: tuple[str, ...]
+    within: str
+
+
+def without_repeats(stream: DataFrame, time: str, keys: list[str], within: str) -> Intake:
     """The rows of each key that come at least a span of time after the last one kept; rows without a time are left out.
 
-    The time last kept is the state of a key; rows of one batch are walked in order of time, so it does not
-    matter how many files a batch holds as long as later batches hold later rows. A row that arrives after a
-    later one was kept stays if it lies a whole span before it. State goes when the watermark is a span past it.
+    Which rows stay depends on all earlier ones of the key, whatever the order of their arrival, so the stream only
+    appends rows and run_to_table walks the table: no row is late, and it does not matter how files fall into batches.
+    """
+    return Intake(stream, time, tuple(keys), within)
+
+
+def first_of_each_span(rows: DataFrame, time: str, keys: list[str] | tuple[str, ...], within: str) -> DataFrame:
+    """The batch rule of without_repeats. Of rows of one time the least counts, by the other columns in order, nulls last.
+
+    Rows of one key and time fold in Spark; the rest stream through the walk sorted, in Arrow batches, and the
+    walk remembers the key and the time last kept.
+    """
+    span, columns = pd.Timedelta(within).value // 1000, rows.columns
+    at = [columns.index(k) for k in keys]
+    order = [part for c in columns if c not in (*keys, time) for part in (F.col(c).isNull().alias(f"no {c}"), F.col(c))]
+    one = rows.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.min(F.struct(F.lit(0).alias("none of them"), *order)).alias("least of them"))
+    sorted_rows = one.select(*[F.col(c) if c in (*keys, time) else F.col(f"least of them.`{c}`") for c in columns],
+                             F.unix_micros(F.col(time).cast("timestamp")).alias("micros of it")).repartition(*keys).sortWithinPartitions(*keys, time)
+
+    def walk(batches):
+        current, last = None, 0
+        for b in batches:
+            kept = []
+            for *key, t in zip(*[b.column(i).to_pylist() for i in at], b.column(len(columns)).to_pylist()):
+                take = key != current or t - last >= span
+                kept.append(take)
+                if take:
+                    current, last = key, t
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(kept, pa.bool_()))
+
+    return sorted_rows.mapInArrow(walk, rows.schema)
+
+
+def run_to_table(stream: DataFrame | Intake, folder: str) -> str:
+    """Runs a stream over all that is there and returns the path of the table it wrote.
+
+    Rows of an Intake are appended to a table of their own; what is kept of all of them replaces the table.
     """
-    span = pd.Timedelta(within)
-
-    def walk(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames))
-        rows = rows.sort_values([time, *[c for c in rows.columns if c != time]], kind="stable")
-        last, kept = pd.Timestamp(state.get[0], unit="us") if state.exists else None, []
-        for t in rows[time]:
-            take = last is None or abs(t - last) >= span
-            kept.append(take)
-            if take and (last is None or t > last):
-                last = t
-        state.update((last.value // 1000,))
-        state.setTimeoutTimestamp(max(last.value // 1_000_000 + int(span.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows[kept]
-
-    timed = stream.where(F.col(time).isNotNull()).withWatermark(time, within)
-    return timed.groupBy(*keys).applyInPandasWithState(walk, stream.schema, "last bigint", "append", "EventTimeTimeout")
-
-
-def run_to_table(stream: DataFrame, folder: str) -> str:
-    """Runs a stream over all that is there and returns the path of the table it wrote."""
     out = f"{folder}/table"
-    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/progress")
+    rows = stream.stream if isinstance(stream, Intake) else stream
+    path = f"{folder}/rows" if isinstance(stream, Intake) else out
+    q = (rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{folder}/progress")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if isinstance(stream, Intake):
+        arrived = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        first_of_each_span(arrived, stream.time, stream.keys, stream.within).write.mode("overwrite").parquet(out)
     return out
 
 

@@ -1,6 +1,8 @@
 """Streams over several files against the batch rule."""
 import datetime
+import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from clubsieve.streaming import intake
@@ -35,3 +37,27 @@ def test_repeats_within_the_span_are_dropped(spark, tmp_path):
         stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=files)
         out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / f"work{files}"))
         assert {r.event_id for r in spark.read.parquet(out).collect()} == {1, 3, 5, 7}
+
+
+def test_any_order_of_files_agrees_with_sql(spark, tmp_path):
+    """Files in reverse order of time, keys hours apart, equal times and nulls, at several files a batch."""
+    rng = random.Random(3)
+    rows = [(i, at(rng.randrange(0, 1200)) if i % 20 else None, rng.choice((1, 1, 2, 3))) for i in range(150)]
+    rows += [(200 + i, at(6000 + 20 * i), 4) for i in range(10)]
+    rows.sort(key=lambda r: r[1] or at(0), reverse=True)
+    source = str(tmp_path / "in")
+    write_batches(spark, source, [rows[i:i + 14] for i in range(0, len(rows), 14)])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE e0 (event_id BIGINT, ts TIMESTAMP, user_id BIGINT)")
+    con.executemany("INSERT INTO e0 VALUES (?, ?, ?)", rows)
+    want = {r[0] for r in con.execute("""
+        WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e0 WHERE ts IS NOT NULL),
+        walk AS (SELECT *, TRUE AS kept, ts AS last FROM e WHERE n = 1
+          UNION ALL SELECT e.*, e.ts - w.last >= INTERVAL 1 HOUR, CASE WHEN e.ts - w.last >= INTERVAL 1 HOUR THEN e.ts ELSE w.last END
+          FROM walk w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+        SELECT event_id FROM walk WHERE kept""").fetchall()}
+    for files in (1, 10, 100):
+        stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=files)
+        out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / f"work{files}"))
+        got = [r.event_id for r in spark.read.parquet(out).collect()]
+        assert len(got) == len(want) and set(got) == want
