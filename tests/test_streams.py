@@ -61,3 +61,15 @@ def test_any_order_of_files_agrees_with_sql(spark, tmp_path):
         out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / f"work{files}"))
         got = [r.event_id for r in spark.read.parquet(out).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_a_hot_key_streams_through_the_walk(spark):
+    """One key with nearly all rows is read in small Arrow batches; what was kept last is carried from one to the next."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        rows = spark.createDataFrame([(i, at(7 * i), 1) for i in range(2000)] + [(5000, at(3), 2)], SCHEMA)
+        got = sorted(r.event_id for r in intake.first_of_each_span(rows, "ts", ["user_id"], "60 minutes").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == [*range(0, 2000, 9), 5000]
