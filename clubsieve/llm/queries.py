@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, chat, packing, quality, secrets, simhash, substrings, token_files, toxicity
+from . import align, ann, bpe, chat, packing, quality, resample, secrets, simhash, substrings, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,57 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.expr(listed("base")), 256).alias("base_sha256"), F.expr(listed("spans")).alias("spans"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"), keep=align.keep_digest)
+    digest = F.coalesce(F.col("kept").cast("string"), F.lit(""))
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 needs its table of 256 values, made by its rule, and a fold over the bytes of each distinct word.
+RESAMPLE_SQL = r"""
+WITH crc_table AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id, 0 AS target, text FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, 1, text FROM benchmark),
+listed AS (
+  SELECT r, doc_id, target, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM texts),
+counted AS (SELECT r, target, w, count(*) AS n FROM (SELECT r, target, unnest(ws) AS w FROM listed) GROUP BY ALL),
+spelled AS (SELECT w, hex(w) AS h FROM (SELECT DISTINCT w FROM counted)),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2),
+      lambda i: (16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM spelled, crc_table),
+totals AS (SELECT bucket, sum(n) FILTER (WHERE target = 0) AS s, sum(n) FILTER (WHERE target = 1) AS t FROM counted JOIN hashed USING (w) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS all_s, coalesce(sum(t), 0)::DOUBLE AS all_t FROM totals),
+gained AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain FROM totals, sums),
+weighed AS (SELECT r, sum(n * gain) AS total FROM counted JOIN hashed USING (w) JOIN gained USING (bucket) WHERE target = 0 GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) = 0 THEN 0 ELSE floor(total / len(ws)::DOUBLE)::BIGINT END AS weight,
+    CASE WHEN len(ws) = 0 THEN 0 ELSE floor(total / len(ws)::DOUBLE)::BIGINT END
+      + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM listed LEFT JOIN weighed USING (r) WHERE target = 0),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_nearest, op4_toxicity, op5_substrings, op6_token_files, op7_packing, op8_bpe, op9_chat, op10_secrets)} | {"pipeline": pipeline}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_nearest, op4_toxicity, op5_substrings, op6_token_files, op7_packing, op8_bpe, op9_chat, op10_secrets, op11_alignment, op12_token_counts, op13_resample)} | {"pipeline": pipeline}
+ORACLE = {"op13_resample": RESAMPLE_SQL}
