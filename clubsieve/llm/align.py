@@ -2,7 +2,7 @@
 
 1. Each task encodes a text with both tokenizers; the running sums of token bytes are two arrays of ends.
 2. Diagonal run skipping: at the present shift between the two indices, stretches of growing width are
-   compared as a whole until one differs, then the place is narrowed down. So a stretch in which both
+   compared as a whole until one differs, then the first different end is read off. So a stretch in which both
    tokenizers cut alike costs a logarithm of compares. At the next difference both arrays are walked token
    by token to the first end they share; that is one group, and the shift is updated.
 3. Two tokens are linked where their bytes overlap. A block of a few MB of documents sends each pair of ids
@@ -25,48 +25,64 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_table
 from .token_files import new_folder
-from .tokens import PieceEncoder, default_path
+from .tokens import PieceEncoder, byte_characters, default_path
 
 BLOCK_BYTES = 4 << 20
-STRETCH = 1 << 16  # characters that sentencepiece gets at once
+NEAR = 8  # ends compared one by one before stretches are; the first stretch has as many
+STRETCH = 600  # characters, about, that sentencepiece gets at once
+_CUT = re.compile("(?<=[^ ]) ")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray):
-    """Runs of one-to-one groups as rows (first token of a, first of b, length), and the links of all other groups as (tokens of a, tokens of b).
+    """Runs of one-to-one groups (first tokens of a, first tokens of b, lengths), and the links of all other groups as (tokens of a, tokens of b).
 
     Both arrays rise strictly and have the same last value.
     """
     list_a, list_b = ends_a.tolist(), ends_b.tolist()
-    raw_a, raw_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes()
-    runs, link_a, link_b = [], [], []
-    i = j = 0
-    while i < len(list_a):
-        if list_a[i] == list_b[j]:
-            at_a, at_b, width, growing = 8 * i + 8, 8 * j + 8, 8, True
-            while width >= 8:
-                probe = raw_a[at_a:at_a + width]
-                if probe and probe == raw_b[at_b:at_b + width]:
-                    at_a += len(probe)
-                    at_b += len(probe)
-                    width = 2 * width if growing else width >> 1
-                else:
-                    growing = False
-                    width >>= 1
-            length = (at_a >> 3) - i
-            runs.append((i, j, length))
-            i += length
-            j += length
-        else:
-            while True:
-                link_a.append(i)
-                link_b.append(j)
-                x, y = list_a[i], list_b[j]
-                i += x <= y
-                j += y <= x
-                if x == y:
-                    break
-    return np.array(runs, dtype=np.int64).reshape(-1, 3), np.array(link_a, dtype=np.int64), np.array(link_b, dtype=np.int64)
+    raw_a, raw_b = ends_a.astype("<u8").tobytes(), ends_b.astype("<u8").tobytes()
+    first_a, first_b, lengths, link_a, link_b = [], [], [], [], []
+    linked_a, linked_b = link_a.append, link_b.append
+    i, j, size = 0, 0, len(list_a)
+    list_a.append(-1)  # no end: stops every compare
+    while i < size:
+        begin_a, begin_b, near = i, j, i + NEAR
+        while i < near and list_a[i] == list_b[j]:  # the first widths are single ends
+            i += 1
+            j += 1
+            if i == size:
+                break
+        if i == near and i < size:
+            at_a, at_b, width = 8 * i, 8 * j, 8 * NEAR
+            while (probe := raw_a[at_a:at_a + width]) and probe == (other := raw_b[at_b:at_b + width]):
+                at_a += len(probe)
+                at_b += len(probe)
+                width *= 2
+            if probe:  # the lowest bit that differs lies in the first end that does; past an array's end stands zero
+                differ = int.from_bytes(probe, "little") ^ int.from_bytes(other, "little")
+                at_a += (differ & -differ).bit_length() - 1 >> 6 << 3
+            i, j = at_a >> 3, begin_b + (at_a >> 3) - begin_a
+        if i > begin_a:
+            first_a.append(begin_a)
+            first_b.append(begin_b)
+            lengths.append(i - begin_a)
+            if i == size:
+                break
+        x, y = list_a[i], list_b[j]
+        while x != y:
+            linked_a(i)
+            linked_b(j)
+            if x < y:
+                i += 1
+                x = list_a[i]
+            else:
+                j += 1
+                y = list_b[j]
+        linked_a(i)
+        linked_b(j)
+        i += 1
+        j += 1
+    return np.array([first_a, first_b, lengths], dtype=np.int64), np.array(link_a, dtype=np.int64), np.array(link_b, dtype=np.int64)
 
 
 @dataclass(slots=True)
@@ -82,10 +98,9 @@ class Alignment:
 
     @classmethod
     def of(cls, ids_a, ids_b, ends_a, ends_b) -> Alignment:
-        runs, walked_a, walked_b = common_ends(ends_a, ends_b)
-        length = runs[:, 2]
+        (first_a, first_b, length), walked_a, walked_b = common_ends(ends_a, ends_b)
         step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        run_a, run_b = np.repeat(runs[:, 0], length) + step, np.repeat(runs[:, 1], length) + step
+        run_a, run_b = np.repeat(first_a, length) + step, np.repeat(first_b, length) + step
         last_a, last_b = np.zeros(len(ids_a), dtype=bool), np.zeros(len(ids_b), dtype=bool)
         last_a[run_a] = last_b[run_b] = True
         closing = ends_a[walked_a] == ends_b[walked_b]
@@ -124,20 +139,25 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts_at_spaces = not any(re.search("[^▁]▁", p) for p in pieces)  # no merge ever crosses into a run of spaces
+        #: A byte-level file without a normalizer that has every byte cannot change a text.
+        self.a_keeps_bytes = self.a.space_leads and set(byte_characters()) <= set(self.a.tokenizer.get_vocab())
         self.size_a, self.size_b = (np.fromiter(map(len, t), dtype=np.int64, count=len(t)) for t in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = (np.array([f"{i}{sep}" for sep in seps for i in range(len(t))], dtype=np.bytes_) for seps, t in ((",|", self.bytes_a), (",;", self.bytes_b)))
+        self.text_a, self.text_b = (np.array([f"{i}{sep}" for sep in seps for i in range(len(t))], dtype="S8").view(np.uint64) for seps, t in ((",|", self.bytes_a), (",;", self.bytes_b)))
 
     def encode_b(self, text: str) -> np.ndarray:
-        """The ids of the whole text. Long texts are cut before a space that follows something else, where no piece can lie."""
-        if len(text) <= STRETCH or not self.cuts_at_spaces or "▁" in text:
+        """The ids of the whole text, encoded in short stretches, as merging takes more than linear time.
+
+        They end before a space that follows something else, where no piece can lie; sentencepiece puts that space back.
+        """
+        if not self.cuts_at_spaces or "▁" in text:
             return np.array(self.b.encode(text), dtype=np.int64)
-        out, begin = [], 0
-        while begin < len(text):
-            found = re.compile("(?<=[^ ]) ").search(text, begin + STRETCH)
-            end = found.start() if found and found.end() < len(text) else len(text)
-            out.append(self.b.encode(text[begin:end]))
-            begin = end + 1 if end < len(text) else end  # sentencepiece adds the space again
-        return np.concatenate([np.array(x, dtype=np.int64) for x in out])
+        ids, begin, size = [], 0, len(text)
+        while begin < size:
+            found = _CUT.search(text, begin + STRETCH)
+            end = found.start() if found and found.end() < size else size
+            ids += self.b.encode(text[begin:end])
+            begin = end + 1
+        return np.array(ids, dtype=np.int64)
 
     def align(self, text: str | None) -> Alignment | None:
         """The alignment, or None for a text that is null, empty or changed by one of the tokenizers."""
@@ -145,7 +165,7 @@ class Tokenizers:
             return None
         want = f" {text}".encode()
         ids_a, ids_b = self.a.ids(f" {text}").astype(np.int64), self.encode_b(text)
-        if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != want or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != want:
+        if not (self.a_keeps_bytes or b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == want) or b"".join(map(self.bytes_b.__getitem__, ids_b.tolist())) != want:
             return None
         return Alignment.of(ids_a, ids_b, np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
 
@@ -153,10 +173,10 @@ class Tokenizers:
         """The groups as `a1,a2|b1;a3|b2,b3`."""
         ends_a, starts_b = np.flatnonzero(found.last_a) + 1, np.append(0, np.flatnonzero(found.last_b) + 1)
         n_a, n_b = len(found.ids_a), len(found.ids_b)
-        out = np.zeros(n_a + n_b, dtype=np.promote_types(self.text_a.dtype, self.text_b.dtype))
+        out = np.empty(n_a + n_b, dtype=np.uint64)  # eight characters each: vocabularies have fewer than ten million ids
         out[np.arange(n_a) + starts_b[np.cumsum(found.last_a) - found.last_a]] = self.text_a[found.ids_a + len(self.bytes_a) * found.last_a]
         out[np.arange(n_b) + ends_a[np.cumsum(found.last_b) - found.last_b]] = self.text_b[found.ids_b + len(self.bytes_b) * found.last_b]
-        return out.tobytes().replace(b"\0", b"")[:-1]
+        return out.tobytes().translate(None, b"\0")[:-1]
 
 
 _loaded: dict[tuple, Tokenizers] = {}
@@ -204,7 +224,7 @@ class _Block:
             names=["block", "id", *[c.split()[0] for c in _DOCUMENT.split(", ")], "keys", "counts"])
 
 
-def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, keep=keep_groups, most: int = 200_000) -> DataFrame:
+def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, keep=keep_groups, most: int = 800_000) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum and kept (what `keep` makes of the alignment) of every row.
 
     Tokenizer a is a byte-level file, b a sentencepiece model that puts a space first; both read space+text.
