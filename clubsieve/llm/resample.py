@@ -28,6 +28,7 @@ from .token_files import new_folder
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LONGEST = 64  # bytes of a word or pair of the head
+LEVELS = 16
 HELD = 200_000  # distinct strings that a task counts before it sends them on
 
 
@@ -37,7 +38,11 @@ def split(text: bytes) -> list[bytes]:
 
 
 def frequent(texts: DataFrame, width: int, most: int) -> list[bytes]:
-    """The `most` most frequent runs of so many words among those of at most LONGEST bytes; ties go to the lesser bytes."""
+    """The most frequent runs of so many words among those of at most LONGEST bytes that occur twice or more.
+
+    Counts are graded by their logarithm, LEVELS grades to the doubling; the head is made of whole grades, as many as
+    come to `most` runs together, so the driver gets no more than these and one number per grade.
+    """
 
     def count(batches):
         held: Counter = Counter()
@@ -57,8 +62,17 @@ def frequent(texts: DataFrame, width: int, most: int) -> list[bytes]:
         if held:
             yield rows()
 
-    counted = texts.mapInArrow(count, "run binary, n bigint").where(F.octet_length("run") <= LONGEST).groupBy("run").agg(F.sum("n").alias("n"))
-    return [bytes(r.run) for r in counted.orderBy(F.desc("n"), "run").limit(most).select("run").collect()]
+    folder = new_folder(texts.sparkSession)
+    (texts.mapInArrow(count, "run binary, n bigint").where(F.octet_length("run") <= LONGEST).groupBy("run").agg(F.sum("n").alias("n")).where("n > 1")
+     .withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")).write.parquet(folder))
+    counted = texts.sparkSession.read.schema("run binary, n bigint, level int").parquet(folder)
+    least, total = None, 0
+    for r in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.level
+    return [bytes(r.run) for r in counted.where(F.col("level") >= least).select("run").collect()] if least is not None else []
 
 
 class Hasher:
