@@ -5,6 +5,7 @@ They run inside mapInPandas batches; everything after them is built-in Spark.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -28,6 +29,8 @@ class Node:
     children: list = field(default_factory=list)
     end: int = -1
     html: str = ""
+    text_start: int = 0
+    text_end: int = -1
 
     def pieces(self):
         """All text below the element in order, without recursion, so depth does not matter."""
@@ -44,11 +47,6 @@ class Node:
         """Stripped pieces of text, joined without a space."""
         return "".join(p.strip() for p in self.pieces())
 
-    def source(self, longest: int) -> str:
-        """The start of the element's own HTML."""
-        stop = self.start + longest
-        return self.html[self.start:min(self.end, stop) if self.end >= 0 else stop]
-
     @property
     def raw_text(self) -> str:
         return "".join(self.pieces())
@@ -65,16 +63,34 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """One pass over a page. What the parser cannot take ends the page there: `error` says why, the rest stands."""
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.html = html
-        self.line_starts = [0]
-        for i, ch in enumerate(html):
-            if ch == "\n":
-                self.line_starts.append(i + 1)
-        self.root = self.here = Node("", {}, None, 0)
-        self.feed(html)
-        self.close()
+        self.html, self.error = html, None
+        self.line_starts, at = [0], html.find("\n")
+        while at >= 0:
+            self.line_starts.append(at + 1)
+            at = html.find("\n", at + 1)
+        self.stripped: list[str] = []
+        self.size = 0
+        self.root = self.here = Node("", {}, None, 0, html=html)
+        try:
+            self.feed(html)
+            self.close()
+        except (AssertionError, ValueError, IndexError, RecursionError) as e:
+            self.error = f"{type(e).__name__}: {e}"
+        while self.here is not None:
+            self.here.end, self.here.text_end = len(html), self.size
+            self.here = self.here.parent
+
+    def parse_marked_section(self, i, report=1):
+        """Sections of any name, known or not, are left out up to their end, else up to the next bracket."""
+        end = self.rawdata.find("]]>", i)
+        if end >= 0:
+            return end + 3
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
 
     def _at(self) -> int:
         line, column = self.getpos()
@@ -82,7 +98,7 @@ class _Builder(HTMLParser):
 
     def _shut(self, node: Node, end: int):
         while self.here is not node.parent:
-            self.here.end = end
+            self.here.end, self.here.text_end = end, self.size
             self.here = self.here.parent
 
     def handle_starttag(self, tag, attrs):
@@ -93,10 +109,12 @@ class _Builder(HTMLParser):
             self._shut(self.here, at)
             if tag == "tr" and self.here.tag == "tr":
                 self._shut(self.here, at)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.here, at, html=self.html)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.here, at, html=self.html, text_start=self.size)
         self.here.children.append(node)
         if tag not in VOID:
             self.here = node
+        else:
+            node.end, node.text_end = at + len(self.get_starttag_text() or ""), self.size
 
     def handle_endtag(self, tag):
         node = self.here
@@ -108,12 +126,58 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         if self.here.tag not in HIDDEN:
             self.here.children.append(data)
+            self.stripped.append(data.strip())
+            self.size += len(self.stripped[-1])
 
 
 def parse(html: str | None) -> Node:
     return _Builder(html or "").root
 
 
+@dataclass
+class Page:
+    """A parsed page: its root, the stripped pieces of text joined, and what ended the parse early, if anything."""
+
+    root: Node
+    text: str
+    error: str | None
+
+
+def page(html: str | None) -> Page:
+    built = _Builder(html or "")
+    return Page(built.root, "".join(built.stripped), built.error)
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def worded_elements(parsed: Page, tags, words, least: int = 5, longest: int = 500) -> list[dict]:
+    """The elements of these tags whose text has one of the words: the first word of the list, and where text and source stand.
+
+    An element's text is a stretch of the page's text, so words are looked up once per page and each element
+    only asks whether one lies between its bounds. Nested elements share the text instead of repeating it.
+    """
+    low = parsed.text.translate(_LOWER)
+    places = []
+    for word in words:
+        at, found = low.find(word), []
+        while at >= 0:
+            found.append(at)
+            at = low.find(word, at + 1)
+        places.append((word, found))
+    out = []
+    for order, e in enumerate(n for n in parsed.root.walk() if n.tag in tags):
+        if e.text_end - e.text_start < least:
+            continue
+        for word, found in places:
+            k = bisect_left(found, e.text_start)
+            if k < bisect_right(found, e.text_end - len(word)):
+                out.append({"order": order, "tag": e.tag, "keyword": word, "start": e.text_start, "size": e.text_end - e.text_start,
+                            "source": e.start, "source_size": min(e.end - e.start, longest)})
+                break
+    return out
+
+
 def elements(root: Node, tags: set[str]) -> list[Node]:
     return [n for n in root.walk() if n.tag in tags]
 
@@ -164,44 +228,64 @@ def anchors(html: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def flatten(tree: str) -> list[tuple]:
-    """(path, parent, sibling, role, name, url) of all nodes; a path is sibling numbers joined by dots."""
-    out = []
+def load_tree(tree: str | None) -> tuple[list, str | None]:
+    """The top nodes of a JSON tree, or none and why it cannot be read. A null tree has none."""
+    if not isinstance(tree, str):
+        return [], None
+    try:
+        parsed = json.loads(tree)
+    except (ValueError, RecursionError) as e:
+        return [], f"{type(e).__name__}: {e}"
+    return parsed if isinstance(parsed, list) else [parsed], None
 
-    def visit(nodes, parent):
-        for i, n in enumerate(nodes):
-            path = f"{parent}.{i}"
-            out.append((path, parent, i, n.get("role"), n.get("name"), n.get("url")))
-            visit(n.get("children") or [], path)
 
-    parsed = json.loads(tree)
-    visit(parsed if isinstance(parsed, list) else [parsed], "0")
-    return out
+def visit(top: list):
+    """(path, node, around) in document order, whatever the depth; around is (siblings, place, the same one level up).
+
+    A path is sibling numbers joined by dots. Lists inside lists are a level of their own; what is neither
+    object nor list is no node.
+    """
+    level = lambda nodes, path, outer: [(n, f"{path}.{i}", (nodes, i, outer)) for i, n in enumerate(nodes)]
+    waiting = level(top, "0", None)[::-1]
+    while waiting:
+        node, path, around = waiting.pop()
+        below = node
+        if isinstance(node, dict):
+            yield path, node, around
+            below = node.get("children")
+        if isinstance(below, list):
+            waiting.extend(reversed(level(below, path, around)))
+
+
+def _said(node, key: str) -> str | None:
+    value = node.get(key) if isinstance(node, dict) else None
+    return value if isinstance(value, str) else None
 
 
-def sibling_label(siblings: list[dict], skip: int) -> str:
+def flatten(tree: str | None) -> list[tuple]:
+    """(path, parent, sibling, role, name, url) of all nodes."""
+    return [(path, path.rpartition(".")[0], around[1], _said(n, "role"), _said(n, "name"), _said(n, "url")) for path, n, around in visit(load_tree(tree)[0])]
+
+
+def sibling_label(siblings: list, skip: int) -> str:
     """Name of the first heading beside a node, else of the first short telling neighbour."""
-    others = [n for i, n in enumerate(siblings) if i != skip]
-    named = [(n.get("role") or "", (n.get("name") or "").strip()) for n in others]
+    named = [(_said(n, "role") or "", (_said(n, "name") or "").strip()) for i, n in enumerate(siblings) if i != skip]
     heading = next((t for role, t in named if role in ("h1", "h2", "h3", "h4", "h5", "h6") and t), "")
     return heading or next((t for _, t in named if 3 < len(t) < 60 and t.lower() not in fv.GENERIC_ANCHORS), "")
 
 
-def tree_links(tree: str) -> list[tuple[str, str, str]]:
+def tree_links(tree: str | None) -> list[tuple[str, str, str]]:
     """(path, anchor text, url) of the links of a tree, generic anchors named by their surroundings."""
     out = []
-
-    def visit(nodes, path, above):
-        for i, n in enumerate(nodes):
-            here, around = f"{path}.{i}", [(nodes, i), *above]
-            text, url = (n.get("name") or "").strip(), (n.get("url") or "").strip()
-            if n.get("role") in ("a", "link") and text and url:
-                if text.lower() in fv.GENERIC_ANCHORS:
-                    label = next(filter(None, (sibling_label(*level) for level in around[:3])), "")
-                    text = f"{label} - {text}" if label else text
-                out.append((here, text, url))
-            visit(n.get("children") or [], here, around)
-
-    parsed = json.loads(tree)
-    visit(parsed if isinstance(parsed, list) else [parsed], "0", [])
+    for path, n, around in visit(load_tree(tree)[0]):
+        text, url = (_said(n, "name") or "").strip(), (_said(n, "url") or "").strip()
+        if n.get("role") in ("a", "link") and text and url:
+            if text.lower() in fv.GENERIC_ANCHORS:
+                levels, at = [], around
+                while at is not None and len(levels) < 3:
+                    levels.append(at[:2])
+                    at = at[2]
+                label = next(filter(None, (sibling_label(*level) for level in levels)), "")
+                text = f"{label} - {text}" if label else text
+            out.append((path, text, url))
     return out

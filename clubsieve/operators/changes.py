@@ -98,13 +98,26 @@ def archive(df: DataFrame, ids: DataFrame) -> DataFrame:
         "is_archived", F.col("is_archived") | F.coalesce("_gone", F.lit(False))).drop("_gone")
 
 
-def finish_runs(queue: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Status of finished runs and one more attempt for each (null counts as none)."""
-    done = outcomes.select("scrape_id", F.col("status").alias("_status"))
+def last_by(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row per key: the last by the order column, then by all others; nulls come first."""
+    values = [c for c in rows.columns if c not in keys]
+    ordered = F.struct(*([order] if order else []), *values)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), ordered).alias("_last")).select(*keys, "_last.*")
+
+
+def finish_runs(queue: DataFrame, outcomes: DataFrame, order: str | None = None) -> DataFrame:
+    """Status of finished runs and one more attempt for each outcome (null counts as none).
+
+    Several outcomes of one run all count; the last by `order`, a column of outcomes, gives the status. Outcomes without a
+    status are left out.
+    """
+    known = outcomes.filter(F.col("status").isNotNull()).select("scrape_id", F.col("status").alias("_status"), *([F.col(order).alias("_order")] if order else []))
+    done = last_by(known, ["scrape_id"], "_order" if order else None).select("scrape_id", "_status").join(
+        known.groupBy("scrape_id").agg(F.count("*").cast("int").alias("_runs")), "scrape_id")
     out = queue.join(done, "scrape_id", "left")
     return out.withColumns({
-        "scrape_attempts": F.when(F.col("_status").isNotNull(), F.coalesce("scrape_attempts", F.lit(0)) + 1).otherwise(F.col("scrape_attempts")),
-        "status": F.coalesce("_status", "status")}).drop("_status")
+        "scrape_attempts": F.when(F.col("_runs").isNotNull(), F.coalesce("scrape_attempts", F.lit(0)) + F.col("_runs")).otherwise(F.col("scrape_attempts")),
+        "status": F.coalesce("_status", "status")}).drop("_status", "_runs")
 
 
 def screen_out(queue: DataFrame, results: DataFrame, screened: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -214,8 +227,12 @@ def set_type_of_url(df: DataFrame, url: str, listing_type: str) -> DataFrame:
     return df.withColumn("listing_type", F.when(F.col("url_scraped") == url, listing_type).otherwise(F.col("listing_type")))
 
 
-def put_reports(snapshots: DataFrame, reports: DataFrame, key: str = "gap_report") -> DataFrame:
-    """Each domain's report under one key of the metadata of its newest snapshot (the least id on a tie)."""
+def put_reports(snapshots: DataFrame, reports: DataFrame, key: str = "gap_report", order: str | None = None) -> DataFrame:
+    """Each domain's report under one key of the metadata of its newest snapshot (the least id on a tie).
+
+    Of several reports of a domain the last by `order`, a column of reports, replaces the others.
+    """
+    reports = last_by(reports.select("domain", "report", *([order] if order else [])), ["domain"], order)
     newest = best_row(snapshots.select("domain", "created_at", "snapshot_id"), "domain", [F.desc("created_at"), "snapshot_id"]).drop("created_at")
     target = newest.join(reports.select("domain", "report"), "domain").select("snapshot_id", "report")
     out = snapshots.join(target, "snapshot_id", "left")
@@ -224,10 +241,13 @@ def put_reports(snapshots: DataFrame, reports: DataFrame, key: str = "gap_report
         kept, F.create_map(F.lit(key), F.col("report")))).otherwise(F.col("metadata"))).drop("report")
 
 
-def apply_updates(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Point updates by key: the columns of `updates` replace those of the matched rows, nulls included."""
-    columns = [c for c in updates.columns if c != key]
-    out = df.join(updates.select(key, F.struct(*columns).alias("_u")), key, "left")
+def apply_updates(df: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Point updates by key: the columns of `updates` replace those of the matched rows, nulls included.
+
+    Of several updates of a key the last by `order`, a column of updates that is not written, counts as a whole.
+    """
+    columns = [c for c in updates.columns if c not in (key, order)]
+    out = df.join(last_by(updates, [key], order).select(key, F.struct(*columns).alias("_u")), key, "left")
     return out.select(*[F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
                         for c in df.columns])
 

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed_values as fv, keys, similarity
+from ..functions import fixed_values as fv, keys
 from ..functions.text import norm_text
+from . import similar
 
 SEPARATOR = "\u0001"
 
@@ -65,22 +66,31 @@ def division_label(day: str = "day_of_week", gender: str = "gender_eligibility",
     return F.lower(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in (day, gender, level)]))
 
 
+def division_pairs(extracted: DataFrame, listings: DataFrame) -> DataFrame:
+    """Each division name with each label of the same URL and the least listing that bears it, copies folded, with their letters."""
+    labels = (listings.groupBy(F.col("url_scraped").alias("url"), division_label().alias("label"))
+              .agg(F.min("league_id").alias("league_id")))
+    names = extracted.filter(F.col("division_name") != "").select("url", F.lower("division_name").alias("division")).distinct()
+    return similar.with_letters(names, "division", "a").join(similar.with_letters(labels, "label", "b"), "url")
+
+
+def compared(pairs: DataFrame, floor: float) -> DataFrame:
+    """Distinct texts of the pairs that can reach the floor and are not equal: only these are compared in Python."""
+    return pairs.filter(similar.may_reach(floor)).filter("division <> label").select("division", "label").distinct()
+
+
 def match_divisions(extracted: DataFrame, listings: DataFrame, floor: float = 0.4) -> DataFrame:
     """The listing of the same URL whose day, gender and level read most like a division name.
 
-    Both sides are folded to distinct texts per URL first, so copies are compared once. Without
-    a name the only listing of the URL is taken.
+    Both sides are folded to distinct texts per URL, pairs to distinct texts that can reach the floor. Without
+    a name the only listing of the URL is taken. Ties go to the least listing.
     """
-    labels = (listings.groupBy(F.col("url_scraped").alias("url"), division_label().alias("label"))
-              .agg(F.min("league_id").alias("league_id"), F.count("*").alias("n")))
-    names = extracted.filter(F.col("division_name") != "").select(
-        "url", F.lower("division_name").alias("division")).distinct()
-    scored = (names.join(labels, "url").withColumn("ratio", similarity.ratio("division", "label"))
-              .filter(F.col("ratio") >= floor))
-    best = scored.groupBy("url", "division").agg(F.min_by(
+    pairs = division_pairs(extracted, listings).select("url", "division", "label", "league_id", similar.may_reach(floor).alias("may"))
+    ratios = similar.ratios(pairs.filter("may"), "division", "label").filter(F.col("ratio") >= floor)
+    best = pairs.filter("may").join(ratios, ["division", "label"]).groupBy("url", "division").agg(F.min_by(
         F.struct("league_id", "ratio"), F.struct((-F.col("ratio")).alias("r"), "league_id")).alias("b")).select(
         "url", "division", F.col("b.league_id").alias("named_id"), F.round("b.ratio", 6).alias("ratio"))
-    single = labels.groupBy("url").agg(F.sum("n").alias("n"), F.min("league_id").alias("single_id")).filter("n = 1")
+    single = listings.groupBy(F.col("url_scraped").alias("url")).agg(F.count("*").alias("n"), F.min("league_id").alias("single_id")).filter("n = 1")
     unnamed = F.coalesce(F.col("division_name"), F.lit("")) == ""
     return (extracted.withColumn("division", F.lower("division_name"))
             .join(best, ["url", "division"], "left").join(single, "url", "left")

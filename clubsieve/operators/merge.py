@@ -84,12 +84,16 @@ def merge_pairs(new: DataFrame, old: DataFrame, pairs: DataFrame, as_of: Column)
 def absorb(df: DataFrame, pairs: DataFrame) -> DataFrame:
     """The table after a reviewer's merges: each keeper takes what it lacks, each duplicate is archived.
 
-    `pairs` holds (keep_id, archive_id), one duplicate per keeper.
+    `pairs` holds (keep_id, archive_id) and may name an `order` in which the merges were made, else the ids of the
+    duplicates order them. A keeper takes each value from its first duplicate that has one. Records keep
+    what they were before the merges, so what a duplicate took itself is not handed on.
     """
     columns = [c for c in df.columns if c not in NOT_COPIED]
+    turn = F.struct("order", "archive_id") if "order" in pairs.columns else F.struct("archive_id")
+    first = [F.min_by(f"other.`{c}`", F.when(F.col(f"other.`{c}`").isNotNull(), turn)).alias(c) for c in columns]
     givers = (pairs.join(df.select(F.col("league_id").alias("archive_id"), F.struct(*columns).alias("other")), "archive_id")
-              .select(F.col("keep_id").alias("league_id"), "other"))
-    gone = pairs.select(F.col("archive_id").alias("league_id"), F.lit(True).alias("gone"))
+              .groupBy(F.col("keep_id").alias("league_id")).agg(*first).select("league_id", F.struct(*columns).alias("other")))
+    gone = pairs.select(F.col("archive_id").alias("league_id"), F.lit(True).alias("gone")).distinct()
     out = df.join(givers, "league_id", "left").join(gone, "league_id", "left")
     return out.select(*[
         F.coalesce(F.col(c), F.col(f"other.{c}")).alias(c) if c in columns

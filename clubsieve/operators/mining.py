@@ -49,66 +49,63 @@ def navigation_links(links: DataFrame, min_score: int | None = 100) -> DataFrame
     return out if min_score is None else out.filter(F.col("score") >= min_score)
 
 
-ELEMENTS = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("snippet", pa.string())]))
+ELEMENTS = pa.list_(pa.struct([("order", pa.int32()), ("tag", pa.string()), ("keyword", pa.string()), *[(c, pa.int32()) for c in ("start", "size", "source", "source_size")]]))
 TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
                              ("row_count", pa.int32()), ("text", pa.string())]))
 
 
 def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, snippet: int = 500) -> DataFrame:
-    """Per page the weighted elements in page order and the tables, from one parse in Arrow batches.
+    """Per page its text, the elements with a keyword in page order and the tables, from one parse in Arrow batches.
 
-    Texts are whole; `snippet` is how much of the source is shown of each element. Everything after
-    it works on these arrays in place: no shuffle, however large a site is.
+    Elements say where their text stands in the page's text and where their source stands in its HTML, so nested
+    ones repeat nothing. A page that the parser gives up on keeps what was read till then, and `error` says why.
+    Everything after it works on these arrays in place: no shuffle, however large a site is.
     """
-    schema = ("page_id bigint, url string, "
-              "elements array<struct<tag: string, text: string, snippet: string>>, "
-              "tables array<struct<headers: array<string>, rows: array<array<string>>, row_count: int, text: string>>")
-
-    def elements_of(root):
-        return [{"tag": e.tag, "text": e.text, "snippet": e.source(snippet)}
-                for e in html_tree.elements(root, set(fv.ELEMENT_TAG_WEIGHTS))]
+    schema = ("page_id bigint, url string, html string, page_text string, "
+              "elements array<struct<order: int, tag: string, keyword: string, start: int, size: int, source: int, source_size: int>>, "
+              "tables array<struct<headers: array<string>, rows: array<array<string>>, row_count: int, text: string>>, error string")
 
     def tables_of(root):
         return [{"headers": t.headers, "rows": t.rows, "row_count": t.row_count, "text": t.text} for t in html_tree.tables(root)]
 
     def parse(batches):
         for batch in batches:
-            roots = [html_tree.parse(h) for h in batch.column("html").to_pylist()]
+            parsed = [html_tree.page(h) for h in batch.column("html").to_pylist()]
+            found = [html_tree.worded_elements(p, fv.ELEMENT_TAG_WEIGHTS, fv.ELEMENT_WORD_WEIGHTS, longest=snippet) if elements else [] for p in parsed]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id").cast(pa.int64()), batch.column("url"),
-                 pa.array([elements_of(r) if elements else [] for r in roots], ELEMENTS),
-                 pa.array([tables_of(r) if tables else [] for r in roots], TABLES)],
-                names=["page_id", "url", "elements", "tables"])
+                [batch.column("page_id").cast(pa.int64()), batch.column("url"), batch.column("html"), pa.array([p.text for p in parsed], pa.string()),
+                 pa.array(found, ELEMENTS), pa.array([tables_of(p.root) if tables else [] for p in parsed], TABLES), pa.array([p.error for p in parsed], pa.string())],
+                names=["page_id", "url", "html", "page_text", "elements", "tables", "error"])
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
 
-def best_elements(elements: Column, longest: int | None = None, shown: int | None = None) -> Column:
-    """The elements with a keyword, weighted by their first keyword and their tag, best first.
+def page_errors(pages: DataFrame) -> DataFrame:
+    """(page_id, error) of the pages that could not be read to their end."""
+    return parse_pages(pages, elements=False, tables=False).filter(F.col("error").isNotNull()).select("page_id", "error")
 
-    All of them with whole texts, unless `longest` (elements) or `shown` (characters) says otherwise.
-    Each step hands its result on as a field, so nothing is computed twice per element.
-    """
-    long_enough = F.filter(F.transform(elements, lambda e, i: F.struct(i.alias("i"), e.alias("e"), F.lower(e["text"]).alias("low"))),
-                           lambda x: F.length(x["low"]) >= 5)
-    keyword = lambda low: F.coalesce(*[F.when(low.contains(w), F.struct(F.lit(w).alias("keyword"), F.lit(x).alias("weight")))
-                                       for w, x in fv.ELEMENT_WORD_WEIGHTS.items()])
-    tag_weight = lambda tag: F.coalesce(*[F.when(tag == n, F.lit(x)) for n, x in fv.ELEMENT_TAG_WEIGHTS.items()])
-    found = F.filter(F.transform(long_enough, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"), keyword(x["low"]).alias("k"))),
-                     lambda x: x["k"].isNotNull())
-    scored = F.transform(found, lambda x: F.struct(
-        (-(x["k"]["weight"] * tag_weight(x["e"]["tag"]))).alias("minus_score"), x["i"].alias("element_order"), x["e"]["tag"].alias("tag"),
-        (x["e"]["text"] if shown is None else F.left(x["e"]["text"], F.lit(shown))).alias("text"), x["k"]["keyword"].alias("keyword"), x["e"]["snippet"].alias("snippet")))
+
+def element_text(e: Column, shown: int | None = None) -> Column:
+    """Text of an element of parse_pages, all of it or so many characters."""
+    return F.substring(F.col("page_text"), e["start"] + 1, e["size"] if shown is None else F.least(e["size"], F.lit(shown)))
+
+
+def best_elements(elements: Column, longest: int | None = None) -> Column:
+    """The elements with a keyword, weighted by their first keyword and their tag, best first; all of them or so many."""
+    one_of = lambda c, weights: F.coalesce(*[F.when(c == n, F.lit(x)) for n, x in weights.items()])
+    scored = F.transform(elements, lambda e: F.struct(
+        (-(one_of(e["keyword"], fv.ELEMENT_WORD_WEIGHTS) * one_of(e["tag"], fv.ELEMENT_TAG_WEIGHTS))).alias("minus_score"), e["order"].alias("element_order"),
+        *[e[c].alias(c) for c in ("tag", "keyword", "start", "size", "source", "source_size")]))
     best = F.array_sort(scored)
     return best if longest is None else F.slice(best, 1, longest)
 
 
 def scored_elements(pages: DataFrame, per_page: int | None = None, shown: int | None = None) -> DataFrame:
-    """The elements of each page with a keyword, best first, one row each; limits as in `best_elements`."""
-    best = F.posexplode(best_elements(F.col("elements"), per_page, shown)).alias("i", "e")
-    return parse_pages(pages, tables=False).select("page_id", best).select(
-        "page_id", "e.element_order", "e.tag", "e.text", "e.keyword", (-F.col("e.minus_score")).alias("score"),
-        (F.col("i") + 1).alias("element_rank"), "e.snippet")
+    """The elements of each page with a keyword, best first, one row each; limits are elements and characters to show."""
+    best = F.posexplode(best_elements(F.col("elements"), per_page)).alias("i", "e")
+    return parse_pages(pages, tables=False).select("page_id", "html", "page_text", best).select(
+        "page_id", "e.element_order", "e.tag", element_text(F.col("e"), shown).alias("text"), "e.keyword", (-F.col("e.minus_score")).alias("score"),
+        (F.col("i") + 1).alias("element_rank"), F.substring(F.col("html"), F.col("e.source") + 1, F.col("e.source_size")).alias("snippet"))
 
 
 def price_hints(elements: DataFrame) -> DataFrame:
@@ -186,8 +183,8 @@ def context_bundle(pages: DataFrame, shown_tables: int = 3, shown_rows: int = 5)
     parsed = parse_pages(pages).withColumns({"data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
     numbered = F.transform("data", lambda t, i: F.struct(i.alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"), page_rules.header_groups(t["headers"]).alias("groups")))
     priced = F.filter("best", lambda e: e["keyword"].isin(*fv.PRICE_WORDS))
-    prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(e["text"]), lambda v: F.struct(
-        page_rules.price_kind(e["text"]).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
+    prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(element_text(e)), lambda v: F.struct(
+        page_rules.price_kind(element_text(e)).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
     hints = parsed.select(
         "page_id", F.transform(F.slice("data", 1, shown_tables), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, shown_rows).alias("rows"))).alias("tables"),
         prices.alias("price_hints"),
@@ -239,15 +236,34 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     return trees.select("page_id", "tree").mapInPandas(parse, schema)
 
 
-def tree_links(trees: DataFrame) -> DataFrame:
+def tree_links(trees: DataFrame, page_url: str | None = None) -> DataFrame:
     """Links of the trees; a generic anchor takes the nearest heading or label among its
-    siblings, then among those of its ancestors, three levels in all."""
+    siblings, then among those of its ancestors, three levels in all.
+
+    With the name of the column that holds the page's URL, `discovered_url` is the target resolved against it.
+    Trees that are null or cannot be read have no links, see tree_errors.
+    """
+    def parse(batches):
+        for pdf in batches:
+            rows = [(pid, base, *link) for pid, base, tree in zip(pdf["page_id"], pdf["base"], pdf["tree"]) for link in html_tree.tree_links(tree)]
+            yield pd.DataFrame(rows, columns=["page_id", "base", "path", "anchor_text", "url"])
+
+    base = F.lit(None).cast("string") if page_url is None else F.col(page_url)
+    found = trees.select("page_id", base.alias("base"), "tree").mapInPandas(parse, "page_id bigint, base string, path string, anchor_text string, url string")
+    if page_url is None:
+        return found.drop("base")
+    whole = F.col("url").rlike("^https?://") | F.col("base").isNull()
+    return found.withColumn("discovered_url", F.when(whole, F.col("url")).otherwise(resolve(F.col("base"), F.col("url")))).drop("base")
+
+
+def tree_errors(trees: DataFrame) -> DataFrame:
+    """(page_id, error) of the trees that cannot be read."""
     def parse(batches):
         for pdf in batches:
-            rows = [(pid, *link) for pid, tree in zip(pdf["page_id"], pdf["tree"]) for link in html_tree.tree_links(tree)]
-            yield pd.DataFrame(rows, columns=["page_id", "path", "anchor_text", "url"])
+            rows = [(pid, error) for pid, tree in zip(pdf["page_id"], pdf["tree"]) if (error := html_tree.load_tree(tree)[1])]
+            yield pd.DataFrame(rows, columns=["page_id", "error"])
 
-    return trees.select("page_id", "tree").mapInPandas(parse, "page_id bigint, path string, anchor_text string, url string")
+    return trees.select("page_id", "tree").mapInPandas(parse, "page_id bigint, error string")
 
 
 def role_histogram(nodes: DataFrame, limit: int = 10) -> DataFrame:

@@ -98,6 +98,17 @@ def _(t):
     return changes.finish_runs(t.queue, outcomes).select("scrape_id", "status", "scrape_attempts")
 
 
+@query("m4_repeated_outcomes", """
+WITH outcomes AS (SELECT l_orderkey AS scrape_id, count(*) AS n, arg_max(CASE l_returnflag WHEN 'R' THEN 'FAILED' ELSE 'COMPLETED' END, 2 * l_linenumber + (l_returnflag = 'R')::INT) AS last FROM lineitem GROUP BY 1)
+SELECT q.scrape_id, coalesce(o.last, q.status) AS status, CASE WHEN o.n IS NULL THEN q.scrape_attempts ELSE coalesce(q.scrape_attempts, 0) + o.n END::INT AS scrape_attempts
+FROM queue q LEFT JOIN outcomes o USING (scrape_id)""", ("queue",))
+def _(t):
+    """Each line of an order is one outcome of the run of that number; the last line gives the status."""
+    status = F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("COMPLETED")
+    outcomes = t.table("lineitem").select(F.col("l_orderkey").alias("scrape_id"), status.alias("status"), "l_linenumber")
+    return changes.finish_runs(t.queue, outcomes, "l_linenumber").select("scrape_id", "status", F.col("scrape_attempts").cast("int").alias("scrape_attempts"))
+
+
 @query("m5_screen_queue", "SELECT scrape_id, url FROM queue WHERE status <> 'FAILED'", ("queue",))
 def _(t):
     left, _ = changes.screen_out(t.queue, t.screened_results, t.queue.filter("status = 'FAILED'"), "sub_page")
@@ -244,6 +255,29 @@ def _(t):
     return changes.put_reports(snaps, found).select("snapshot_id", m["method"].alias("method"), F.try_element_at(m, F.lit("gap_report")).alias("gap_report"))
 
 
+@query("m11_repeated_reports", f"""
+WITH s AS (SELECT snapshot_id, {_DOMAIN} AS domain, row_number() OVER (PARTITION BY {_DOMAIN} ORDER BY created_at DESC, snapshot_id) = 1 AS newest FROM snapshots),
+last AS (SELECT domain, max(snapshot_id) AS n FROM s GROUP BY domain)
+SELECT snapshot_id, CASE WHEN newest THEN 'report ' || n END AS gap_report FROM s JOIN last USING (domain)""", ("snapshots",))
+def _(t):
+    """One report per snapshot, so many of a domain: the last one stays."""
+    snaps = t.snapshots.select("snapshot_id", "created_at", urls.base_domain(F.col("url")).alias("domain"), F.expr("cast(null as map<string,string>)").alias("metadata"))
+    found = snaps.select("domain", F.concat(F.lit("report "), F.col("snapshot_id")).alias("report"), F.col("snapshot_id").alias("seq"))
+    out = changes.put_reports(snaps, found, order="seq")
+    return out.select("snapshot_id", F.try_element_at("metadata", F.lit("gap_report")).alias("gap_report"))
+
+
+@query("m12_repeated_updates", """
+WITH last AS (SELECT l_suppkey AS venue_id, arg_max('Line ' || l_orderkey || '-' || l_linenumber, l_orderkey * 10 + l_linenumber) AS address FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)
+SELECT venue_id, coalesce(last.address, venues.address) AS address FROM venues LEFT JOIN last USING (venue_id)""", ("venues",))
+def _(t):
+    """Thousands of updates of one venue: the last order line counts."""
+    line = t.table("lineitem").filter("l_suppkey % 2 = 0")
+    updates = line.select(F.col("l_suppkey").alias("venue_id"), F.concat_ws("-", F.concat(F.lit("Line "), F.col("l_orderkey")), "l_linenumber").alias("address"),
+                          (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    return changes.apply_updates(t.venues, updates, "venue_id", "seq").select("venue_id", "address")
+
+
 @query("m12_update_venues", """
 SELECT venue_id, CASE WHEN s_acctbal < 0 THEN 'Corrected ' || venue_id ELSE address END AS address, manually_verified OR s_acctbal < 0 AS manually_verified
 FROM venues JOIN supplier ON s_suppkey = venue_id""", ("venues",))

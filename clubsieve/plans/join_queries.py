@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, urls
-from ..operators import joins, matching, search
+from ..operators import asof, joins, matching, search
 from .filter_queries import VENUE_LINK_SQL
 from .fixtures import SPLIT_DAY
 from .registry import query
 from .report_queries import DOMAIN_CITY_SQL, checks_with_status
 from .scalar_queries import _REASON
 from .scoring_queries import STATUS_SQL, as_of
-from .sql_parts import CASE_CITY
+from .sql_parts import CASE_CITY, RATIO_SQL
 
 CITY_PASSES = """
 found AS (SELECT url, min(city) AS city FROM queue JOIN results ON source_result_id = result_id JOIN queries USING (query_id) GROUP BY url)"""
@@ -135,7 +135,17 @@ def named_checks(t):
     return t.checks.join(t.listings.select("league_id", F.col("url_scraped").alias("url")), "league_id").select("check_id", "url", "division_name")
 
 
-@query("j9_match_divisions")
+@query("j9_match_divisions", f"""
+WITH named AS (SELECT check_id, url_scraped AS url, c.division_name FROM checks c JOIN listings l USING (league_id)),
+labels AS (SELECT url_scraped AS url, lower(concat_ws(' ', nullif(day_of_week, ''), nullif(gender_eligibility, ''), nullif(source_comp_level, ''))) AS b,
+  min(league_id) AS league_id, count(*) AS n FROM listings WHERE NOT is_archived GROUP BY ALL),
+asked AS (SELECT DISTINCT url, lower(division_name) AS a FROM named WHERE division_name <> ''),
+pairs AS (SELECT DISTINCT a, b FROM asked JOIN labels USING (url)), {RATIO_SQL},
+best AS (SELECT url, a, league_id, round(ratio, 6) AS ratio FROM asked JOIN labels USING (url) JOIN ratios USING (a, b) WHERE ratio >= 0.4
+  QUALIFY row_number() OVER (PARTITION BY url, a ORDER BY ratio DESC, league_id) = 1),
+single AS (SELECT url, min(league_id) AS only_id FROM labels GROUP BY url HAVING sum(n) = 1)
+SELECT n.check_id, n.url, n.division_name, best.ratio, CASE WHEN coalesce(n.division_name, '') = '' THEN only_id ELSE best.league_id END AS league_id
+FROM named n LEFT JOIN best ON best.url = n.url AND best.a = lower(n.division_name) LEFT JOIN single ON single.url = n.url""", ("RECURSIVE", "listings", "checks"))
 def _(t):
     return matching.match_divisions(named_checks(t), t.listings.filter(~F.col("is_archived")))
 
@@ -215,6 +225,18 @@ def _(t):
     return joins.fresh_snapshots(t.snapshots.select("url", "snapshot_id", "created_at"), as_of()).select("url", "snapshot_id")
 
 
+@query("j16_snapshots_at_checks", """
+WITH one AS (SELECT snapshot_id % 40 AS site, created_at, min(snapshot_id) AS snapshot_id FROM snapshots GROUP BY ALL)
+SELECT check_id, CASE WHEN one.created_at >= c.checked_at - 7 THEN one.snapshot_id END AS snapshot_id
+FROM checks c ASOF LEFT JOIN one ON c.league_id % 40 = one.site AND c.checked_at >= one.created_at""", ("snapshots", "checks"))
+def _(t):
+    """The snapshot of its site that was fresh when a check was made; sites are made of the ids, as no URL is in both tables."""
+    site = lambda c: (F.col(c) % 40).alias("site")
+    checks = t.checks.select("check_id", site("league_id"), "checked_at")
+    snaps = t.snapshots.select("snapshot_id", site("snapshot_id"), "created_at")
+    return asof.latest_before(checks, snaps, ["site"], "checked_at", "created_at", "snapshot_id", within_days=7).select("check_id", F.col("state.snapshot_id").alias("snapshot_id"))
+
+
 @query("j17_fresh_batches", """
 WITH p AS (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS site, created_at AS batch FROM snapshots),
 fresh AS (SELECT site FROM p GROUP BY site HAVING max(batch) >= date '2000-06-30' - 7),

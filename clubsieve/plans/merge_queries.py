@@ -72,6 +72,23 @@ def _(t):
     return merge.absorb(t.listings_x, copy_pairs(t)).select("league_id", *_SHOWN, "is_archived")
 
 
+@query("r6_absorb_all", f"""
+WITH ranked AS (SELECT league_id, first_value(league_id) OVER w AS keep_id, row_number() OVER w AS rn FROM active
+  WINDOW w AS (PARTITION BY lower(organization_name), lower(coalesce(sport_season_code, '')) ORDER BY quality_score DESC, league_id)),
+pairs AS (SELECT keep_id, league_id AS archive_id, rn FROM ranked WHERE rn > 1),
+given AS (SELECT keep_id, {', '.join(f'first(o.{c} ORDER BY rn) FILTER (o.{c} IS NOT NULL) AS {c}' for c in _SHOWN)} FROM pairs JOIN listings_x o ON o.league_id = archive_id GROUP BY keep_id)
+SELECT k.league_id, {', '.join(f'coalesce(k.{c}, g.{c}) AS {c}' for c in _SHOWN)}, k.is_archived OR k.league_id IN (SELECT archive_id FROM pairs) AS is_archived
+FROM listings_x k LEFT JOIN given g ON g.keep_id = k.league_id""", ("active",))
+def _(t):
+    """Every record of an organisation and season merged into the best one, in order of quality."""
+    keyed = t.active.withColumn("season", F.lower(F.coalesce("sport_season_code", F.lit("")))).withColumn("org", F.lower("organization_name"))
+    order = [F.desc("quality_score"), "league_id"]
+    best = ranking.best_row(keyed, ["org", "season"], order).select("org", "season", F.col("league_id").alias("keep_id"))
+    pairs = keyed.join(best, ["org", "season"]).filter("league_id <> keep_id").select(
+        "keep_id", F.col("league_id").alias("archive_id"), (-F.col("quality_score")).alias("order"))
+    return merge.absorb(t.listings_x, pairs).select("league_id", *_SHOWN, "is_archived")
+
+
 @query("r7_compare", f"WITH {COPY_PAIRS_SQL}, sides AS (" + " UNION ALL ".join(
     f"SELECT keep_id, archive_id, '{f}' AS field, cast(a.{f} AS varchar) AS kept_value, cast(b.{f} AS varchar) AS other_value FROM pairs "
     f"JOIN listings_x a ON a.league_id = keep_id JOIN listings_x b ON b.league_id = archive_id" for f in fv.COMPARED_FIELDS)

@@ -292,6 +292,13 @@ def _(t):
     return mining.tree_links(order_trees(t)).drop("path")
 
 
+@query("h18_resolved_links", """
+SELECT l_orderkey AS page_id, 'https://www.org-' || l_orderkey % 7 || '.com/part/' || l_partkey AS discovered_url FROM lineitem""")
+def _(t):
+    trees = order_trees(t).withColumn("at", F.concat(F.lit("https://www.org-"), (F.col("page_id") % 7).cast("string"), F.lit(".com/orders/a?b=c")))
+    return mining.tree_links(trees, "at").select("page_id", "discovered_url")
+
+
 @query("h19_role_histogram", """
 SELECT role, count(*) AS node_count FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS role FROM pages)
 GROUP BY role ORDER BY node_count DESC, role LIMIT 10""")

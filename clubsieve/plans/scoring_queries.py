@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv, scoring, similarity
 from .fixtures import AS_OF
 from .registry import query
-from .sql_parts import pairs
+from .sql_parts import pairs, RATIO_SQL
 
 
 def as_of():
@@ -128,7 +128,12 @@ def venue_match(t):
             F.col("address"), kinds, F.col("venue_id") % 3).alias("confidence"))
 
 
-@query("v8_venue_confidence")
+@query("v8_venue_confidence", f"""
+WITH pairs AS (SELECT lower(venue_name) AS a, lower(google_name) AS b FROM venues WHERE google_name IS NOT NULL), {RATIO_SQL}
+SELECT venue_id, CASE WHEN google_name IS NULL THEN 0 ELSE round_even(ratio * 40, 0)::INT
+  + CASE WHEN contains(lower(address), lower('Town NATION_' || venue_id % 25)) THEN 30 ELSE 0 END
+  + CASE WHEN venue_id % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN venue_id % 3 > 0 THEN 10 ELSE 0 END END AS confidence
+FROM venues LEFT JOIN ratios ON a = lower(venue_name) AND b = lower(google_name)""", ("RECURSIVE", "venues"))
 def _(t):
     return venue_match(t)
 

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed_values as fv, similarity, urls
-from ..operators import crawl, filters, vectors
+from ..functions import fixed_values as fv, urls
+from ..operators import crawl, filters, similar, vectors
 from ..session import shared_folder
 from ..sources import responses, tables
 from .registry import query
+from .sql_parts import RATIO_SQL
 from . import table_functions
 from .report_queries import CATEGORY_SQL, DOMAIN_CITY_SQL, SITE_NAV_SQL, checks_with_status
 from .page_queries import TEXT_SQL
@@ -310,7 +311,19 @@ def _(t):
     return t.listings.orderBy(F.desc("quality_score"), "league_id").offset(50).limit(100).select("league_id", "quality_score")
 
 
-@query("u5_similarity_ratio")
+@query("u5_similarity_ratio", f"""
+WITH pairs AS (SELECT coalesce(venue_name, '') AS a, coalesce(google_name, '') AS b FROM venues), {RATIO_SQL}
+SELECT venue_id, round(ratio, 6) AS ratio FROM venues JOIN ratios ON a = coalesce(venue_name, '') AND b = coalesce(google_name, '')""", ("RECURSIVE", "venues"))
 def _(t):
-    """Similarity of each venue's name and the name it was found under."""
-    return t.venues.select("venue_id", F.round(similarity.ratio("venue_name", "google_name"), 6).alias("ratio"))
+    """Similarity of each venue's name and the name it was found under, compared once for each distinct pair."""
+    named = t.venues.select("venue_id", *[F.coalesce(c, F.lit("")).alias(n) for c, n in (("venue_name", "a"), ("google_name", "b"))])
+    return named.join(similar.ratios(named), ["a", "b"]).select("venue_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query("u5_similar_names", f"""
+WITH pairs AS (SELECT a.name AS a, b.name AS b FROM (SELECT DISTINCT venue_name AS name FROM venues) a, (SELECT DISTINCT google_name AS name FROM venues) b WHERE b.name IS NOT NULL), {RATIO_SQL}
+SELECT a, b, round(ratio, 6) AS ratio FROM ratios WHERE ratio >= 0.35""", ("RECURSIVE", "venues"))
+def _(t):
+    """All venue names and found names that read alike, whichever venues they belong to."""
+    found = similar.similar_pairs(t.venues.select("venue_name"), t.venues.select("google_name"), 0.35)
+    return found.select("a", "b", F.round("ratio", 6).alias("ratio"))

@@ -41,3 +41,20 @@ _SEGMENT = "regexp_extract(lower(url_scraped), '^https://[^/]*/([^/]*)', 1)"
 CASE_CITY = "coalesce(" + ", ".join(
     f"CASE WHEN {_SEGMENT} = {sql_text(s)} OR prefix({_SEGMENT}, {sql_text(s + '-')}) THEN {sql_text(c)} END"
     for s, c in fv.CITY_BY_SLUG.items()) + ")"
+
+
+#: Longest common run of two texts, the first one in x, then in y; the empty list has no first element, so null.
+_LONGEST = """list_sort(list_filter(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(x) - i + 2),
+    lambda n: {'less': -n, 'i': i, 'j': strpos(y, substr(x, i::INT, n::INT))}))), lambda s: s.j > 0))[1]"""
+
+#: Needs `pairs` (a, b) and a recursive WITH. Around the longest common run the texts left and right of it are compared likewise.
+RATIO_SQL = f"""
+segments AS (
+  SELECT a, b, a AS x, b AS y FROM (SELECT DISTINCT a, b FROM pairs)
+  UNION ALL
+  SELECT a, b, part.x, part.y FROM (
+    SELECT a, b, unnest([{{'x': left(x, (m.i - 1)::INT), 'y': left(y, (m.j - 1)::INT)}}, {{'x': substr(x, (m.i - m.less)::INT), 'y': substr(y, (m.j - m.less)::INT)}}]) AS part
+    FROM (SELECT a, b, x, y, {_LONGEST} AS m FROM segments) WHERE m IS NOT NULL)
+  WHERE part.x <> '' AND part.y <> ''),
+ratios AS (SELECT a, b, CASE WHEN a = '' AND b = '' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(sum(-(m.less)), 0) / (length(a) + length(b)) END AS ratio
+  FROM (SELECT a, b, {_LONGEST} AS m FROM segments) GROUP BY a, b)"""

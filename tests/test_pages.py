@@ -131,3 +131,54 @@ def test_prices_of_late_elements_and_long_texts(spark):
     bundle = mining.context_bundle(pages_of(spark, html)).first()
     assert {p.value for p in bundle.price_hints} == {77.0, 55.0}
     assert mining.scored_elements(pages_of(spark, html), per_page=20, shown=200).agg({"element_rank": "max"}).first()[0] == 20
+
+
+BAD_PAGES = ["<![x[", "<p>Team fee one</p><![x[<p>after", "<![CDATA[<p>x</p>]]><p>Team fee two</p>", "<![if IE]><p>Team fee</p><![endif]>", "<!", "<!-", "<!--", "<!doctype", "<!DOCTYPE [", "<?php",
+             "<", "</", "</ >", "<a", '<a href="', "<a href=x", "&#x;&#99999999999;", "<p" * 500, "\0<b>\0", "<table><tr><td>Fee", "<script><p>Team fee", "</p></div></table>", "<![ [", "<!ELEMENT br EMPTY>", ""]
+
+
+def test_bad_pages_do_not_end_the_job(spark):
+    rows = [(i, "https://a.com/", h) for i, h in enumerate([*BAD_PAGES, None])] + [(99, "https://a.com/", "<p>Team fee $9.00</p>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert mining.parse_pages(df).count() == len(rows)
+    kept = {r.page_id: r.text for r in mining.scored_elements(df).collect()}
+    assert kept[1] == "Team fee one" and kept[2] == "Team fee two" and kept[99] == "Team fee $9.00"
+    for found in (mining.page_tables(df), mining.link_contexts(df), mining.context_bundle(df), mining.table_count_hints(df), mining.page_errors(df)):
+        found.collect()
+
+
+def test_what_the_parser_gives_up_on_is_named(spark, monkeypatch):
+    def fail(self, tag):
+        raise AssertionError("no such end")
+
+    monkeypatch.setattr(html_tree._Builder, "handle_endtag", fail)
+    page = html_tree.page("<p>Team fee</p><p>more</p>")
+    assert page.text == "Team fee" and "no such end" in page.error and page.root.children[0].text_end == 8
+
+
+def test_element_texts_are_stretches_of_the_page(spark):
+    html = "<div> Team <b>Fee</b><table><tr><td>a</td><td> $5 </td></table><script>fee</script></div><p>Cost<div>price<br>x<img src=y>z"
+    page = html_tree.page(html)
+    for n in page.root.walk():
+        assert n.text == page.text[n.text_start:n.text_end if n.text_end >= 0 else None]
+        assert n.tag == "" or html[n.start:n.end].startswith("<" + n.tag)
+
+
+def test_nested_elements_do_not_repeat_their_text(spark):
+    html = "<div>" * 2000 + "Team fee " + "word " * 12_000 + "</div>" * 2000
+    rows = mining.parse_pages(pages_of(spark, html)).select("elements", "page_text").collect()[0]
+    assert len(rows.elements) == 2000 and len(rows.page_text) + 60 * len(rows.elements) < 1_000_000
+    assert mining.scored_elements(pages_of(spark, html)).select("page_id").count() == 2000
+
+
+def test_bad_trees(spark):
+    link = {"role": "a", "name": "Rules", "url": "/r"}
+    deep = link
+    for _ in range(1500):
+        deep = {"role": "div", "children": [deep]}
+    trees = [None, "{not json", "[" * 100_000, json.dumps(deep), json.dumps(["text", 5, None, link, [link]]), json.dumps({"role": "a", "name": None, "url": 7, "children": "x"}), "3", json.dumps(link)]
+    df = spark.createDataFrame([(i, "https://a.com/b/c?d", t) for i, t in enumerate(trees)], "page_id bigint, url string, tree string")
+    found = sorted((r.page_id, r.discovered_url) for r in mining.tree_links(df, "url").collect())
+    assert found == [(i, "https://a.com/r") for i in (3, 4, 4, 7)]
+    assert mining.tree_nodes(df).where("page_id = 3").count() == 1501
+    assert sorted(r.page_id for r in mining.tree_errors(df).collect()) == [1, 2]
