@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType
 
+from .ranking import best_row
+
 DAY = 86_400_000_000
 
 
@@ -39,8 +41,8 @@ def latest_before(asked: DataFrame, states: DataFrame, keys: list[str], at: str,
     named = [F.col(k).alias(n) for k, n in zip(keys, ks)]
     rows = asked.select(F.struct(*asked.columns).alias("_row"), *named, micros(asked, at).alias("_t"))
     times = rows.select(*ks, "_t").dropna().distinct().withColumn("_slot", slot())
-    known = (states.select(*named, micros(states, since).alias("_t"), F.col(tie).alias("_tie"), F.struct(*states.columns).alias("_state")).dropna(subset=[*ks, "_t", "_tie"])
-             .groupBy(*ks, "_t").agg(F.min_by("_state", "_tie").alias("_state")).withColumn("_slot", slot()))
+    known = states.select(*named, micros(states, since).alias("_t"), F.col(tie).alias("_tie"), F.struct(*states.columns).alias("_state")).dropna(subset=[*ks, "_t", "_tie"])
+    known = best_row(known, [*ks, "_t"], ["_tie"]).drop("_tie").withColumn("_slot", slot())
 
     def both(left: DataFrame) -> DataFrame:
         """Asked times and states in one frame, states first where times are equal."""
@@ -50,7 +52,7 @@ def latest_before(asked: DataFrame, states: DataFrame, keys: list[str], at: str,
     found = F.struct("_t", "_state")
     here = (both(times).withColumn("_here", F.last(F.when(~F.col("_asks"), found), ignorenulls=True).over(inside))
             .where("_asks").select(*ks, "_t", "_slot", "_here"))
-    newest = known.groupBy(*ks, "_slot").agg(F.max_by(found, "_t").alias("_newest"))
+    newest = best_row(known, [*ks, "_slot"], [F.desc("_t")]).select(*ks, "_slot", found.alias("_newest"))
     earlier = Window.partitionBy(*ks).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = (newest.unionByName(times.select(*ks, "_slot").distinct().join(newest.select(*ks, "_slot"), [*ks, "_slot"], "left_anti"), allowMissingColumns=True)
                .withColumn("_before", F.last("_newest", ignorenulls=True).over(earlier)).select(*ks, "_slot", "_before"))

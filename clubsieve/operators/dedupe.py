@@ -1,20 +1,23 @@
-"""Order-dependent duplicate detection, exact and without gathering a group's records.
+"""Order-dependent duplicate detection, exact and in bounded memory.
 
-Both walks below are sequential by definition, but only over distinct keys: records are first
-folded to one row per run of equal keys, which is a partial aggregate, so copies cost nothing.
-The walk of a group sees its distinct keys; its answer is joined back to the records.
+Both walks below are sequential by definition. Pairs within a URL: records stream through in order, and only
+one open record per key is remembered; in large URLs, keys that agree with none but their copies need no walk.
+Groups of a block: records are first folded to one row per run of equal keys, which is a partial aggregate; the
+walk sees distinct keys, and its answer is joined back to the records.
 """
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, keys
 from ..session import settle
+from .matching import SEPARATOR, value_of
 from .merge import merge_groups
-
-# Ids of one bucket span this much, so a bucket of a run has at most so many records.
-ID_SPAN = 100_000
+from .ranking import rank_in_groups
 
 
 def _same_fields(a: tuple, b: tuple) -> int:
@@ -46,118 +49,139 @@ def walk_sorted(df: DataFrame, keys: list[str], order: list, walk, schema: str)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+@lru_cache(maxsize=None)
+def must_agree(shared: int) -> tuple[int, ...]:
+    """Which sets of fields, as masks, can make two records agree on four of six, given the fields filled in both.
+
+    A field that is null on one side agrees, so all but two of the shared fields must be equal.
+    """
+    bits = [1 << i for i in range(len(fv.SIX_KEY_FIELDS)) if shared >> i & 1]
+    free = len(fv.SIX_KEY_FIELDS) - fv.DUPLICATE_REVIEW_FROM
+    return tuple(sum(picked) for picked in combinations(bits, max(len(bits) - free, 0)))
+
+
+@lru_cache(maxsize=None)
+def places_of(mask: int) -> tuple[int, ...]:
+    return tuple(i for i in range(len(fv.SIX_KEY_FIELDS)) if mask >> i & 1)
+
+
 class PairWalk:
-    """Greedy pairing of one URL, run by run.
+    """Greedy pairing of one URL: each record takes the oldest open one that it agrees with, else stays open.
 
-    A run is a stretch of equal keys in walking order. Of the records left open so far at most
-    one has a given key (a second would have paired with it). A run first serves the open records
-    it matches, oldest first, then pairs up within itself. Four agreeing fields of six leave at
-    least one of three field pairs whole, so candidates come from an index on those pairs.
+    That gives the same pairs as letting each record take its first later partner: of two open records the
+    older one comes first either way. Two records of one key agree, so at most one of each key is open, and
+    no more is remembered. Open records are found by the values they must share, for each filled pattern
+    among them; such an index is made when it is first asked for.
     """
 
     def __init__(self, key):
         self.url = key[0]
         self.count = 0
         self.open: dict[int, tuple] = {}
-        self.index: list[dict[tuple, set[int]]] = [{}, {}, {}]
+        self.by_mask: dict[int, set[int]] = {}
+        self.index: dict[tuple[int, int], dict[tuple, dict[int, None]]] = {}
 
-    def candidates(self, key):
-        """Open records that may match, oldest first; a null field agrees with every value."""
-        found: set[int] = set()
-        for n, places in enumerate(self.index):
-            a, b = key[2 * n: 2 * n + 2]
-            if a is not None and b is not None:
-                for pair in {(a, b), (a, None), (None, b), (None, None)}:
-                    found |= places.get(pair, set())
-            else:
-                for (x, y), serials in places.items():
-                    if (a is None or x is None or x == a) and (b is None or y is None or y == b):
-                        found |= serials
-        return sorted(found)
-
-    def add(self, entry):
-        self.open[self.count] = entry
-        for n, places in enumerate(self.index):
-            places.setdefault(entry[0][2 * n: 2 * n + 2], set()).add(self.count)
-        self.count += 1
-
-    def remove(self, serial):
-        entry = self.open.pop(serial)
-        for n, places in enumerate(self.index):
-            pair = entry[0][2 * n: 2 * n + 2]
-            places[pair].discard(serial)
-            if not places[pair]:
-                del places[pair]
-
-    def step(self, run):
-        key = tuple(run[f"f{i}"] for i in range(len(fv.SIX_KEY_FIELDS)))
-        score, text, n = run["score"], run["key_text"], run["n"]
-        taken = 0
-        for serial in self.candidates(key):
-            if taken == n:
-                break
-            other = self.open[serial]
-            agree = _same_fields(other[0], key)
-            if agree >= fv.DUPLICATE_REVIEW_FROM:
-                yield (self.url, *other[1:], score, text, taken, 1, agree)
-                self.remove(serial)
-                taken += 1
-        pairs = (n - taken) // 2
-        if pairs:
-            yield (self.url, score, text, taken, score, text, taken + 1, pairs, len(key))
-        if (n - taken) % 2:
-            self.add((key, score, text, n - 1))
-
-
-PAIR_SCHEMA = ("url string, keep_score int, keep_key string, keep_rank bigint, archive_score int, archive_key string, "
-               "archive_rank bigint, pairs bigint, matched int")
-
-
-def duplicate_pairs(df: DataFrame, url: str = "url_scraped") -> DataFrame:
+    def first(self, fields, mask):
+        """The oldest open record that agrees on four fields or more; entries of an index are in order of age."""
+        best = None
+        for other in self.by_mask:
+            for equal in must_agree(mask & other):
+                places = self.index.get((other, equal))
+                if places is None:
+                    places = self.index[other, equal] = {}
+                    for serial in sorted(self.by_mask[other]):
+                        places.setdefault(tuple(self.open[serial][0][i] for i in places_of(equal)), {})[serial] = None
+                found = places.get(tuple(fields[i] for i in places_of(equal)))
+                if found:
+                    oldest = next(iter(found))
+                    best = oldest if best is None else min(best, oldest)
+        return best
+
+    def _indexes(self, fields, mask):
+        for (other, equal), places in self.index.items():
+            if other == mask:
+                yield places, tuple(fields[i] for i in places_of(equal))
+
+    def step(self, row):
+        fields = [row[f"f{i}"] for i in range(len(fv.SIX_KEY_FIELDS))]
+        mask = sum(1 << i for i, x in enumerate(fields) if x is not None)
+        serial = self.first(fields, mask)
+        if serial is None:
+            self.open[self.count] = (fields, mask, row["league_id"])
+            self.by_mask.setdefault(mask, set()).add(self.count)
+            for places, value in self._indexes(fields, mask):
+                places.setdefault(value, {})[self.count] = None
+            self.count += 1
+            return
+        other, other_mask, keep = self.open.pop(serial)
+        self.by_mask[other_mask].discard(serial)
+        for places, value in self._indexes(other, other_mask):
+            del places[value][serial]
+            if not places[value]:
+                del places[value]
+        yield (self.url, keep, row["league_id"], _same_fields(tuple(other), tuple(fields)))
+
+
+#: From so many records a URL's keys without any partner but their own copies are paired apart.
+BIG_URL = 50_000
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """(url, key) of the keys that agree with no other key of their URL.
+
+    Which fields two keys must share depends only on which ones each has filled, so keys meet by equality: each is
+    listed once for every filled pattern of its URL (64 at most) and every set of values it must share (15 at most).
+    """
+    fs = [f"f{i}" for i in range(len(fv.SIX_KEY_FIELDS))]
+    mask = sum((F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(fs)), F.lit(0))
+    keys = rows.select("url", "key", *fs).distinct().withColumn("mask", mask)
+    patterns = keys.select("url", F.col("mask").alias("other")).distinct()
+    sets = F.array(*[F.array(*[F.lit(m) for m in must_agree(shared)]) for shared in range(1 << len(fs))])
+    listed = (keys.join(patterns, "url").withColumn("equal", F.explode(F.element_at(sets, F.col("mask").bitwiseAND(F.col("other")) + 1)))
+              .select("url", "key", "mask", F.least("mask", "other").alias("low"), F.greatest("mask", "other").alias("high"), "equal", value_of(fs, F.col("equal")).alias("value")))
+    meet = ["url", "low", "high", "equal", "value"]
+    met = listed.groupBy(*meet).agg(F.count("*").alias("n"), F.min("mask").alias("a"), F.max("mask").alias("b")).filter(
+        ((F.col("low") == F.col("high")) & (F.col("n") > 1)) | (F.col("a") != F.col("b")))
+    return keys.select("url", "key").join(listed.join(met, meet, "left_semi").select("url", "key").distinct(), ["url", "key"], "left_anti")
+
+
+def _pairs_of_copies(rows: DataFrame) -> DataFrame:
+    """Neighbours in the order of each key's records, without gathering them: ranks come from ranges of all rows."""
+    ranked = rank_in_groups(rows.select("url", "key", "score", "league_id"), ["url", "key"], [F.desc("score"), "league_id"])
+    both = ranked.groupBy("url", "key", F.floor((F.col("rank") - 1) / 2).alias("pair")).agg(
+        F.count("*").alias("n"), F.min_by("league_id", "rank").alias("keep_id"), F.max_by("league_id", "rank").alias("archive_id"))
+    return both.filter("n = 2").select("url", "keep_id", "archive_id", F.lit(len(fv.SIX_KEY_FIELDS)).alias("matched"))
+
+
+def duplicate_pairs(df: DataFrame, url: str = "url_scraped", big: int = BIG_URL) -> DataFrame:
     """Duplicate pairs within each URL: (url, keep_id, archive_id, matched_fields, confidence).
 
-    Walks each URL by quality; equal scores go by key, then by id. Every record takes the first
-    later one that agrees on at least four of six fields (null agrees), and each is in one pair
-    at most. Five or six agreeing fields give AUTO, four REVIEW.
+    Walks each URL by quality, equal scores by id, a number or a text. Every record takes the first later one that
+    agrees on at least four of six fields (null agrees), and each is in one pair at most. Five or six agreeing
+    fields give AUTO, four REVIEW. Records without an id cannot be named and are left out.
+
+    The rule is sequential, so a URL's records stream through one task in order, which remembers one open record
+    per key. In a URL with `big` records or more the keys that only agree with their own copies are paired apart,
+    spread over all tasks; the result is the same.
     """
     lowered = [F.lower(F.col(f).cast("string")).alias(f"f{i}") for i, f in enumerate(fv.SIX_KEY_FIELDS)]
-    rows = df.select(F.col(url).alias("url"), "league_id", F.coalesce("quality_score", F.lit(0)).cast("int").alias("score"), *lowered)
-    fs = [f"f{i}" for i in range(len(lowered))]
-    # A null and an empty value must stay apart.
-    sig = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in fs])
-    rows = rows.withColumns({"key_text": sig, "bucket": F.floor(F.col("league_id") / ID_SPAN)})
-    run = ["url", "score", "key_text"]
-    parts = rows.groupBy(*run, "bucket").agg(F.count("*").alias("n"), *[F.first(f).alias(f) for f in fs])
-    runs = parts.groupBy(*run).agg(F.sum("n").alias("n"), *[F.first(f).alias(f) for f in fs])
-    plan = settle(walk_sorted(runs, ["url"], [F.desc("score"), "key_text"], PairWalk, PAIR_SCHEMA))
-
-    # Rank of a record in its run, from bucket offsets, so that no run is sorted in one task.
-    before = Window.partitionBy(*run).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*run, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*run, "bucket").orderBy("league_id")
-    ranked = (rows.select(*run, "bucket", "league_id").withColumn("local", F.row_number().over(inside) - 1)
-              .join(offsets, [*run, "bucket"]).select(*run, "league_id", (F.col("offset") + F.col("local")).alias("rank")))
-
-    # Single pairs look up both records by run and rank; the pairs inside a run come from arithmetic.
-    inner = plan.filter((F.col("keep_score") == F.col("archive_score")) & (F.col("keep_key") == F.col("archive_key")))
-    cross = plan.filter((F.col("keep_score") != F.col("archive_score")) | (F.col("keep_key") != F.col("archive_key")))
-    spans = inner.select("url", F.col("keep_score").alias("score"), F.col("keep_key").alias("key_text"), "keep_rank", "pairs", "matched")
-    at = F.col("rank") - F.col("keep_rank")
-    within = (ranked.join(spans, run).filter((at >= 0) & (at < 2 * F.col("pairs")))
-              .groupBy(*run, F.floor(at / 2).alias("pair"))
-              .agg(F.min_by("league_id", "rank").alias("keep_id"), F.max_by("league_id", "rank").alias("archive_id"), F.first("matched").alias("matched"))
-              .select("url", "keep_id", "archive_id", "matched"))
-
-    def side(name):
-        return ranked.select("url", F.col("score").alias(f"{name}_score"), F.col("key_text").alias(f"{name}_key"),
-                             F.col("rank").alias(f"{name}_rank"), F.col("league_id").alias(f"{name}_id"))
-
-    across = (cross.join(side("keep"), ["url", "keep_score", "keep_key", "keep_rank"])
-              .join(side("archive"), ["url", "archive_score", "archive_key", "archive_rank"])
-              .select("url", "keep_id", "archive_id", "matched"))
-    return within.unionByName(across).select(
-        "url", "keep_id", "archive_id", F.col("matched").cast("int").alias("matched_fields"),
-        F.when(F.col("matched") >= fv.DUPLICATE_AUTO_FROM, "AUTO").otherwise("REVIEW").alias("confidence"))
+    rows = df.filter("league_id is not null").select(F.col(url).alias("url"), "league_id", F.coalesce("quality_score", F.lit(0)).cast("int").alias("score"), *lowered)
+    kind = rows.schema["league_id"].dataType.simpleString()
+    schema = f"url string, keep_id {kind}, archive_id {kind}, matched int"
+    walked = lambda some: walk_sorted(some, ["url"], [F.desc("score"), "league_id"], PairWalk, schema)
+    large = settle(rows.groupBy("url").count().filter(F.col("count") >= big).select(F.col("url").alias("big_url")))
+    if large.isEmpty():
+        pairs = walked(rows)
+    else:
+        # A null and an empty value must stay apart.
+        key = F.concat_ws(SEPARATOR, *[F.coalesce(F.concat(F.lit("="), F.col(f"f{i}")), F.lit("")) for i in range(len(lowered))])
+        of_large = settle(rows.join(large, F.col("url") == F.col("big_url"), "left_semi").withColumn("key", key))
+        alone = settle(_alone(of_large))
+        rest = of_large.join(alone, ["url", "key"], "left_anti").drop("key")
+        small = rows.join(large, F.col("url") == F.col("big_url"), "left_anti")
+        pairs = walked(small.unionByName(rest)).unionByName(_pairs_of_copies(of_large.join(alone, ["url", "key"], "left_semi")))
+    return pairs.select("url", "keep_id", "archive_id", F.col("matched").alias("matched_fields"),
+                        F.when(F.col("matched") >= fv.DUPLICATE_AUTO_FROM, "AUTO").otherwise("REVIEW").alias("confidence"))
 
 
 def duplicate_groups_of_urls(df: DataFrame) -> DataFrame:

@@ -6,7 +6,11 @@ in an ascending id, so ids may be numbers or text.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..session import settle
 
 
 def best_row(df: DataFrame, keys, order: list) -> DataFrame:
@@ -70,3 +74,41 @@ def rank_within(df: DataFrame, key: str, order: list, bucket: Column, rank_as: s
 def survivors(df: DataFrame, keys) -> DataFrame:
     """The record with the highest quality of each group; the smaller id wins a tie."""
     return best_row(df, keys, [F.desc(F.coalesce("quality_score", F.lit(0))), "league_id"])
+
+
+def placed(df: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
+    """All rows in one order with their place in it, from 0.
+
+    Rows are cut into ranges of the order, whose bounds Spark samples; a row's place is its place in its range plus
+    the rows of the ranges before. The ranges are settled, so that a lost executor cannot cut them otherwise; the
+    driver gets one number per range.
+    """
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType([*df.schema.fields, T.StructField("_range", T.IntegerType()), T.StructField("_at", T.LongType())])
+
+    def number(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64())], names=schema.names)
+            at += n
+
+    rows = settle(ranges.mapInArrow(number, schema))
+    before, total = [], 0
+    for r in sorted(rows.groupBy("_range").count().collect()):
+        before.append((r["_range"], total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_range int, _before bigint")
+    return rows.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def rank_in_groups(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rank") -> DataFrame:
+    """row_number() per group, where a group may hold any share of the rows: it is spread over many ranges.
+
+    A group is a stretch of the order by keys and `order`, so the rank is the distance from its first place. Null keys
+    make a group like any other. Rows that are equal in the order are ranked in no particular one.
+    """
+    rows = placed(df, [*[F.col(k).asc_nulls_first() for k in keys], *order], "_place")
+    first = rows.groupBy(*keys).agg(F.min("_place").alias("_first")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_first")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(first, same).withColumn(name, F.col("_place") - F.col("_first") + 1).drop("_place", "_first", *[f"_k{i}" for i in range(len(keys))])

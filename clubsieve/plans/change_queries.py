@@ -345,12 +345,11 @@ def _(t):
 
 
 _SIX = ["lower(organization_name)", "lower(sport_season_code)", "cast(season_year AS varchar)", "lower(venue_name)", "lower(day_of_week)", "lower(source_comp_level)"]
-_KEY_TEXT = "concat_ws(chr(1), " + ", ".join(f"coalesce('=' || {e}, '')" for e in _SIX) + ")"
 _AGREE = " + ".join(f"CASE WHEN a.f{i} = b.f{i} OR a.f{i} IS NULL OR b.f{i} IS NULL THEN 1 ELSE 0 END" for i in range(6))
 # The walk in SQL: one recursion step per rank, with the list of used ranks as its state.
 WALK_SQL = f"""
 RECURSIVE k AS (SELECT league_id, url_scraped AS url, quality_score, {', '.join(f'{e} AS f{i}' for i, e in enumerate(_SIX))},
-    row_number() OVER (PARTITION BY url_scraped ORDER BY coalesce(quality_score, 0) DESC, {_KEY_TEXT}, league_id) AS rn FROM listings WHERE NOT is_archived),
+    row_number() OVER (PARTITION BY url_scraped ORDER BY coalesce(quality_score, 0) DESC, league_id) AS rn FROM listings WHERE NOT is_archived),
 cand AS (SELECT a.url, a.rn, list({{'j': b.rn, 'm': {_AGREE}}} ORDER BY b.rn) AS js FROM k a JOIN k b ON a.url = b.url AND b.rn > a.rn WHERE {_AGREE} >= 4 GROUP BY 1, 2),
 steps AS (SELECT k.url, k.rn, coalesce(js, []) AS js FROM k LEFT JOIN cand USING (url, rn)),
 walk AS (SELECT DISTINCT url, 0::bigint AS i, []::bigint[] AS used, NULL::struct(j bigint, m integer) AS hit FROM k

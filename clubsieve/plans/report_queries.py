@@ -386,6 +386,13 @@ def _(t):
         "organization_name", "season_year", "league_id", "quality_score")
 
 
+@query("w8_rank_of_status", """
+SELECT scrape_id, status, row_number() OVER (PARTITION BY status ORDER BY scrape_id) AS rank FROM queue""", ("queue",))
+def _(t):
+    """Few groups, each with a large share of the rows, so every group is spread over ranges."""
+    return ranking.rank_in_groups(t.queue.select("scrape_id", "status"), ["status"], ["scrape_id"])
+
+
 @query("w8_rank_in_query", """
 SELECT result_id, query_id, row_number() OVER (PARTITION BY query_id ORDER BY found_on, result_id) AS rank_in_query FROM results""", ("results",))
 def _(t):

@@ -1,10 +1,11 @@
 """The sequential walks against plain Python, record by record."""
 import random
 
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Window, functions as F
 
 from clubsieve.functions import fixed_values as fv
-from clubsieve.operators import dedupe
+from clubsieve.operators import dedupe, ranking
 from tests.test_matching import NAMES, SCHEMA, key_of, overlap, records
 
 PAIR_SCHEMA = ("league_id bigint, url_scraped string, quality_score int, organization_name string, sport_season_code string, season_year int, "
@@ -22,11 +23,10 @@ def lowered(r):
 
 
 def greedy(rows):
-    """The rule as stated: by quality, then key, then the order of ids inside a run of equal keys."""
-    text = lambda r: "\u0001".join("" if x is None else "=" + x for x in lowered(r))
-    out = {}
+    """The rule as stated: by quality, then id; each record takes its first later partner."""
+    out = set()
     for url in {r[1] for r in rows}:
-        here = sorted((r for r in rows if r[1] == url), key=lambda r: (-(r[2] or 0), text(r)))
+        here = sorted((r for r in rows if r[1] == url), key=lambda r: (-(r[2] or 0), r[0]))
         used = set()
         for n, a in enumerate(here):
             if n in used:
@@ -35,29 +35,50 @@ def greedy(rows):
                 same = sum(x is None or y is None or x == y for x, y in zip(lowered(a), lowered(here[m])))
                 if m not in used and same >= 4:
                     used.add(m)
-                    kind = lambda r: (r[2] or 0, text(r))
-                    key = (url, kind(a), kind(here[m]), same)
-                    out[key] = out.get(key, 0) + 1
+                    out.add((url, a[0], here[m][0], same, "AUTO" if same >= 5 else "REVIEW"))
                     break
     return out
 
 
-def test_pairs_agree_with_greedy_walk(spark):
-    """Records of equal score and key are interchangeable, so pairs are compared by those."""
-    for seed in range(4):
-        rows = pair_rows(random.Random(seed), 120)
-        by_id = {r[0]: r for r in rows}
-        got = {}
-        pairs = dedupe.duplicate_pairs(spark.createDataFrame(rows, PAIR_SCHEMA)).collect()
-        text = lambda r: "\u0001".join("" if x is None else "=" + x for x in lowered(r))
-        for p in pairs:
-            kind = lambda i: (by_id[i][2] or 0, text(by_id[i]))
-            key = (p.url, kind(p.keep_id), kind(p.archive_id), p.matched_fields)
-            got[key] = got.get(key, 0) + 1
-            assert p.confidence == ("AUTO" if p.matched_fields >= 5 else "REVIEW")
-        assert got == greedy(rows)
-        archived = [p.archive_id for p in pairs]
-        assert len(set(archived)) == len(archived) and not set(archived) & {p.keep_id for p in pairs}
+@pytest.mark.parametrize("big", [dedupe.BIG_URL, 1, 60])
+def test_pairs_agree_with_greedy_walk(spark, big):
+    """In one task per URL, and with copies paired apart in all or some URLs."""
+    for seed in range(3):
+        rows = pair_rows(random.Random(seed), 150)
+        rows += [(1000 + i, "u2", 20, f"Club {i % 9}", "777", 1999, "Yard", "Noday", "Z") for i in range(40)]
+        got = dedupe.duplicate_pairs(spark.createDataFrame(rows, PAIR_SCHEMA), big=big).collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == greedy(rows)
+
+
+def test_pairs_of_text_ids(spark):
+    rows = [(f"k{r[0] * 7919 % 1000:03}", *r[1:]) for r in pair_rows(random.Random(7), 90)]
+    text = PAIR_SCHEMA.replace("league_id bigint", "league_id string")
+    for big in (dedupe.BIG_URL, 1):
+        assert {tuple(r) for r in dedupe.duplicate_pairs(spark.createDataFrame([*rows, (None, *rows[0][1:])], text), big=big).collect()} == greedy(rows)
+    assert dedupe.duplicate_pairs(spark.createDataFrame([], text)).collect() == []
+
+
+def test_ranks_in_a_hot_group(spark):
+    """One group with nine tenths of the rows is numbered over many ranges, as row_number() numbers it."""
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, (F.col("id") % 70).cast("string")).when(F.col("id") % 101 == 1, None).otherwise("hot").alias("g"),
+                                    (F.col("id") * 7919 % 20_011).alias("v")).repartition(3)
+    ranked = ranking.rank_in_groups(df, ["g"], [F.desc("v")], "r")
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"))).cast("long"))
+    assert ranked.exceptAll(want).count() == 0 and ranked.count() == want.count()
+    assert ranking.rank_in_groups(df.limit(0), ["g"], ["v"]).collect() == []
+
+
+def test_copies_are_spread_over_tasks(spark):
+    """Copies of one key in one URL, a third of all rows: no task walks them."""
+    walked = []
+    plain = dedupe.walk_sorted
+    dedupe.walk_sorted = lambda some, *rest: walked.append(some.count()) or plain(some, *rest)
+    try:
+        hot = spark.range(3000).selectExpr("id AS league_id", "'hot' AS url_scraped", "10 AS quality_score", "'Org' AS organization_name", "'201' AS sport_season_code", "2024 AS season_year",
+                                           "concat('Park ', id % 3) AS venue_name", "concat('day ', id % 3) AS day_of_week", "concat('level ', id % 3) AS source_comp_level")
+        assert dedupe.duplicate_pairs(hot, big=1000).count() == 1500 and walked == [0]
+    finally:
+        dedupe.walk_sorted = plain
 
 
 def test_hot_url_of_copies_is_paired_without_gathering_it(spark):

@@ -8,7 +8,8 @@ from clubsieve.plans.catalog import QUERIES
 RUNS_AT_ONCE = {"s2_csv_round_trip", "s3_append_snapshots", "s8_append_links", "s9_append_checks", "st1_intake_without_repeats", "st2_latest_per_key"}
 PYTHON = {"v8_venue_confidence", "h14_tab_score", "j9_match_divisions", "h5_scored_elements", "h5_page_elements", "h6_price_hints_of_elements",
           "h7_page_tables", "h8_team_counts_in_tables", "h9_listing_tables", "h10_link_contexts", "h10_discovered_links", "h18_tree_links",
-          "h21_context_bundle", "r1_duplicate_pairs", "r2_duplicate_groups_of_urls", "r3_assign_groups", "r3_assign_groups_with_parents", "r3_deduplicate", "u5_similarity_ratio"}
+          "h21_context_bundle", "r1_duplicate_pairs", "r2_duplicate_groups_of_urls", "r3_assign_groups", "r3_assign_groups_with_parents", "r3_deduplicate", "u5_similarity_ratio",
+          "u5_similar_names", "h18_resolved_links", "w8_rank_of_status"}
 
 
 def plan_of(df) -> str:
