@@ -26,7 +26,7 @@ def _(t):
     stream = event_stream(t).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
     folder = intake.work_folder(t.spark)
     kept = intake.without_repeats(stream, "ts", ["user_id", "event_type"], "3 hours")
-    return t.spark.read.parquet(intake.run_to_table(kept, folder))
+    return intake.KeptTable(t.spark, folder, kept).run()
 
 
 @query("st2_latest_per_key", """

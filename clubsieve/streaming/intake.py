@@ -4,10 +4,12 @@ from __future__ import annotations
 import os
 import uuid
 from dataclasses import dataclass
+from datetime import timedelta
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_folder
 
@@ -39,29 +41,34 @@ def without_repeats(stream: DataFrame, time: str, keys: list[str], within: str)
     return Intake(stream, time, tuple(keys), within)
 
 
-def first_of_each_span(rows: DataFrame, time: str, keys: list[str] | tuple[str, ...], within: str) -> DataFrame:
+def first_of_each_span(rows: DataFrame, time: str, keys: list[str] | tuple[str, ...], within: str, kept_before: DataFrame | None = None) -> DataFrame:
     """The batch rule of without_repeats. Of rows of one time the least counts, by the other columns in order, nulls last.
 
     Rows of one key and time fold in Spark; the rest stream through the walk sorted, in Arrow batches, and the
-    walk remembers the key and the time last kept.
+    walk remembers the key and the time last kept. `kept_before` are rows kept earlier, all before these: the walk of
+    a key goes on after its last one.
     """
     span, columns = pd.Timedelta(within).value // 1000, rows.columns
     at = [columns.index(k) for k in keys]
     order = [part for c in columns if c not in (*keys, time) for part in (F.col(c).isNull().alias(f"no {c}"), F.col(c))]
     one = rows.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.min(F.struct(F.lit(0).alias("none of them"), *order)).alias("least of them"))
     sorted_rows = one.select(*[F.col(c) if c in (*keys, time) else F.col(f"least of them.`{c}`") for c in columns],
-                             F.unix_micros(F.col(time).cast("timestamp")).alias("micros of it")).repartition(*keys).sortWithinPartitions(*keys, time)
+                             F.unix_micros(F.col(time).cast("timestamp")).alias("micros of it"), F.lit(False).alias("kept before"))
+    if kept_before is not None:
+        last = kept_before.groupBy(*keys).agg(F.max(time).alias(time))
+        sorted_rows = sorted_rows.unionByName(last.select(*keys, time, F.unix_micros(F.col(time).cast("timestamp")).alias("micros of it"), F.lit(True).alias("kept before")), allowMissingColumns=True)
+    sorted_rows = sorted_rows.repartition(*keys).sortWithinPartitions(*keys, time)
 
     def walk(batches):
         current, last = None, 0
         for b in batches:
             kept = []
-            for *key, t in zip(*[b.column(i).to_pylist() for i in at], b.column(len(columns)).to_pylist()):
-                take = key != current or t - last >= span
-                kept.append(take)
+            for *key, t, before in zip(*[b.column(i).to_pylist() for i in at], b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()):
+                take = before or key != current or t - last >= span
+                kept.append(take and not before)
                 if take:
                     current, last = key, t
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=columns).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(b.columns[:-2], names=columns).filter(pa.array(kept, pa.bool_()))
 
     return sorted_rows.mapInArrow(walk, rows.schema)
 
@@ -83,6 +90,65 @@ def run_to_table(stream: DataFrame | Intake, folder: str) -> str:
     return out
 
 
+class KeptTable:
+    """The rows of an Intake that stay, kept up to date batch by batch below one folder.
+
+    * `rows/batch=N/day=D` holds what has arrived, `kept/batch=N/day=D` what stays of a day as batch N left it.
+    * A batch walks its earliest day and the later ones again, from the rows kept in the span before; a late row thus
+      costs the days since. Days before it are not read.
+    * `days/batch=N` says which batch has the valid rows of each day. It is one small file and is written last, so a
+      reader sees the table before the batch or after it, and a batch that is run again replaces what it wrote.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, intake: Intake):
+        self.spark, self.folder, self.intake = spark, folder, intake
+        self.schema = intake.stream.schema
+        self.parts = T.StructType([*self.schema.fields, T.StructField("_batch", T.IntegerType()), T.StructField("_day", T.DateType())])
+
+    def _days(self, before: int | None = None) -> dict:
+        """Day to batch, as of the last batch, or the last one before a number."""
+        try:
+            named = self.spark.read.schema("day date, valid int, _batch int").parquet(f"{self.folder}/days")
+        except AnalysisException:  # no batch yet
+            return {}
+        if before is not None:
+            named = named.where(F.col("_batch") < before)
+        last = named.agg(F.max("_batch").alias("n")).first().n
+        return {} if last is None else {r.day: r.valid for r in named.where(F.col("_batch") == last).collect()}
+
+    def _kept(self, days: dict) -> DataFrame:
+        paths = [f"{self.folder}/kept/_batch={n}/_day={day}" for day, n in days.items()]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        time = self.intake.time
+        dated = batch.where(F.col(time).isNotNull()).withColumn("_day", F.to_date(time))
+        dated.write.mode("overwrite").partitionBy("_day").parquet(f"{self.folder}/rows/_batch={number}")
+        arrived = self.spark.read.schema(self.parts).parquet(f"{self.folder}/rows")
+        begin = arrived.where(F.col("_batch") == number).agg(F.min("_day").alias("d")).first().d
+        if begin is None:
+            return
+        days = self._days(number)
+        reach = begin - timedelta(days=pd.Timedelta(self.intake.within).days + 1)
+        seeds = self._kept({d: n for d, n in days.items() if reach <= d < begin})
+        fresh = arrived.where((F.col("_day") >= F.lit(begin)) & (F.col("_batch") <= number)).drop("_batch", "_day")
+        found = first_of_each_span(fresh, time, self.intake.keys, self.intake.within, seeds).withColumn("_day", F.to_date(time))
+        found.write.mode("overwrite").partitionBy("_day").parquet(f"{self.folder}/kept/_batch={number}")
+        written = self.spark.read.schema(self.parts).parquet(f"{self.folder}/kept").where(F.col("_batch") == number).select("_day").distinct().collect()
+        valid = [(d, n) for d, n in days.items() if d < begin] + [(r["_day"], number) for r in written]
+        self.spark.createDataFrame(valid, "day date, valid int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/days/_batch={number}")
+
+    def run(self) -> DataFrame:
+        """Takes in all that is there and returns the table."""
+        q = (self.intake.stream.writeStream.foreachBatch(self.write).option("checkpointLocation", f"{self.folder}/progress")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return self.read()
+
+    def read(self) -> DataFrame:
+        return self._kept(self._days())
+
+
 def newest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     whole = F.struct(*[F.col(c) for c in rows.columns])
     return rows.groupBy(key).agg(F.max_by(whole, order).alias("r")).select("r.*")

@@ -61,6 +61,9 @@ def test_any_order_of_files_agrees_with_sql(spark, tmp_path):
         out = intake.run_to_table(intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"), str(tmp_path / f"work{files}"))
         got = [r.event_id for r in spark.read.parquet(out).collect()]
         assert len(got) == len(want) and set(got) == want
+        table = intake.KeptTable(spark, str(tmp_path / f"kept{files}"), intake.without_repeats(stream, "ts", ["user_id"], "60 minutes"))
+        got = [r.event_id for r in table.run().collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_a_hot_key_streams_through_the_walk(spark):
@@ -73,3 +76,27 @@ def test_a_hot_key_streams_through_the_walk(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert got == [*range(0, 2000, 9), 5000]
+
+
+def test_a_batch_costs_the_days_since_its_first_row(spark, tmp_path):
+    """New rows walk their own day again; a reader in between sees whole tables; a batch run twice changes nothing."""
+    source = str(tmp_path / "in")
+    day = 24 * 60
+    write_batches(spark, source, [[(d * 10 + i, at(d * day + 40 * i), 1) for i in range(8)] for d in range(4)])
+    stream = intake.stream_of(spark, source, spark.read.parquet(source).schema)
+    kept = intake.without_repeats(stream, "ts", ["user_id"], "60 minutes")
+    table = intake.KeptTable(spark, str(tmp_path / "work"), kept)
+    first = sorted(r.event_id for r in table.run().collect())
+    assert first == [d * 10 + i for d in range(4) for i in (0, 2, 4, 6)]
+    write_batches(spark, source, [[(90, at(3 * day + 400), 1), (91, at(3 * day + 410), 1)]])
+    held = table.read()
+    assert sorted(r.event_id for r in table.run().collect()) == [*first, 90]
+    assert sorted(r.event_id for r in held.collect()) == first
+    days = table._days()
+    assert [days[d] for d in sorted(days)] == [0, 0, 0, 1]
+    write_batches(spark, source, [[(95, at(2 * day - 20), 1)]])  # late: the day before it ends, and all that follows
+    late = sorted(r.event_id for r in table.run().collect())
+    assert late == sorted([0, 2, 4, 6, 10, 12, 14, 16, 95, 21, 23, 25, 27, 30, 32, 34, 36, 90])
+    assert table.run().count() == len(late) and [table._days()[d] for d in sorted(days)] == [0, 2, 2, 2]
+    table.write(spark.createDataFrame([(95, at(2 * day - 20), 1)], SCHEMA), 2)
+    assert sorted(r.event_id for r in table.read().collect()) == late
