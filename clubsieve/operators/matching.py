@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, keys
 from ..functions.text import norm_text
+from ..session import settle
 from . import similar
 
 SEPARATOR = "\u0001"
@@ -67,16 +68,19 @@ def division_label(day: str = "day_of_week", gender: str = "gender_eligibility",
 
 
 def division_pairs(extracted: DataFrame, listings: DataFrame) -> DataFrame:
-    """Each division name with each label of the same URL and the least listing that bears it, copies folded, with their letters."""
+    """Each division name with each label of the same URL and the least listing that bears it, copies folded."""
     labels = (listings.groupBy(F.col("url_scraped").alias("url"), division_label().alias("label"))
               .agg(F.min("league_id").alias("league_id")))
-    names = extracted.filter(F.col("division_name") != "").select("url", F.lower("division_name").alias("division")).distinct()
-    return similar.with_letters(names, "division", "a").join(similar.with_letters(labels, "label", "b"), "url")
+    return extracted.filter(F.col("division_name") != "").select("url", F.lower("division_name").alias("division")).distinct().join(labels, "url")
 
 
 def compared(pairs: DataFrame, floor: float) -> DataFrame:
-    """Distinct texts of the pairs that can reach the floor and are not equal: only these are compared in Python."""
-    return pairs.filter(similar.may_reach(floor)).filter("division <> label").select("division", "label").distinct()
+    """Distinct texts of the pairs, whatever their URL, that can reach the floor: only these are compared in Python.
+
+    They are settled first, else the optimizer would move the filter ahead of the aggregate, onto all pairs.
+    """
+    texts = settle(pairs.select("division", "label").distinct())
+    return similar.with_letters(similar.with_letters(texts, "division", "a"), "label", "b").filter(similar.may_reach(floor)).select("division", "label")
 
 
 def match_divisions(extracted: DataFrame, listings: DataFrame, floor: float = 0.4) -> DataFrame:
@@ -85,9 +89,9 @@ def match_divisions(extracted: DataFrame, listings: DataFrame, floor: float = 0.
     Both sides are folded to distinct texts per URL, pairs to distinct texts that can reach the floor. Without
     a name the only listing of the URL is taken. Ties go to the least listing.
     """
-    pairs = division_pairs(extracted, listings).select("url", "division", "label", "league_id", similar.may_reach(floor).alias("may"))
-    ratios = similar.ratios(pairs.filter("may"), "division", "label").filter(F.col("ratio") >= floor)
-    best = pairs.filter("may").join(ratios, ["division", "label"]).groupBy("url", "division").agg(F.min_by(
+    pairs = division_pairs(extracted, listings)
+    ratios = similar.ratios(compared(pairs, floor), "division", "label").filter(F.col("ratio") >= floor)
+    best = pairs.join(ratios, ["division", "label"]).groupBy("url", "division").agg(F.min_by(
         F.struct("league_id", "ratio"), F.struct((-F.col("ratio")).alias("r"), "league_id")).alias("b")).select(
         "url", "division", F.col("b.league_id").alias("named_id"), F.round("b.ratio", 6).alias("ratio"))
     single = listings.groupBy(F.col("url_scraped").alias("url")).agg(F.count("*").alias("n"), F.min("league_id").alias("single_id")).filter("n = 1")

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.similarity import ratio
+from ..session import settle
 
 #: Letters counted one by one; all others share one count.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
@@ -46,10 +47,8 @@ def may_reach(floor: float, a: str = "a", b: str = "b") -> Column:
 
 
 def ratios(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """The ratio of every distinct pair of texts; equal ones need no comparison."""
-    distinct = pairs.select(a, b).distinct()
-    differ = distinct.where(F.col(a) != F.col(b)).withColumn("ratio", ratio(a, b))
-    return differ.unionByName(distinct.where(F.col(a) == F.col(b)).withColumn("ratio", F.lit(1.0)))
+    """The ratio of every distinct pair of texts."""
+    return pairs.select(a, b).distinct().withColumn("ratio", ratio(a, b))
 
 
 def _numbered(keys: Column) -> Column:
@@ -91,7 +90,8 @@ def candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     every = sides[0].unionByName(sides[1]).distinct()
     frequency = _keys(every, floor).select("kind", F.explode("keys").alias("key")).groupBy("kind", "key").agg(F.count("*").alias("n"))
     a, b = (_found_under(s, frequency, floor).withColumnRenamed("text", name) for s, name in zip(sides, "ab"))
-    pairs = a.join(b, ["kind", "key"]).select("a", "b").where("a <> b").distinct()
+    # Settled, as the optimizer would move the filter ahead of the aggregate.
+    pairs = settle(a.join(b, ["kind", "key"]).select("a", "b").where("a <> b").distinct())
     return with_letters(with_letters(pairs, "a", "a"), "b", "b").where(may_reach(floor)).select("a", "b")
 
 
