@@ -180,7 +180,8 @@ def duplicate_pairs(df: DataFrame, url: str = "url_scraped", big: int = BIG_URL)
         rest = of_large.join(alone, ["url", "key"], "left_anti").drop("key")
         small = rows.join(large, F.col("url") == F.col("big_url"), "left_anti")
         pairs = walked(small.unionByName(rest)).unionByName(_pairs_of_copies(of_large.join(alone, ["url", "key"], "left_semi")))
-    return pairs.select("url", "keep_id", "archive_id", F.col("matched").alias("matched_fields"),
+    # Settled, so that no caller walks twice.
+    return settle(pairs).select("url", "keep_id", "archive_id", F.col("matched").alias("matched_fields"),
                         F.when(F.col("matched") >= fv.DUPLICATE_AUTO_FROM, "AUTO").otherwise("REVIEW").alias("confidence"))
 
 
