@@ -2,9 +2,10 @@
 
 Grammar inference in the manner of state merging: the credentials of one kind make a prefix tree with
 counts; states whose outgoing frequencies do not differ by more than a Hoeffding bound are merged, and what
-is left is a probabilistic automaton over character classes. A background automaton is learned from long
-tokens that no base pattern covers. Every candidate token of every text, or what base spans leave of it, is
-scored by its likelihood under the formats against the background; those above a fixed margin are added.
+is left is a probabilistic automaton over character classes, with the lengths of its tokens beside it. A
+background automaton is learned from long tokens that no base pattern covers. Every candidate token of every
+text, or what base spans leave of it, is scored by its likelihood under the formats against the background;
+those above a fixed margin are added.
 """
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
@@ -29,6 +31,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_CANDIDATE = 6, 20, 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
 SAMPLE, MARGIN, LONGEST_SAMPLE = 400, 12.0, 256
 ALPHA = 0.05
+LEAST_COUNT = 10  # samples that pass a state before it is compared
+OTHER_LENGTHS = 0.1  # share of all lengths together that a format never had
 
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 _CLASS_OF = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
@@ -48,10 +52,14 @@ def classes(token: str) -> list[int]:
 
 
 class Automaton:
-    """A probabilistic automaton: next[state][symbol] is a state, log probabilities of symbols and of the end."""
+    """A probabilistic automaton: next[state][symbol] is a state; log probabilities of symbols, and of lengths apart.
 
-    def __init__(self, step: np.ndarray, log: np.ndarray, end: np.ndarray):
-        self.step, self.log, self.end = step, log, end
+    Lengths are apart because a loop cannot tell how often it was passed: random digits make one state, whatever
+    their number.
+    """
+
+    def __init__(self, step: np.ndarray, log: np.ndarray, lengths: np.ndarray):
+        self.step, self.log, self.lengths = step, log, lengths
 
     def score(self, symbols: list[int]) -> float:
         """Log likelihood of a token's classes; a symbol never seen in a state leads back to the start."""
@@ -59,13 +67,25 @@ class Automaton:
         for s in symbols:
             total += self.log[at, s] + _WITHIN[s]
             at = self.step[at, s]
-        return total + self.end[at]
+        return total + self.lengths[min(len(symbols), len(self.lengths) - 1)]
+
+
+def _lengths(samples: list[list[int]]) -> np.ndarray:
+    """Log probabilities of lengths: as seen, and a small share even over all, so that none is impossible."""
+    seen = np.bincount([min(len(s), LONGEST_SAMPLE) for s in samples], minlength=LONGEST_SAMPLE + 1)
+    return np.log((1 - OTHER_LENGTHS) * seen / max(1, len(samples)) + OTHER_LENGTHS / (LONGEST_SAMPLE + 1))
 
 
 def infer(samples: list[list[int]], alpha: float = ALPHA) -> Automaton:
-    """State merging over the prefix tree of the samples: red states are final, blue ones are merged or turn red."""
+    """State merging over the prefix tree of the samples: red states are final, blue ones are merged or turn red.
+
+    A blue state that enough samples pass merges with the red one that agrees with it in most places, or stays
+    apart if all differ. One that few samples pass cannot bear the test: it joins the red state under which what
+    follows it is most likely, so that rare paths do not make any state look like the start.
+    """
+    k = len(_CLASSES)
     counts: list[dict[int, int]] = [defaultdict(int)]
-    ends, child, passed = [0], [dict()], [0]
+    child, passed = [dict()], [0]
     for sample in samples:
         at = 0
         passed[0] += 1
@@ -74,35 +94,43 @@ def infer(samples: list[list[int]], alpha: float = ALPHA) -> Automaton:
             if s not in child[at]:
                 child[at][s] = len(counts)
                 counts.append(defaultdict(int))
-                ends.append(0)
                 child.append({})
                 passed.append(0)
             at = child[at][s]
             passed[at] += 1
-        ends[at] += 1
     bound = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def differ(a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
-    def compatible(a: int, b: int) -> bool:
-        pairs = [(a, b)]
+    def agreement(a: int, b: int) -> int:
+        """In how many places two states were compared and agree; -1 if they differ in one."""
+        pairs, places = [(a, b)], 0
         while pairs:
             a, b = pairs.pop()
             n, m = passed[a], passed[b]
-            if not n or not m:
+            if n < LEAST_COUNT or m < LEAST_COUNT:
                 continue
-            if differ(ends[a], n, ends[b], m) or any(differ(counts[a].get(s, 0), n, counts[b].get(s, 0), m) for s in {*counts[a], *counts[b]}):
-                return False
-            pairs += [(child[a][s], child[b][s]) for s in child[b] if s in child[a] and passed[child[b][s]] > 4]
-        return True
+            wide = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if any(abs(counts[a].get(s, 0) / n - counts[b].get(s, 0) / m) > wide for s in {*counts[a], *counts[b]}):
+                return -1
+            places += 1
+            pairs += [(child[a][s], child[b][s]) for s in sorted(child[b]) if s in child[a] and child[a][s] != child[b][s]]
+        return places
+
+    def likelihood(red: int, b: int) -> float:
+        """Log likelihood of all that follows b, walked from the red state as far as its paths are known."""
+        pairs, total = [(red, b)], 0.0
+        while pairs:
+            a, b = pairs.pop()
+            n = sum(counts[a].values()) + 0.1 * k if a is not None else 0
+            for s, m in counts[b].items():
+                total += m * math.log((counts[a].get(s, 0) + 0.1) / n if n else 1 / k)
+                pairs.append((child[a].get(s) if a is not None else None, child[b][s]))
+        return total
 
     def fold(a: int, b: int) -> None:
         pairs = [(a, b)]
         while pairs:
             a, b = pairs.pop()
             passed[a] += passed[b]
-            ends[a] += ends[b]
             for s, n in counts[b].items():
                 counts[a][s] += n
             for s, t in child[b].items():
@@ -116,7 +144,11 @@ def infer(samples: list[list[int]], alpha: float = ALPHA) -> Automaton:
     while blue:
         parent, s = max(blue, key=lambda x: passed[child[x[0]][x[1]]])
         node = child[parent][s]
-        into = next((r for r in red if compatible(r, node)), None)
+        if passed[node] < LEAST_COUNT:
+            into = max(red, key=lambda r: likelihood(r, node))
+        else:
+            places, into = max(((agreement(r, node), -r) for r in red))
+            into = -into if places > 0 else None
         if into is None:
             red.append(node)
         else:
@@ -125,15 +157,13 @@ def infer(samples: list[list[int]], alpha: float = ALPHA) -> Automaton:
         inside = set(red)
         blue = [(r, t) for r in red for t in sorted(child[r]) if child[r][t] not in inside]
     number = {r: i for i, r in enumerate(red)}
-    k = len(_CLASSES)
-    step, log, end = np.zeros((len(red), k), dtype=np.int64), np.zeros((len(red), k)), np.zeros(len(red))
+    step, log = np.zeros((len(red), k), dtype=np.int64), np.zeros((len(red), k))
     for r, i in number.items():
-        total = sum(counts[r].values()) + ends[r] + 0.1 * (k + 1)
-        end[i] = math.log((ends[r] + 0.1) / total)
+        total = sum(counts[r].values()) + 0.1 * k
         for s in range(k):
             log[i, s] = math.log((counts[r].get(s, 0) + 0.1) / total)
             step[i, s] = number[child[r][s]] if s in child[r] else 0
-    return Automaton(step, log, end)
+    return Automaton(step, log, _lengths(samples))
 
 
 def _uncovered(text: str, spans) -> list[tuple[int, int]]:
@@ -167,27 +197,39 @@ def _left_over(text: str, spans) -> list[tuple[int, int]]:
 
 
 def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """kind, token: at most `sample` distinct credentials per base kind, and as many background tokens."""
+    """kind, token: at most `sample` distinct credentials per base kind, and as many background tokens.
+
+    They are those of least hash in the whole corpus. A task passes on at most twice that many per kind, as the
+    least of all are among the least of each task.
+    """
 
     def run(batches):
+        least = {kind: {} for kind in ("assign", "access", "hex", "background")}  # token to hash, the least hashes only
+
+        def add(kind: str, token: str) -> None:
+            kept = least[kind]
+            if len(token) <= LONGEST_SAMPLE and token not in kept:
+                h = xxhash.xxh64_intdigest(token)
+                if h < limit[kind]:
+                    kept[token] = h
+                    if len(kept) >= 2 * sample:
+                        kept = least[kind] = dict(sorted(kept.items(), key=lambda x: (x[1], x[0]))[:sample])
+                        limit[kind] = max(kept.values())
+
+        limit = dict.fromkeys(least, 1 << 64)
         for b in batches:
-            kinds, tokens = [], []
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
                 spans = base_spans(text)
                 for a, z, kind in spans:
-                    token = ASSIGN.match(text[a:z])[2] if kind == "assign" else text[a:z]
-                    if len(token) <= LONGEST_SAMPLE:
-                        kinds.append(kind)
-                        tokens.append(token)
+                    add(kind, ASSIGN.match(text[a:z])[2] if kind == "assign" else text[a:z])
                 for a, z in _uncovered(text, spans):
-                    if z - a <= LONGEST_SAMPLE:
-                        kinds.append("background")
-                        tokens.append(text[a:z])
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], names=["kind", "token"])
+                    add("background", text[a:z])
+        rows = [(kind, token, h - (1 << 63)) for kind, kept in least.items() for token, h in kept.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["kind", "token", "h"])
 
-    found = settle(docs.select(text_col).mapInArrow(run, "kind string, token string").distinct()).withColumn("h", F.xxhash64("token"))
+    found = settle(docs.select(text_col).mapInArrow(run, "kind string, token string, h bigint").distinct())
     parts = [found.where(F.col("kind") == k).orderBy("h", "token").limit(sample) for k in ("assign", "access", "hex", "background")]
     out = parts[0]
     for p in parts[1:]:
@@ -201,11 +243,11 @@ def learn(labelled: DataFrame) -> dict[str, Automaton]:
     def one(group: pa.Table) -> pa.Table:
         tokens = sorted(group.column("token").to_pylist())
         a = infer([classes(t) for t in tokens])
-        return pa.table({"kind": group.column("kind")[:1], "states": pa.array([len(a.end)], pa.int64()), "step": pa.array([a.step.astype("<i8").tobytes()], pa.binary()),
-                         "log": pa.array([a.log.astype("<f8").tobytes()], pa.binary()), "ends": pa.array([a.end.astype("<f8").tobytes()], pa.binary())})
+        return pa.table({"kind": group.column("kind")[:1], "states": pa.array([len(a.log)], pa.int64()), "step": pa.array([a.step.astype("<i8").tobytes()], pa.binary()),
+                         "log": pa.array([a.log.astype("<f8").tobytes()], pa.binary()), "lengths": pa.array([a.lengths.astype("<f8").tobytes()], pa.binary())})
 
-    rows = labelled.groupBy("kind").applyInArrow(one, "kind string, states bigint, step binary, log binary, ends binary").collect()  # four automata
-    return {r.kind: Automaton(np.frombuffer(r.step, "<i8").reshape(r.states, -1), np.frombuffer(r.log, "<f8").reshape(r.states, -1), np.frombuffer(r.ends, "<f8")) for r in rows}
+    rows = labelled.groupBy("kind").applyInArrow(one, "kind string, states bigint, step binary, log binary, lengths binary").collect()  # four automata
+    return {r.kind: Automaton(np.frombuffer(r.step, "<i8").reshape(r.states, -1), np.frombuffer(r.log, "<f8").reshape(r.states, -1), np.frombuffer(r.lengths, "<f8")) for r in rows}
 
 
 def likely(token: str, models: dict[str, Automaton], margin: float = MARGIN) -> bool:
