@@ -29,9 +29,22 @@ def _(t):
     return intake.KeptTable(t.spark, folder, kept).run()
 
 
-@query("st2_latest_per_key", """
-SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
-def _(t):
+LATEST_SQL = """
+SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+def latest_events(t, compact_every):
     order = F.struct("ts", "event_id")
-    table = intake.upsert_latest(event_stream(t), "user_id", order, intake.work_folder(t.spark))
+    table = intake.upsert_latest(event_stream(t), "user_id", order, intake.work_folder(t.spark), compact_every)
     return intake.latest_rows(t.spark, table, "user_id", order).select("user_id", "event_id", "event_type", "value")
+
+
+@query("st2_latest_per_key", LATEST_SQL)
+def _(t):
+    return latest_events(t, 0)
+
+
+@query("st2_latest_compacted", LATEST_SQL)
+def _(t):
+    """The same state from a snapshot that is merged after every batch."""
+    return latest_events(t, 1)

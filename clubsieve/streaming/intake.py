@@ -154,16 +154,19 @@ def newest(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(whole, order).alias("r")).select("r.*")
 
 
-def upsert_latest(stream: DataFrame, key: str, order: Column, folder: str) -> str:
+def upsert_latest(stream: DataFrame, key: str, order: Column, folder: str, compact_every: int = 0) -> str:
     """Appends each batch's newest row per key to a table and returns its path.
 
     A batch writes its own partition only, so the cost follows the batch and not the table, and
-    a repeated batch replaces what it wrote. latest_rows gives the current state.
+    a repeated batch replaces what it wrote. latest_rows gives the current state. With compact_every, batches
+    are merged into a snapshot after each so many, between two batches.
     """
     out = f"{folder}/table"
 
     def write(batch: DataFrame, number: int) -> None:
         newest(batch, key, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if compact_every and (number + 1) % compact_every == 0:
+            compact(batch.sparkSession, out, key, order, number)
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress")
          .trigger(availableNow=True).start())
@@ -171,6 +174,39 @@ def upsert_latest(stream: DataFrame, key: str, order: Column, folder: str) -> st
     return out
 
 
+def compacted_upto(spark: SparkSession, table: str) -> int:
+    """The last batch that the current snapshot holds, -1 without one."""
+    try:
+        named = spark.read.schema("upto int").parquet(f"{table}-current")
+    except AnalysisException:  # never compacted
+        return -1
+    last = named.agg(F.max("upto").alias("n")).first().n
+    return -1 if last is None else last
+
+
+def _snapshot_and_later(spark: SparkSession, table: str, upto: int | None = None) -> DataFrame:
+    """The rows of the current snapshot and of the batches after it; no batch that it holds is read."""
+    done = compacted_upto(spark, table)
+    batches = spark.read.parquet(table).where(F.col("batch") > done)
+    later = (batches if upto is None else batches.where(F.col("batch") <= upto)).drop("batch")
+    return later if done < 0 else later.unionByName(spark.read.schema(later.schema).parquet(f"{table}-snapshots/upto={done}"))
+
+
+def compact(spark: SparkSession, table: str, key: str, order: Column, upto: int) -> None:
+    """Merges the snapshot and the batches up to a complete one into a new snapshot, in ranges of the key.
+
+    The snapshot gets a folder of its own. A small file that names it is written last and makes it current, so one
+    that was cut short is never read and the next run replaces it. A batch that the current snapshot holds is not
+    compacted again, so no reader's files are replaced. Older snapshots and batches are left for readers that
+    began before; they may be removed once those have ended.
+    """
+    if upto <= compacted_upto(spark, table):
+        return
+    merged = newest(_snapshot_and_later(spark, table, upto), key, order)
+    merged.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{table}-snapshots/upto={upto}")
+    spark.createDataFrame([(upto,)], "upto int").coalesce(1).write.mode("append").parquet(f"{table}-current")
+
+
 def latest_rows(spark: SparkSession, table: str, key: str, order: Column) -> DataFrame:
-    """The newest row per key over all batches."""
-    return newest(spark.read.parquet(table).drop("batch"), key, order)
+    """The newest row per key: the current snapshot and the batches since."""
+    return newest(_snapshot_and_later(spark, table), key, order)

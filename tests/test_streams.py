@@ -100,3 +100,39 @@ def test_a_batch_costs_the_days_since_its_first_row(spark, tmp_path):
     assert table.run().count() == len(late) and [table._days()[d] for d in sorted(days)] == [0, 2, 2, 2]
     table.write(spark.createDataFrame([(95, at(2 * day - 20), 1)], SCHEMA), 2)
     assert sorted(r.event_id for r in table.read().collect()) == late
+
+
+def test_compaction_reads_the_snapshot_and_later_batches_only(spark, tmp_path):
+    rng = random.Random(8)
+    source, order = str(tmp_path / "in"), F.struct("ts", "event_id")
+    rows = [(i, at(rng.randrange(0, 900)), rng.choice((None, 1, 1, 1, 2, 3, 4, 5, 6))) for i in range(140)]
+    write_batches(spark, source, [rows[i:i + 20] for i in range(0, len(rows), 20)])
+    stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    plain = intake.upsert_latest(stream, "user_id", order, str(tmp_path / "plain"))
+    table = intake.upsert_latest(stream, "user_id", order, str(tmp_path / "work"), compact_every=3)
+    state = lambda path: {r.user_id: r.event_id for r in intake.latest_rows(spark, path, "user_id", order).collect()}
+    want = {}
+    for i, ts, user in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[user] = i
+    assert state(plain) == state(table) == want
+    assert intake.compacted_upto(spark, plain) == -1 and intake.compacted_upto(spark, table) == 5
+    scan = intake._snapshot_and_later(spark, table)
+    read = {r[0] for r in scan.select(F.input_file_name()).collect()}
+    assert read and all("snapshots/upto=5" in f or "batch=6" in f for f in read)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "(batch#" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]  # earlier batches are pruned, not filtered
+
+
+def test_a_compaction_cut_short_changes_nothing(spark, tmp_path):
+    source, order = str(tmp_path / "in"), F.struct("ts", "event_id")
+    write_batches(spark, source, [[(1, at(0), 1), (2, at(1), 2)], [(3, at(2), 1)], [(4, at(3), 3)]])
+    stream = intake.stream_of(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+    table = intake.upsert_latest(stream, "user_id", order, str(tmp_path / "work"))
+    state = lambda: {r.user_id: r.event_id for r in intake.latest_rows(spark, table, "user_id", order).collect()}
+    before = state()
+    spark.createDataFrame([(99, at(99), 1)], SCHEMA).write.parquet(f"{table}-snapshots/upto=1")  # written, never named
+    assert state() == before and intake.compacted_upto(spark, table) == -1
+    for upto in (1, 2, 0):  # an earlier one after a later one does nothing
+        intake.compact(spark, table, "user_id", order, upto)
+        assert state() == before
+    assert intake.compacted_upto(spark, table) == 2
