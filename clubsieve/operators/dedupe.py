@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, keys
 from ..session import settle
 from .matching import SEPARATOR, value_of
 from .merge import merge_groups
-from .ranking import rank_in_groups
+from .ranking import rank_in_groups, top_n
 
 
 def _same_fields(a: tuple, b: tuple) -> int:
@@ -122,49 +123,149 @@ class PairWalk:
         yield (self.url, keep, row["league_id"], _same_fields(tuple(other), tuple(fields)))
 
 
-#: From so many records a URL's keys without any partner but their own copies are paired apart.
+#: From so many records on a URL is paired over all tasks.
 BIG_URL = 50_000
+#: Rounds for the keys of large URLs that are in no clique; what is open then is walked.
+ROUNDS = 12
+#: A round that settles less than this share of the open records is the last one.
+LEAST_SETTLED = 1 / 16
 
+FIELDS = [f"f{i}" for i in range(len(fv.SIX_KEY_FIELDS))]
 
-def _alone(rows: DataFrame) -> DataFrame:
-    """(url, key) of the keys that agree with no other key of their URL.
 
-    Which fields two keys must share depends only on which ones each has filled, so keys meet by equality: each is
-    listed once for every filled pattern of its URL (64 at most) and every set of values it must share (15 at most).
+@lru_cache(maxsize=None)
+def weighed_sets(shared: int) -> tuple[tuple[int, int], ...]:
+    """Sets of shared fields with weights. Over the sets that two keys are equal on, the weights sum to 1 where the
+    keys agree and to 0 where not (inclusion and exclusion)."""
+    bits = [1 << i for i in range(len(FIELDS)) if shared >> i & 1]
+    least = max(len(bits) - len(FIELDS) + fv.DUPLICATE_REVIEW_FROM, 0)
+    if not least:
+        return ((0, 1),)
+    return tuple((sum(picked), (-1) ** (k - least) * comb(k - 1, least - 1))
+                 for k in range(least, len(bits) + 1) for picked in combinations(bits, k))
+
+
+MEET = ["url", "equal", "value", "mask", "other"]
+
+
+def _looks(rows: DataFrame) -> DataFrame:
+    """Each distinct key once for every filled pattern of its URL (64 at most) and every set of values (22 at most).
+
+    Which fields two keys must share depends only on which ones each has filled, so keys meet by equality: one of mask
+    a looks among those of mask b under (a, b), and is found by them under (b, a).
     """
-    fs = [f"f{i}" for i in range(len(fv.SIX_KEY_FIELDS))]
-    mask = sum((F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(fs)), F.lit(0))
-    keys = rows.select("url", "key", *fs).distinct().withColumn("mask", mask)
+    mask = sum((F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(FIELDS)), F.lit(0))
+    keys = rows.select("url", "key", *FIELDS).distinct().withColumn("mask", mask)
     patterns = keys.select("url", F.col("mask").alias("other")).distinct()
-    sets = F.array(*[F.array(*[F.lit(m) for m in must_agree(shared)]) for shared in range(1 << len(fs))])
-    listed = (keys.join(patterns, "url").withColumn("equal", F.explode(F.element_at(sets, F.col("mask").bitwiseAND(F.col("other")) + 1)))
-              .select("url", "key", "mask", F.least("mask", "other").alias("low"), F.greatest("mask", "other").alias("high"), "equal", value_of(fs, F.col("equal")).alias("value")))
-    meet = ["url", "low", "high", "equal", "value"]
-    met = listed.groupBy(*meet).agg(F.count("*").alias("n"), F.min("mask").alias("a"), F.max("mask").alias("b")).filter(
-        ((F.col("low") == F.col("high")) & (F.col("n") > 1)) | (F.col("a") != F.col("b")))
-    return keys.select("url", "key").join(listed.join(met, meet, "left_semi").select("url", "key").distinct(), ["url", "key"], "left_anti")
+    sets = F.array(*[F.array(*[F.struct(F.lit(s).alias("equal"), F.lit(w).alias("weight")) for s, w in weighed_sets(shared)])
+                     for shared in range(1 << len(FIELDS))])
+    return (keys.join(patterns, "url").withColumn("set", F.explode(F.element_at(sets, F.col("mask").bitwiseAND(F.col("other")) + 1)))
+            .select("url", "key", "mask", "other", "set.equal", "set.weight", value_of(FIELDS, F.col("set.equal")).alias("value")))
+
 
+def _found(per_place: DataFrame) -> DataFrame:
+    """What is known of the keys of a place, under the names by which others look there."""
+    swapped = {"mask": "other", "other": "mask"}
+    return per_place.select(*[F.col(c).alias(swapped.get(c, c)) for c in per_place.columns])
 
-def _pairs_of_copies(rows: DataFrame) -> DataFrame:
-    """Neighbours in the order of each key's records, without gathering them: ranks come from ranges of all rows."""
-    ranked = rank_in_groups(rows.select("url", "key", "score", "league_id"), ["url", "key"], [F.desc("score"), "league_id"])
-    both = ranked.groupBy("url", "key", F.floor((F.col("rank") - 1) / 2).alias("pair")).agg(
-        F.count("*").alias("n"), F.min_by("league_id", "rank").alias("keep_id"), F.max_by("league_id", "rank").alias("archive_id"))
-    return both.filter("n = 2").select("url", "keep_id", "archive_id", F.lit(len(fv.SIX_KEY_FIELDS)).alias("matched"))
 
+def _cliques(looks: DataFrame) -> DataFrame:
+    """(url, key, clique) of the keys whose neighbours all have the same neighbours, a key alone included.
+
+    A key's number of neighbours and the sum of their hashes come from the counts and sums of the places where it
+    looks, without a pair being listed. Keys of equal sums have the same neighbours, themselves included; where there
+    are as many of them as neighbours, they are each other's. Sums are taken over 64-bit hashes.
+    """
+    named = looks.withColumn("hash", F.xxhash64("key").cast("decimal(20,0)"))
+    held = _found(named.groupBy(*MEET).agg(F.count("*").alias("n"), F.sum("hash").alias("hashes")))
+    around = named.join(held, MEET).groupBy("url", "key").agg(
+        F.sum(F.col("weight") * F.col("n")).alias("degree"), F.sum(F.col("weight") * F.col("hashes")).alias("clique"))
+    alike = around.groupBy("url", "clique", "degree").agg(F.count("*").alias("keys"))
+    return around.join(alike, ["url", "clique", "degree"]).filter("keys = degree").select("url", "key", "clique")
 
-def duplicate_pairs(df: DataFrame, url: str = "url_scraped", big: int = BIG_URL) -> DataFrame:
+
+def _agreeing(a: str, b: str) -> Column:
+    """Fields of two structs that agree; null agrees with everything."""
+    return sum((F.coalesce(F.col(f"{a}.{f}") == F.col(f"{b}.{f}"), F.lit(True)).cast("int") for f in FIELDS), F.lit(0))
+
+
+def _neighbours_in_order(ranked: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """First and second, third and fourth record of each group and so on, without gathering it; ranks start at 1."""
+    record = F.struct("league_id", *FIELDS)
+    both = ranked.groupBy(*keys, F.floor((rank - 1) / 2).alias("pair")).agg(
+        F.count("*").alias("n"), F.min_by(record, rank).alias("a"), F.max_by(record, rank).alias("b"))
+    return both.filter("n = 2").select("url", F.col("a.league_id").alias("keep_id"), F.col("b.league_id").alias("archive_id"), _agreeing("a", "b").alias("matched"))
+
+
+def _in_rounds(records: DataFrame, looks: DataFrame, rounds: int, few: int) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs that are final, and the records that `rounds` rounds leave open, or fewer rounds once `few` are open.
+
+    A pair is final when each is the other's first open partner; the same pairs come out as in a walk. All copies of
+    a key agree with each other and with the same others, so only the first open record (head) of each key can meet
+    one of another key, and the copies before the first head of all neighbours pair among themselves at once. Keys
+    lose records from the front only: a round's state is one number per key. `records` has rank (within the URL) and
+    place (within the key), both from 1.
+    """
+    looks = looks.filter("weight = 1")
+    state = records.select("url", "key").distinct().withColumn("done", F.lit(0).cast("long"))
+    pairs = None
+    for _ in range(rounds):
+        still = records.join(state, ["url", "key"]).filter("place > done")
+        mine = looks.join(still.groupBy("url", "key").agg(F.min("rank").alias("head")), ["url", "key"])
+        # The first two heads of a place, as a key must not find itself.
+        firsts = _found(top_n(mine.select(*MEET, "head"), MEET, ["head"], 2).groupBy(*MEET).agg(F.min("head").alias("a"), F.max("head").alias("b")))
+        other = F.when(F.col("a") != F.col("head"), F.col("a")).when(F.col("b") != F.col("head"), F.col("b"))
+        near = mine.join(firsts, MEET).groupBy("url", "key").agg(F.min("head").alias("head"), F.min(other).alias("first"))
+        now = settle(still.join(near, ["url", "key"]).groupBy("url", "key", "done", "head", "first").agg(
+            F.count("*").alias("open"), F.count_if(F.col("first").isNull() | (F.col("rank") < F.col("first"))).alias("before"))
+            .withColumn("own", F.col("before") - F.col("before") % 2))
+        own = _neighbours_in_order(records.join(now.filter("own > 0").select("url", "key", "done", "own"), ["url", "key"])
+                                   .filter("place > done AND place <= done + own"), ["url", "key"], F.col("place") - F.col("done"))
+        waiting = now.filter("own = 0 AND first IS NOT NULL")
+        met = settle(waiting.select("url", "head", "first").join(
+            waiting.select("url", F.col("head").alias("first"), F.col("first").alias("head")), ["url", "head", "first"], "left_semi"))
+        record = lambda name, at: records.select("url", F.col("rank").alias(at), F.struct("league_id", *FIELDS).alias(name))
+        crossed = (met.filter("head < first").join(record("a", "head"), ["url", "head"]).join(record("b", "first"), ["url", "first"])
+                   .select("url", F.col("a.league_id").alias("keep_id"), F.col("b.league_id").alias("archive_id"), _agreeing("a", "b").alias("matched")))
+        final = settle(own.unionByName(crossed))
+        pairs = final if pairs is None else pairs.unionByName(final)
+        taken = F.when(F.col("own") > 0, F.col("own")).otherwise(F.coalesce(F.col("met"), F.lit(0)))
+        after = now.join(met.select("url", "head", F.lit(1).alias("met")), ["url", "head"], "left").withColumn("taken", taken)
+        after = settle(after.select("url", "key", (F.col("done") + F.col("taken")).alias("done"), "first", "open", "taken"))
+        # Keys without an open neighbour are through.
+        state = after.filter("first IS NOT NULL AND open > taken").select("url", "key", "done")
+        count = after.agg(F.sum("open").alias("open"), F.sum("taken").alias("taken")).first()
+        if not count["taken"] or count["open"] - count["taken"] < few or count["taken"] < count["open"] * LEAST_SETTLED:
+            break
+    return pairs, records.join(state, ["url", "key"]).filter("place > done")
+
+
+def _pairs_of_large(rows: DataFrame, rounds: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of whole large URLs, cliques by rank and the other keys in rounds, and the records that stay open."""
+    order = [F.desc("score"), "league_id"]
+    looks = settle(_looks(rows))
+    cliques = settle(_cliques(looks))
+    in_cliques = rank_in_groups(rows.join(cliques, ["url", "key"]).select("url", "clique", "score", "league_id", *FIELDS), ["url", "clique"], order)
+    pairs = _neighbours_in_order(in_cliques, ["url", "clique"], F.col("rank"))
+    others = rows.join(cliques, ["url", "key"], "left_anti")
+    ranked = rank_in_groups(rank_in_groups(others, ["url"], order), ["url", "key"], ["rank"], "place")
+    final, rest = _in_rounds(settle(ranked), looks.join(cliques, ["url", "key"], "left_anti"), rounds, few)
+    return pairs if final is None else pairs.unionByName(final), rest.select("url", "league_id", "score", *FIELDS)
+
+
+def duplicate_pairs(df: DataFrame, url: str = "url_scraped", big: int = BIG_URL, rounds: int = ROUNDS) -> DataFrame:
     """Duplicate pairs within each URL: (url, keep_id, archive_id, matched_fields, confidence).
 
-    Walks each URL by quality, equal scores by id, a number or a text. Every record takes the first later one that
+    Takes each URL by quality, equal scores by id, a number or a text. Every record takes the first later one that
     agrees on at least four of six fields (null agrees), and each is in one pair at most. Five or six agreeing
     fields give AUTO, four REVIEW. Records without an id cannot be named and are left out.
 
-    The rule is sequential, so a URL's records stream through one task in order, which remembers one open record
-    per key. In a URL with `big` records or more the keys that only agree with their own copies are paired apart,
-    spread over all tasks; the result is the same.
+    The rule is sequential. The records of a small URL stream through one task in order, which remembers one open
+    record per key. In a URL with `big` records or more, keys that all agree with each other are paired by rank, and
+    the others in rounds of pairs that are each other's first; only what stays open after `rounds` rounds is walked.
+    The result is the same for any `big` and `rounds`.
     """
-    lowered = [F.lower(F.col(f).cast("string")).alias(f"f{i}") for i, f in enumerate(fv.SIX_KEY_FIELDS)]
+    lowered = [F.lower(F.col(f).cast("string")).alias(name) for name, f in zip(FIELDS, fv.SIX_KEY_FIELDS)]
     rows = df.filter("league_id is not null").select(F.col(url).alias("url"), "league_id", F.coalesce("quality_score", F.lit(0)).cast("int").alias("score"), *lowered)
     kind = rows.schema["league_id"].dataType.simpleString()
     schema = f"url string, keep_id {kind}, archive_id {kind}, matched int"
@@ -174,12 +275,11 @@ def duplicate_pairs(df: DataFrame, url: str = "url_scraped", big: int = BIG_URL)
         pairs = walked(rows)
     else:
         # A null and an empty value must stay apart.
-        key = F.concat_ws(SEPARATOR, *[F.coalesce(F.concat(F.lit("="), F.col(f"f{i}")), F.lit("")) for i in range(len(lowered))])
+        key = F.concat_ws(SEPARATOR, *[F.coalesce(F.concat(F.lit("="), F.col(f)), F.lit("")) for f in FIELDS])
         of_large = settle(rows.join(large, F.col("url") == F.col("big_url"), "left_semi").withColumn("key", key))
-        alone = settle(_alone(of_large))
-        rest = of_large.join(alone, ["url", "key"], "left_anti").drop("key")
         small = rows.join(large, F.col("url") == F.col("big_url"), "left_anti")
-        pairs = walked(small.unionByName(rest)).unionByName(_pairs_of_copies(of_large.join(alone, ["url", "key"], "left_semi")))
+        found, rest = _pairs_of_large(of_large, rounds, big // 50)
+        pairs = walked(small.unionByName(rest)).unionByName(found)
     # Settled, so that no caller walks twice.
     return settle(pairs).select("url", "keep_id", "archive_id", F.col("matched").alias("matched_fields"),
                         F.when(F.col("matched") >= fv.DUPLICATE_AUTO_FROM, "AUTO").otherwise("REVIEW").alias("confidence"))
@@ -291,8 +391,9 @@ def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_sc
     distinct = rows.groupBy("block", "fixed", "value").agg(
         F.min("seq").alias("seq"), F.min_by("league_id", "seq").alias("first_id"),
         *[F.first(c).alias(c) for c in (*named, "page", "parent")])
+    kind = rows.schema["league_id"].dataType.simpleString()
     answer = walk_sorted(distinct, ["block", "fixed"], ["seq", "value"], GroupWalk,
-                         "block string, fixed string, value string, group_id bigint, solo boolean")
+                         f"block string, fixed string, value string, group_id {kind}, solo boolean")
     members = rows.select("league_id", "block", "fixed", "value").join(answer, ["block", "fixed", "value"])
     alone = F.col("solo") & (F.col("league_id") != F.col("group_id"))
     return members.select("league_id", F.when(alone, F.col("league_id")).otherwise(F.col("group_id")).alias("group_id"))

@@ -40,13 +40,13 @@ def greedy(rows):
     return out
 
 
-@pytest.mark.parametrize("big", [dedupe.BIG_URL, 1, 60])
-def test_pairs_agree_with_greedy_walk(spark, big):
-    """In one task per URL, and with copies paired apart in all or some URLs."""
-    for seed in range(3):
+@pytest.mark.parametrize("big,rounds", [(dedupe.BIG_URL, 0), (1, 12), (60, 12), (1, 1), (1, 0)])
+def test_pairs_agree_with_greedy_walk(spark, big, rounds):
+    """In one task per URL, and in cliques and rounds in all or some URLs, however many rounds."""
+    for seed in range(2):
         rows = pair_rows(random.Random(seed), 150)
         rows += [(1000 + i, "u2", 20, f"Club {i % 9}", "777", 1999, "Yard", "Noday", "Z") for i in range(40)]
-        got = dedupe.duplicate_pairs(spark.createDataFrame(rows, PAIR_SCHEMA), big=big).collect()
+        got = dedupe.duplicate_pairs(spark.createDataFrame(rows, PAIR_SCHEMA), big=big, rounds=rounds).collect()
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == greedy(rows)
 
 
@@ -81,6 +81,33 @@ def test_copies_are_spread_over_tasks(spark):
         dedupe.walk_sorted = plain
 
 
+def test_a_hot_url_of_many_keys_is_settled_in_rounds(spark):
+    """Chains and cliques of keys beside copies in one URL: as in the walk, of which a twentieth at most is left."""
+    pick = lambda n, salt: F.pmod(F.xxhash64("league_id", F.lit(salt)), F.lit(n)).cast("string")
+    df = spark.range(6000).select(F.col("id").alias("league_id"), F.lit("hot").alias("url_scraped"), pick(50, 1).cast("int").alias("quality_score")).withColumns({
+        "organization_name": pick(20, 2), "sport_season_code": pick(20, 3), "season_year": pick(5, 4).cast("int"), "venue_name": F.when(pick(99, 8) != "0", pick(20, 5)),
+        "day_of_week": pick(7, 6), "source_comp_level": pick(20, 7)})
+    seen = []
+    plain = dedupe.walk_sorted
+    want = dedupe.duplicate_pairs(df)
+    dedupe.walk_sorted = lambda some, *rest: seen.append(some.count()) or plain(some, *rest)
+    try:
+        got = dedupe.duplicate_pairs(df, big=5000)
+    finally:
+        dedupe.walk_sorted = plain
+    assert want.exceptAll(got).count() == 0 and got.count() == want.count() > 1000
+    assert sum(seen) <= 300
+
+
+def test_agreement_is_a_sum_of_weights():
+    """Over all equal sets of two keys the weights sum to 1 where they agree on four fields, else to 0."""
+    for shared in range(64):
+        for equal in range(64):
+            if equal & shared == equal:
+                total = sum(w for s, w in dedupe.weighed_sets(shared) if s & equal == s)
+                assert total == (6 - shared.bit_count() + equal.bit_count() >= 4)
+
+
 def test_hot_url_of_copies_is_paired_without_gathering_it(spark):
     n = 50001
     row = F.struct(F.lit("hot").alias("url_scraped"), F.lit(10).alias("quality_score"), F.lit("Org").alias("organization_name"), F.lit("201").alias("sport_season_code"),
@@ -132,6 +159,13 @@ def test_groups_agree_with_record_walk(spark):
         assert {r.league_id: r.group_id for r in dedupe.assign_groups(df, parent_map=pm).collect()} == walk_groups(rows, parents)
 
 
+def test_groups_of_text_ids(spark):
+    rows = records(random.Random(9), 60, 0)
+    named = lambda i: f"k{i:04}"
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("league_id", F.format_string("k%04d", "league_id"))
+    assert {r.league_id: r.group_id for r in dedupe.assign_groups(df).collect()} == {named(a): named(b) for a, b in walk_groups(rows).items()}
+
+
 def test_deduplicate_keeps_every_record_once(spark):
     rows = records(random.Random(5), 200, 0)
     out = dedupe.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
