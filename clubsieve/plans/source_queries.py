@@ -171,9 +171,9 @@ def query_vector(df):
 
 
 @query("e1_similar_vectors", """
-SELECT vec_id, label, round(similarity, 4) AS similarity FROM (
-  SELECT vec_id, label, list_cosine_similarity(embedding::double[], (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)::double[]) AS similarity FROM embeddings)
-WHERE similarity > 0.1 ORDER BY similarity DESC, vec_id LIMIT 20""")
+SELECT vec_id, label, round(cosine, 4) AS similarity FROM (
+  SELECT vec_id, label, list_cosine_similarity(embedding::double[], (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)::double[]) AS cosine FROM embeddings)
+WHERE cosine > 0.1 ORDER BY cosine DESC, vec_id LIMIT 20""")
 def _(t):
     df = t.table("embeddings")
     return vectors.similar(df, query_vector(df), 20, 0.1).withColumn("similarity", F.round("similarity", 4))

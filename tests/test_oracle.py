@@ -52,3 +52,13 @@ def test_query(spark, duck, data, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_similar_vectors_are_in_the_order_of_whole_cosines(spark, duck, tmp_path):
+    """More than 20 vectors that agree in four digits: the SQL must not order or cut them by the rounded cosine."""
+    rows = [(i, [1.0, 0.0 if i == 0 else 0.5 - i * 1e-7], i) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = [tuple(r) for r in QUERIES["e1_similar_vectors"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert found == con.execute(ORACLE["e1_similar_vectors"]).fetchall() and found[1][0] == 29
