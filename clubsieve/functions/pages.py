@@ -59,18 +59,18 @@ def page_type(url: Column, text: Column) -> Column:
     """
     u = F.lower(url)
     by_url = [(u.contains(p), name, p) for name, ps in fv.PAGE_PATH_PATTERNS.items() for p in ps]
-    counts = {name: hits(text, words) for name, words in fv.PAGE_TEXT_WORDS.items()}
-    best = F.greatest(*counts.values())
+    # A greatest entry of a list holds each count once; a comparison of all counts would count each word several times.
+    best = F.array_max(F.array(*[F.struct(hits(text, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
+                                 for i, (name, words) in enumerate(fv.PAGE_TEXT_WORDS.items())]))
 
     def answer(name, confidence, reason):
-        return F.struct(F.lit(name).alias("page_type"), F.lit(confidence).alias("confidence"),
+        return F.struct(name.alias("page_type"), F.lit(confidence).alias("confidence"),
                         reason.alias("reason"))
 
-    cases = [F.when(c, answer(n, 0.85, F.lit(f"URL matches {n} pattern: {p}"))) for c, n, p in by_url]
-    cases += [F.when((best >= 3) & (k == best),
-                     answer(n, 0.70, F.concat(k.cast("string"), F.lit(f" {n} keywords"))))
-              for n, k in counts.items()]
-    return F.coalesce(*cases, answer("other", 0.3, F.lit("No specific page type detected")))
+    cases = [F.when(c, answer(F.lit(n), 0.85, F.lit(f"URL matches {n} pattern: {p}"))) for c, n, p in by_url]
+    by_words = F.transform(F.array(best), lambda b: F.when(b["n"] >= 3, answer(
+        b["name"], 0.70, F.concat(b["n"].cast("string"), F.lit(" "), b["name"], F.lit(" keywords")))))[0]
+    return F.coalesce(*cases, by_words, answer(F.lit("other"), 0.3, F.lit("No specific page type detected")))
 
 
 def category_text(html: Column) -> Column:

@@ -1,6 +1,8 @@
 """Mining of links, elements, tables and text lines from page HTML."""
 from __future__ import annotations
 
+from itertools import accumulate, chain
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -49,9 +51,32 @@ def navigation_links(links: DataFrame, min_score: int | None = 100) -> DataFrame
     return out if min_score is None else out.filter(F.col("score") >= min_score)
 
 
-ELEMENTS = pa.list_(pa.struct([("order", pa.int32()), ("tag", pa.string()), ("keyword", pa.string()), *[(c, pa.int32()) for c in ("start", "size", "source", "source_size")]]))
+ELEMENT = pa.struct([("order", pa.int32()), ("tag", pa.string()), ("keyword", pa.string()), *[(c, pa.int32()) for c in ("start", "size", "source", "source_size")]])
 TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
                              ("row_count", pa.int32()), ("text", pa.string())]))
+#: Characters of HTML whose findings a task holds at a time; a longer page is held alone.
+HELD_CHARS = 1 << 20
+
+
+def lists_of(kind: pa.StructType, lists: list[list[tuple]]) -> pa.Array:
+    """Lists of tuples as one Arrow array of lists of structs."""
+    ends = pa.array([0, *accumulate(map(len, lists))], pa.int32())
+    columns = list(zip(*chain.from_iterable(lists))) or [[]] * kind.num_fields
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind)))
+
+
+def held_pages(batch: pa.RecordBatch):
+    """A batch in stretches of rows with so many characters of HTML, each with its HTML as texts."""
+    start, held, size = 0, [], 0
+    for at in range(0, batch.num_rows, 64):
+        for html in batch.column("html").slice(at, 64).to_pylist():
+            if held and size + len(html or "") > HELD_CHARS:
+                yield batch.slice(start, len(held)), held
+                start, held, size = start + len(held), [], 0
+            held.append(html)
+            size += len(html or "")
+    if held:
+        yield batch.slice(start, len(held)), held
 
 
 def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, snippet: int = 500) -> DataFrame:
@@ -70,12 +95,18 @@ def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, sn
 
     def parse(batches):
         for batch in batches:
-            parsed = [html_tree.page(h) for h in batch.column("html").to_pylist()]
-            found = [html_tree.worded_elements(p, fv.ELEMENT_TAG_WEIGHTS, fv.ELEMENT_WORD_WEIGHTS, longest=snippet) if elements else [] for p in parsed]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id").cast(pa.int64()), batch.column("url"), batch.column("html"), pa.array([p.text for p in parsed], pa.string()),
-                 pa.array(found, ELEMENTS), pa.array([tables_of(p.root) if tables else [] for p in parsed], TABLES), pa.array([p.error for p in parsed], pa.string())],
-                names=["page_id", "url", "html", "page_text", "elements", "tables", "error"])
+            for part, htmls in held_pages(batch):
+                texts, found, listed, errors = [], [], [], []
+                for html in htmls:  # one page at a time, so that one tree is held at a time
+                    p = html_tree.page(html)
+                    texts.append(p.text)
+                    found.append(html_tree.worded_elements(p, fv.ELEMENT_TAG_WEIGHTS, fv.ELEMENT_WORD_WEIGHTS, longest=snippet) if elements else [])
+                    listed.append(tables_of(p.root) if tables else [])
+                    errors.append(p.error)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id").cast(pa.int64()), part.column("url"), part.column("html"), pa.array(texts, pa.string()),
+                     lists_of(ELEMENT, found), pa.array(listed, TABLES), pa.array(errors, pa.string())],
+                    names=["page_id", "url", "html", "page_text", "elements", "tables", "error"])
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
@@ -96,7 +127,7 @@ def best_elements(elements: Column, longest: int | None = None) -> Column:
     scored = F.transform(elements, lambda e: F.struct(
         (-(one_of(e["keyword"], fv.ELEMENT_WORD_WEIGHTS) * one_of(e["tag"], fv.ELEMENT_TAG_WEIGHTS))).alias("minus_score"), e["order"].alias("element_order"),
         *[e[c].alias(c) for c in ("tag", "keyword", "start", "size", "source", "source_size")]))
-    best = F.array_sort(scored)
+    best = F.sort_array(scored)
     return best if longest is None else F.slice(best, 1, longest)
 
 
@@ -179,44 +210,49 @@ def context_bundle(pages: DataFrame, shown_tables: int = 3, shown_rows: int = 5)
     The two limits are for display; the hints come from all tables and whole texts.
     """
     hint = lambda source, n, c: F.struct(F.lit(source).alias("source"), n.alias("count"), F.lit(c).alias("confidence"))
-    types = pages.select("page_id", "url", page_rules.page_type_text(F.col("html")).alias("page_text"))
-    parsed = parse_pages(pages).withColumns({"data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
+    parsed = parse_pages(pages).withColumns({"type_text": page_rules.page_type_text(F.col("html")), "data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
     numbered = F.transform("data", lambda t, i: F.struct(i.alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"), page_rules.header_groups(t["headers"]).alias("groups")))
     priced = F.filter("best", lambda e: e["keyword"].isin(*fv.PRICE_WORDS))
     prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(element_text(e)), lambda v: F.struct(
         page_rules.price_kind(element_text(e)).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
+    kind = page_rules.page_type(F.col("url"), F.col("type_text"))
     hints = parsed.select(
-        "page_id", F.transform(F.slice("data", 1, shown_tables), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, shown_rows).alias("rows"))).alias("tables"),
+        "page_id", kind.alias("kind"), F.transform(F.slice("data", 1, shown_tables), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, shown_rows).alias("rows"))).alias("tables"),
         prices.alias("price_hints"),
         F.transform(F.filter("tables", counts_team_rows), lambda t: hint("standings_table", t["row_count"] - 1, 0.85)).alias("table_counts"),
+        F.transform(page_rules.team_counts(F.col("type_text")), lambda n: hint("text_mention", n, 0.7)).alias("text_counts"),
         F.transform(F.filter(numbered, is_listing_table), lambda t: F.struct(
             t["table_index"].alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"),
             list_confidence(t["groups"]).alias("confidence"))).alias("list_hints"))
-    kind = page_rules.page_type(F.col("url"), F.col("page_text"))
-    typed = types.select("page_id", kind.alias("kind"), F.transform(
-        page_rules.team_counts(F.col("page_text")), lambda n: hint("text_mention", n, 0.7)).alias("text_counts"))
-    return typed.join(hints, "page_id").select(
+    return hints.select(
         "page_id", F.col("kind.page_type").alias("page_type"), F.col("kind.confidence").alias("page_confidence"), "tables", "price_hints",
         F.concat("table_counts", "text_counts").alias("count_hints"), "list_hints")
 
 
-def link_contexts(pages: DataFrame) -> DataFrame:
-    """Where each anchor stands: footer, nav, header or body, by its nearest five ancestors."""
-    schema = "page_id bigint, position int, href string, anchor_text string, context string"
+ANCHORS = pa.schema([("page_id", pa.int64()), ("source_url", pa.string()), ("position", pa.int32()), *[(c, pa.string()) for c in ("href", "anchor_text", "context")]])
 
+
+def link_contexts(pages: DataFrame, source: Column | None = None) -> DataFrame:
+    """Where each anchor stands: footer, nav, header or body, by its nearest five ancestors.
+
+    With a column for the page's URL, it stands beside each anchor as `source_url`.
+    """
     def parse(batches):
-        for pdf in batches:
-            rows = [(pid, i, *a) for pid, html in zip(pdf["page_id"], pdf["html"])
-                    for i, a in enumerate(html_tree.anchors(html))]
-            yield pd.DataFrame(rows, columns=["page_id", "position", "href", "anchor_text", "context"])
+        for batch in batches:
+            for part, htmls in held_pages(batch):
+                rows = [(pid, at, i, *a) for pid, at, html in zip(part.column("page_id").to_pylist(), part.column("source_url").to_pylist(), htmls)
+                        for i, a in enumerate(html_tree.anchors(html))]
+                columns = list(zip(*rows)) or [[]] * len(ANCHORS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ANCHORS)], schema=ANCHORS)
 
-    return pages.select("page_id", "html").mapInPandas(parse, schema)
+    kept = pages.select("page_id", (F.lit(None) if source is None else source).cast("string").alias("source_url"), "html")
+    found = kept.mapInArrow(parse, "page_id bigint, source_url string, position int, href string, anchor_text string, context string")
+    return found.drop("source_url") if source is None else found
 
 
 def discovered_links(pages: DataFrame, min_score: int = 1, per_page: int = 20) -> DataFrame:
     """Anchors worth recording: allowed targets with a score, once per target, best first."""
-    base = pages.select("page_id", F.col("url").alias("source_url"))
-    found = link_contexts(pages).filter(F.trim("href") != "").join(base, "page_id")
+    found = link_contexts(pages, F.col("url")).filter(F.trim("href") != "")
     target = resolve(F.col("source_url"), F.trim("href"))
     kept = found.withColumn("discovered_url", target).filter(
         link_rules.may_visit(F.col("discovered_url"), F.col("source_url")))

@@ -1,6 +1,8 @@
 """Page parsing: nesting, tables, contexts, trees and hints on small pages."""
 import json
+import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clubsieve.functions import html_tree
@@ -182,3 +184,32 @@ def test_bad_trees(spark):
     assert found == [(i, "https://a.com/r") for i in (3, 4, 4, 7)]
     assert mining.tree_nodes(df).where("page_id = 3").count() == 1501
     assert sorted(r.page_id for r in mining.tree_errors(df).collect()) == [1, 2]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    pieces = ["<p>", "</p>", "<div class='nav x'>", "</div>", "<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<br>", "<li>", "Team fee ", "\n cost $5 ",
+              "<a href='/q'>", "</a>", "<a href=\"u\"\n href='v' >", "<!-- c -->", "<!DOCTYPE html>", "<script>var a</script>", "<title>t</title>", "<title>", " > "]
+    odd = ["<", "&amp;", "<br/>", "</p >", "<P>", "<a href=x>", "<!-->", "<input disabled>", "</td a='b'>"]
+    shown = lambda b: (b.error, b.found.stripped, [(n.tag, n.tag and n.attrs, n.start, n.end, n.text_start, n.text_end, n.raw_text) for n in html_tree.Node(b.found, 0).walk()])
+    rnd, quick = random.Random(3), 0
+    for i in range(4000):
+        html = "".join(rnd.choice(pieces if i % 2 or rnd.random() < 0.9 else odd) for _ in range(rnd.randrange(1, 30)))
+        quick += html_tree._plain(html) is not None
+        assert shown(html_tree._Builder(html)) == shown(html_tree._Builder(html, quick=False)), html
+    assert quick > 1000
+
+
+def test_a_task_holds_few_pages_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(mining, "HELD_CHARS", 100)
+    htmls = ["<p>Team fee $1</p>", None, "<p>" + "x" * 300 + "</p>", "", "<p>cost</p>"] * 30
+    batch = pa.RecordBatch.from_pydict({"html": htmls})
+    parts = list(mining.held_pages(batch))
+    assert [h for part, held in parts for h in held] == htmls == [h for part, held in parts for h in part.column("html").to_pylist()]
+    assert all(len(held) == 1 or sum(len(h or "") for h in held) <= 100 for _, held in parts)
+
+
+def test_a_bundle_reads_each_page_once(spark):
+    plan = mining.context_bundle(pages_of(spark, PAGE))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    plan = mining.discovered_links(pages_of(spark, PAGE))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
