@@ -60,8 +60,8 @@ def link_type(url: Column, text: Column) -> Column:
 
 def link_category(text: Column, kind: Column) -> Column:
     """Category of the link type if it has one, else of the first matching keyword group."""
-    by_type = [F.when(kind.isin(*types), F.lit(name))
-               for name, types in fv.CATEGORY_OF_LINK_TYPE.items()]
+    # One lookup, so that a type that is worked out in the same expression stands there once.
+    by_type = F.create_map(*[F.lit(x) for name, types in fv.CATEGORY_OF_LINK_TYPE.items() for kind_name in types for x in (kind_name, name)])
     t = F.lower(text)
-    return F.coalesce(*by_type, first_label(t, fv.CATEGORY_OF_LINK_TEXT),
+    return F.coalesce(F.try_element_at(by_type, kind), first_label(t, fv.CATEGORY_OF_LINK_TEXT),
                       F.when(has_any(t, sport_words()), "DETAIL"))

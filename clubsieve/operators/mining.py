@@ -51,6 +51,17 @@ def navigation_links(links: DataFrame, min_score: int | None = 100) -> DataFrame
     return out if min_score is None else out.filter(F.col("score") >= min_score)
 
 
+def categorised_links(links: DataFrame) -> DataFrame:
+    """Links that have a field category, with type and category.
+
+    A filter on the category would be moved below and work out type and category a second time; a list of none or one
+    that is exploded is made once.
+    """
+    text = F.col("anchor_text")
+    typed = links.withColumn("page_type", link_rules.link_type(F.col("discovered_url"), text))
+    return typed.withColumn("field_category", F.explode(F.array_compact(F.array(link_rules.link_category(text, F.col("page_type"))))))
+
+
 ELEMENT = pa.struct([("order", pa.int32()), ("tag", pa.string()), ("keyword", pa.string()), *[(c, pa.int32()) for c in ("start", "size", "source", "source_size")]])
 TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
                              ("row_count", pa.int32()), ("text", pa.string())]))

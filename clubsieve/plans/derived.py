@@ -52,5 +52,10 @@ def scored_site_links(t) -> DataFrame:
     return mining.navigation_links(t.view("site_links"), None)
 
 
+def categorised_site_links(t) -> DataFrame:
+    """Links of the derived sites that have a category."""
+    return mining.categorised_links(t.view("site_links"))
+
+
 def screened_results(t) -> DataFrame:
     return search.screen_results(t.view("results"))

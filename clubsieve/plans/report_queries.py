@@ -363,7 +363,7 @@ def _(t):
 WITH {CATEGORY_SQL} SELECT site_id, field_category, discovered_url, anchor_text FROM cat WHERE field_category IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY site_id, field_category ORDER BY position, discovered_url, source_url) <= 3""", ("site_links",))
 def _(t):
-    df = t.scored_site_links.filter(F.col("field_category").isNotNull())
+    df = t.categorised_site_links
     return ranking.top_n(df, ["site_id", "field_category"], ["position", "discovered_url", "source_url"], 3).select(
         "site_id", "field_category", "discovered_url", "anchor_text")
 
@@ -373,7 +373,7 @@ WITH {CATEGORY_SQL} SELECT field_category, discovered_url, source_url,
   row_number() OVER (PARTITION BY field_category ORDER BY discovered_url, source_url) AS rank,
   greatest(0, count(*) OVER (PARTITION BY field_category) - 3) AS overflow FROM cat WHERE field_category IS NOT NULL QUALIFY rank <= 3""", ("site_links",))
 def _(t):
-    df = t.scored_site_links.filter(F.col("field_category").isNotNull())
+    df = t.categorised_site_links
     return ranking.top_with_overflow(df, "field_category", ["discovered_url", "source_url"], 3).select(
         "field_category", "discovered_url", "source_url", "rank", "overflow")
 

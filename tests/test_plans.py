@@ -79,3 +79,9 @@ def test_levels_do_not_move_the_edges(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert p.count("Exchange hashpartitioning") == 1, p
     assert found.count() == edges.join(frontier, "parent", "left_semi").count() > 0
+
+
+def test_categories_are_worked_out_once(plans):
+    """A filter on the category must not be moved below its making and repeat it there."""
+    for name in ("w5_top_per_category", "w6_top_with_overflow"):
+        assert [line for line in plans[name].splitlines() if "Filter" in line and "RLIKE" in line] == [], name
