@@ -132,5 +132,10 @@ def parent_map(reached: DataFrame) -> DataFrame:
 
 
 def without_home_links(links: DataFrame, home: DataFrame) -> DataFrame:
-    """Links of sub-pages less those that the start page of the site already has."""
-    return links.join(home.select("site_id", "discovered_url"), ["site_id", "discovered_url"], "left_anti")
+    """Links of sub-pages less those that the start page of the site already has.
+
+    The start pages' targets, a small part of all, are hashed once each. A sort of both sides would hold in each task as
+    many links as fit a partition, which is cut by compressed size, and URLs take many times that in memory.
+    """
+    known = home.select("site_id", "discovered_url").distinct().hint("shuffle_hash")
+    return links.join(known, ["site_id", "discovered_url"], "left_anti")

@@ -51,3 +51,15 @@ def test_extra_pages(spark):
     reached = run(spark, links, {})
     got = crawl.extra_pages(starts, rows, reached, lower_score=50).orderBy("rank").collect()
     assert [(r.field_category, r.url, r.score) for r in got] == [("VENUE", f"https://a.com/login/v{i}", 50) for i in range(3)]
+
+
+def test_links_without_home_links_are_not_sorted(spark):
+    links = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (1, "b")], "site_id bigint, discovered_url string")
+    home = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "site_id bigint, discovered_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = crawl.without_home_links(links, home)
+        assert "ShuffledHashJoin" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Sort" not in plan
+        assert sorted(map(tuple, out.collect())) == [(1, "b"), (1, "b"), (2, "a")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
