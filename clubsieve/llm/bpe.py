@@ -55,7 +55,7 @@ def chunk_hashes(texts: list[bytes]):
     ends = np.concatenate(none + [b[1:] + s for b, s in zip(bounds, begins)]).astype(np.int64)
     fit = (ends - starts <= LONGEST_CHUNK) & (ends - starts > 64)
     starts, ends = starts[fit], ends[fit]
-    return data, W.mix(W.rolling(data.astype(W.U64) + W.U64(1), starts, ends, BASE)).view(np.int64), starts, ends
+    return data, W.mix(W.rolling(data, starts, ends, BASE, 1)).view(np.int64), starts, ends
 
 
 def _slices(batch: pa.RecordBatch, at: int = 0):

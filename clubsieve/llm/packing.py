@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .token_files import new_folder
 from .tokens import default_path, encoder
+from .words import parts
 
 
 def pack(docs: DataFrame, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
@@ -31,7 +32,7 @@ def pack(docs: DataFrame, length: int = 4096, id_col: str = "doc_id", text_col:
     def first(batches):
         enc, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype=enc.dtype).tobytes()
-        for b in batches:
+        for b in parts(batches, 1):
             ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.dtype.itemsize
             starts = before + np.cumsum(sizes) - sizes
@@ -48,7 +49,7 @@ def pack(docs: DataFrame, length: int = 4096, id_col: str = "doc_id", text_col:
         base[r.part], at = at, at + r.n
 
     def second(batches):
-        for b in batches:
+        for b in parts(batches, 4):
             out: list[list] = [[] for _ in range(7)]
             for i, part, before, n, ids in zip(*[c.to_pylist() for c in b.columns]):
                 tokens, begin, done = np.frombuffer(ids, dtype=dtype).astype("<u4"), base[part] + before, 0

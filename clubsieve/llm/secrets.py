@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
+from . import words as W
 
 # The base patterns and the least length of what they must hold.
 KINDS = ("assign", "access", "hex", "format")
@@ -217,7 +218,7 @@ def labelled_tokens(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
                         limit[kind] = max(kept.values())
 
         limit = dict.fromkeys(least, 1 << 64)
-        for b in batches:
+        for b in W.parts(batches, 0):
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
@@ -276,6 +277,20 @@ def redact(text: str, spans, mark: str = "[secret]") -> str:
     return "".join([*out, text[at:]])
 
 
+def scanned(batches, names: list[str], at: int, models: dict[str, Automaton], margin: float = MARGIN):
+    """Arrow batches with the columns that scan() adds; texts in column `at`. Few texts are held at a time."""
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    listed = lambda spans: [{"kind": k, "start": a, "end": z} for a, z, k in spans]
+    for b in W.parts(batches, at):
+        base, spans, clean = [], [], []
+        for text in b.column(at).to_pylist():
+            found, every = all_spans(text or "", models, margin)
+            base.append(listed(found))
+            spans.append(listed(every))
+            clean.append(redact(text, every) if text is not None else None)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, span), pa.array(spans, span), pa.array(clean, pa.string())], names=[*names, "base", "spans", "redacted"])
+
+
 def scan(docs: DataFrame, text_col: str = "text", margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
     """All columns of docs, and base and spans (array of kind, start, end in code points) and redacted (the text without them).
 
@@ -291,19 +306,9 @@ def scan(docs: DataFrame, text_col: str = "text", margin: float = MARGIN, sample
     at = names.index(text_col)
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
     schema = docs.select(*names).schema.add("base", _parsed(kind)).add("spans", _parsed(kind)).add("redacted", "string")
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    listed = lambda spans: [{"kind": k, "start": a, "end": z} for a, z, k in spans]
 
     def run(batches):
-        m = models.value
-        for b in batches:
-            base, spans, clean = [], [], []
-            for text in b.column(at).to_pylist():
-                found, every = all_spans(text or "", m, margin)
-                base.append(listed(found))
-                spans.append(listed(every))
-                clean.append(redact(text, every) if text is not None else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, span), pa.array(spans, span), pa.array(clean, pa.string())], names=[*names, "base", "spans", "redacted"])
+        yield from scanned(batches, names, at, models.value, margin)
 
     return docs.select(*names).mapInArrow(run, schema)
 

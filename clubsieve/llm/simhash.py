@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..session import settle
 from .components import components
-from .words import text_bytes
+from .words import parts, text_bytes
 
 BITS = 64
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, fp (64-bit, signed as Spark holds it) for every row. A null text has no words."""
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches, 1):
             fps = [_signed(fingerprint(t, width)) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 

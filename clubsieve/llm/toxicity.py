@@ -8,7 +8,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import linear
+from . import linear, words as W
 
 # Seeds of the weak categories.
 INSULT = ("idiot", "moron", "clown", "loser", "scum", "trash")
@@ -47,7 +47,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in W.parts(batches, at):
             p = linear.predict_batch(m, b, at) if m else None
             columns = [pa.array(p[:, k], pa.float64()) if m else pa.nulls(b.num_rows, pa.float64()) for k in range(len(added))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*names, *added])
