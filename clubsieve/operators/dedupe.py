@@ -383,6 +383,8 @@ def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_sc
     else:
         known = parent_map.groupBy(F.col("child_url").alias("page")).agg(F.min("parent_url").alias("parent"))
         rows = rows.join(known, "page", "left")
+    # Three branches read the rows; settled, their keys are normalised once and not in each of them.
+    rows = settle(rows)
     always = rows.groupBy("block").agg(*[F.bool_and(F.col(n).isNotNull()).alias(f"all_{n}") for n in named])
     text = lambda n: F.coalesce(F.concat(F.lit("="), F.col(n)), F.lit(""))
     value = F.concat_ws("\u0001", *[text(n) for n in named], F.col("page"))

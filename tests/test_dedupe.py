@@ -184,3 +184,9 @@ def test_merge_prefers_the_fullest_record(spark):
 
 def test_fields_used_exist():
     assert set(fv.KEY_FIELDS) - {"season_year"} <= set(NAMES)
+
+
+def test_group_keys_are_normalised_once(spark, data):
+    from clubsieve.plans.registry import Inputs
+    plan = dedupe.assign_groups(Inputs(spark, data).listings_x)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "orders" not in plan
