@@ -1,10 +1,10 @@
 """The nine-field identity of a listing, and labels made from it."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed_values as fv
-from .text import norm_text, strip, title_case
+from .text import norm_text, norm_texts, strip, title_case
 
 INTEGER_KEYS = ("season_year", "num_weeks", "players_per_side")
 
@@ -38,6 +38,22 @@ def known(c: Column) -> Column:
     return F.when(~strip(s).isin("", "none"), s)
 
 
+def known_keys(df: DataFrame, names: dict[str, str], *keep) -> DataFrame:
+    """`keep` and the key fields as text under new names (field to name), null for the wildcards.
+
+    Texts are normalised in an array: written out per field, the patterns make one generated method that is too long for
+    the JVM to compile, and run interpreted. A normalised text has no white space at its ends, and a number is no
+    wildcard, so neither is stripped once more.
+    """
+    columns = key_columns(fields=tuple(f for f in names if f in INTEGER_KEYS))
+    texts = [f for f in names if f not in columns]
+    out = df.select(*keep, *[c.cast("string").alias(names[f]) for f, c in columns.items()], F.transform(
+        norm_texts(F.array(*[F.col(f).cast("string") for f in texts]).cast("array<string>")),
+        lambda s: F.when(~s.isin("", "none"), s)).alias("_texts"))
+    return out.select(*[c for c in out.columns if c not in (*names.values(), "_texts")],
+                      *[F.col("_texts")[texts.index(f)].alias(n) if f in texts else F.col(n) for f, n in names.items()])
+
+
 def display_name(side="players_per_side", sport="sport_name",
                  others=("day_of_week", "source_comp_level", "gender_eligibility"),
                  org="organization_name") -> Column:

@@ -16,6 +16,12 @@ def norm_text(c: Column) -> Column:
     return F.regexp_replace(strip(F.lower(F.coalesce(c.cast("string"), F.lit("")))), " {2,}", " ")
 
 
+def norm_texts(c: Column) -> Column:
+    """norm_text() of each element of an array; the patterns only run on texts that they change."""
+    lowered = F.transform(c, lambda s: F.lower(F.coalesce(s.cast("string"), F.lit(""))))
+    return F.transform(lowered, lambda s: F.when(s.rlike(r"^\s|\s$| {2}"), norm_text(s)).otherwise(s))
+
+
 def filled(c: Column) -> Column:
     """Null and the empty string count as missing."""
     return c.isNotNull() & (c.cast("string") != "")

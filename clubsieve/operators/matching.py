@@ -13,12 +13,11 @@ SEPARATOR = "\u0001"
 
 def keyed(df: DataFrame, block: str, fields=fv.KEY_FIELDS, keep=("league_id",)) -> DataFrame:
     """The key fields as text (null = wildcard) and a bit mask of the filled ones."""
-    named = {f"k_{f}": keys.known(c) for f, c in keys.key_columns(fields=fields).items()}
-    out = df.select(*keep, F.col(block).alias("block"), *[c.alias(n) for n, c in named.items()])
+    named = {f: f"k_{f}" for f in fields}
     mask = F.lit(0)
-    for i, n in enumerate(named):
+    for i, n in enumerate(named.values()):
         mask = mask + F.when(F.col(n).isNotNull(), 1 << i).otherwise(0)
-    return out.withColumn("mask", mask)
+    return keys.known_keys(df, named, *keep, F.col(block).alias("block")).withColumn("mask", mask)
 
 
 def value_of(names: list[str], shared: Column) -> Column:
@@ -27,20 +26,22 @@ def value_of(names: list[str], shared: Column) -> Column:
     return F.concat_ws(SEPARATOR, *parts)
 
 
-def best_matches(incoming: DataFrame, stored: DataFrame, block: str = "base_domain",
-                 fields=fv.KEY_FIELDS, min_overlap: int = 3) -> DataFrame:
-    """For each incoming record the stored one with the most equal key fields.
+#: Blocks of at most so many stored and incoming records are compared record by record, within one task each.
+SMALL_STORED, SMALL_INCOMING = 64, 10_000
 
-    Two keys match when no field filled on both sides differs and at least `min_overlap` are
-    filled on both; the least id wins a tie. Wildcards are not transitive, so this is no
-    groupBy; and it must not list pairs, since a block may hold a third of the table. Instead:
-    which fields two records share depends only on their masks (512 at most). The stored side
-    is folded to one row per (block, mask, shared fields, their values), each incoming record
-    looks up one such row per stored mask of its block. Work is linear in the rows, and a hot
-    block only means more rows with different join keys.
-    """
-    inc, old = keyed(incoming, block, fields), keyed(stored, block, fields)
-    names = [f"k_{f}" for f in fields]
+
+def _in_small_blocks(inc: DataFrame, old: DataFrame, names: list[str], min_overlap: int) -> DataFrame:
+    """Matching pairs of records: each incoming one meets the few stored ones of its block."""
+    other = old.select(*[F.col(c).alias(f"s_{c}") for c in old.columns])
+    overlap = F.bit_count(F.col("mask").bitwiseAND(F.col("s_mask")))
+    agree = (F.col("block") == F.col("s_block")) & (overlap >= min_overlap)
+    for n in names:
+        agree = agree & F.coalesce(F.col(n) == F.col(f"s_{n}"), F.lit(True))
+    return inc.join(other, agree).select("league_id", F.col("s_league_id").alias("match_id"), overlap.cast("int").alias("overlap"))
+
+
+def _in_large_blocks(inc: DataFrame, old: DataFrame, names: list[str], min_overlap: int) -> DataFrame:
+    """The least match of each incoming record under each stored mask of its block, without listing pairs."""
     enough = lambda m: F.bit_count(m) >= min_overlap
     masks = lambda df, name: df.groupBy("block").agg(F.collect_set("mask").alias(name))
 
@@ -56,10 +57,40 @@ def best_matches(incoming: DataFrame, stored: DataFrame, block: str = "base_doma
               .withColumn("shared", F.col("mask").bitwiseAND(F.col("stored_mask")))
               .filter(enough(F.col("shared")))
               .select("league_id", "block", "stored_mask", "shared", value_of(names, F.col("shared")).alias("value")))
-    found = probes.join(index, ["block", "stored_mask", "shared", "value"])
-    best = F.min(F.struct((-F.bit_count("shared")).alias("minus_overlap"), "match_id"))
-    return found.groupBy("league_id").agg(best.alias("b")).select(
-        "league_id", F.col("b.match_id").alias("match_id"), (-F.col("b.minus_overlap")).cast("int").alias("overlap"))
+    return probes.join(index, ["block", "stored_mask", "shared", "value"]).select(
+        "league_id", "match_id", F.bit_count("shared").cast("int").alias("overlap"))
+
+
+def best_matches(incoming: DataFrame, stored: DataFrame, block: str = "base_domain",
+                 fields=fv.KEY_FIELDS, min_overlap: int = 3,
+                 small: tuple[int, int] = (SMALL_STORED, SMALL_INCOMING)) -> DataFrame:
+    """For each incoming record the stored one with the most equal key fields.
+
+    Two keys match when no field filled on both sides differs and at least `min_overlap` are
+    filled on both; the least id wins a tie. Wildcards are not transitive, so this is no
+    groupBy; and it must not list pairs, since a block may hold a third of the table. Instead:
+    which fields two records share depends only on their masks (512 at most). The stored side
+    is folded to one row per (block, mask, shared fields, their values), each incoming record
+    looks up one such row per stored mask of its block. Work is linear in the rows, and a hot
+    block only means more rows with different join keys.
+
+    A block with `small` stored and incoming records or fewer is compared directly, which moves each
+    record once and not once per mask. The result is the same for any `small`.
+    """
+    names = [f"k_{f}" for f in fields]
+    sized = lambda df, most: df.groupBy(F.col(block).alias("block")).count().filter(F.col("count") > most).select(F.col("block").alias("large"))
+    large = settle(sized(stored, small[0]).unionByName(sized(incoming, small[1])).distinct())
+    inc, old = keyed(incoming, block, fields), keyed(stored, block, fields)
+    if large.isEmpty():
+        found = _in_small_blocks(inc, old, names, min_overlap)
+    else:
+        part = lambda df, how: df.join(large, F.col("block") == F.col("large"), how)
+        found = _in_small_blocks(part(inc, "left_anti"), part(old, "left_anti"), names, min_overlap).unionByName(
+            _in_large_blocks(settle(part(inc, "left_semi")), settle(part(old, "left_semi")), names, min_overlap))
+    # One least id per overlap and not the least pair of both: numbers fold in a hash aggregate, a struct would be sorted.
+    least = [F.min(F.when(F.col("overlap") == n, F.col("match_id"))).alias(f"at_{n}") for n in range(len(names), -1, -1)]
+    return found.groupBy("league_id").agg(F.max("overlap").alias("overlap"), *least).select(
+        "league_id", F.coalesce(*[f"at_{n}" for n in range(len(names), -1, -1)]).alias("match_id"), "overlap")
 
 
 def division_label(day: str = "day_of_week", gender: str = "gender_eligibility",

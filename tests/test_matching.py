@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from clubsieve.functions import fixed_values as fv, similarity
+from clubsieve.functions import fixed_values as fv, keys, similarity
 from clubsieve.operators import matching
 
 SCHEMA = ("league_id bigint, base_domain string, url_scraped string, organization_name string, sport_name string, season_start_date date, season_end_date date, "
@@ -58,6 +58,35 @@ def test_best_matches_agree_with_all_pairs(spark):
         assert {r.league_id: (r.match_id, r.overlap) for r in got.collect()} == want
 
 
+def test_blocks_of_any_size_match_alike(spark):
+    """Compared directly or looked up by shared values, mixed within one run too; odd texts and text ids included."""
+    rng = random.Random(11)
+    inc, old = records(rng, 60, 1000), records(rng, 90, 0)
+    odd = [" Org\t", "ORG", "none ", "\u00a0org", "a  b", "a b\n", ""]
+    inc, old = ([(*r[:3], rng.choice(odd), *r[4:]) for r in side] for side in (inc, old))
+    kinds = SCHEMA, SCHEMA.replace("league_id bigint", "league_id string")
+    named = lambda rows, kind: spark.createDataFrame(rows if kind == SCHEMA else [(f"x{r[0]:05d}", *r[1:]) for r in rows], kind)
+    for kind in kinds:
+        got = [{tuple(r) for r in matching.best_matches(named(inc, kind), named(old, kind), min_overlap=2, small=small).collect()}
+               for small in ((0, 0), (20, 20), (64, 10000))]
+        assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_small_blocks_move_each_record_once(spark):
+    plan = matching.best_matches(*[spark.createDataFrame(records(random.Random(n), 10, n), SCHEMA) for n in (1, 100)])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan
+
+
+def test_key_texts_are_those_of_the_single_columns(spark):
+    odd = [None, "", " ", "None", "none\n", " NONE\t", "a \u0085", "\u0085", "none \u0085", "A   b", "a \n\t b ", "\u00a0x", "\u0130 \u03a3"]
+    df = spark.createDataFrame([(i, x, x, None, None, x, x, x, x, i, None) for i, x in enumerate(odd)], "league_id bigint, " + SCHEMA.split(", ", 3)[3])
+    got = keys.known_keys(df, {f: f"k_{f}" for f in fv.KEY_FIELDS}, "league_id")
+    want = df.select("league_id", *[keys.known(c) for c in keys.key_columns().values()])
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    # One long generated method for all patterns would run interpreted.
+    assert "transform(" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_hot_block_of_copies_stays_linear(spark):
     """20 000 copies on either side of one domain: pairs would be 400 million rows."""
     row = ("hot.com", "https://hot.com/", "Org", "Soccer", None, None, "Park", "Monday", None, "CoEd", 8, None)
