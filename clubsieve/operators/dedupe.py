@@ -66,6 +66,10 @@ def places_of(mask: int) -> tuple[int, ...]:
     return tuple(i for i in range(len(fv.SIX_KEY_FIELDS)) if mask >> i & 1)
 
 
+#: So many open records of a URL are tried one by one; of more, the ones that may agree are looked up.
+FEW_OPEN = 16
+
+
 class PairWalk:
     """Greedy pairing of one URL: each record takes the oldest open one that it agrees with, else stays open.
 
@@ -84,6 +88,8 @@ class PairWalk:
 
     def first(self, fields, mask):
         """The oldest open record that agrees on four fields or more; entries of an index are in order of age."""
+        if len(self.open) <= FEW_OPEN:
+            return next((serial for serial, (other, _, _) in self.open.items() if _same_fields(other, fields) >= fv.DUPLICATE_REVIEW_FROM), None)
         best = None
         for other in self.by_mask:
             for equal in must_agree(mask & other):
@@ -375,9 +381,9 @@ def assign_groups(df: DataFrame, block: str = "base_domain", page: str = "url_sc
     walk sees distinct keys only. A block is also cut by every field that all of its records
     have: records that differ there can never match.
     """
-    named = {f"f{i}": keys.known(c) for i, c in enumerate(keys.key_columns().values())}
-    rows = df.select("league_id", F.col(block).alias("block"), F.col(page).alias("page"),
-                     F.col(sequence).alias("seq"), *[c.alias(n) for n, c in named.items()])
+    named = [f"f{i}" for i in range(N_KEYS)]
+    rows = keys.known_keys(df, dict(zip(fv.KEY_FIELDS, named)), "league_id", F.col(block).alias("block"),
+                           F.col(page).alias("page"), F.col(sequence).alias("seq"))
     if parent_map is None:
         rows = rows.withColumn("parent", F.lit(None).cast("string"))
     else:

@@ -190,3 +190,19 @@ def test_group_keys_are_normalised_once(spark, data):
     from clubsieve.plans.registry import Inputs
     plan = dedupe.assign_groups(Inputs(spark, data).listings_x)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "orders" not in plan
+
+
+def test_few_open_records_are_tried_without_an_index():
+    """The walk of a small URL builds no index, and any number of open records gives the same pairs."""
+    rng = random.Random(5)
+    rows = [{"league_id": i, **{f"f{k}": rng.choice([None, "a", "b", "c", "d"]) for k in range(6)}} for i in range(300)]
+
+    def walked(few, some):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(dedupe, "FEW_OPEN", few)
+            walk = dedupe.PairWalk(("u",))
+            return [p for r in some for p in walk.step(r)], walk.index
+
+    assert walked(-1, rows)[0] == walked(16, rows)[0] == walked(1000, rows)[0]
+    pairs, index = walked(16, rows[:16])
+    assert pairs and not index
