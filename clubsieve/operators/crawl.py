@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv, links as link_rules, urls
-from ..session import settle, settle_by
+from ..session import settle, settle_as_laid, settle_by
 from .ranking import best_row, top_n
 from .reports import category_coverage
 
@@ -28,6 +28,11 @@ def laid_out(edges: DataFrame) -> DataFrame:
     return settle_by(edges.withColumn("slot", slot), "parent", "slot")
 
 
+def types_of(pages: DataFrame) -> DataFrame:
+    """The least type of each page in normal form, settled by URL: every level reads it, none moves it or normalises it."""
+    return settle_as_laid(pages.select(urls.normalize_url(F.col("url")).alias("url"), "page_type").groupBy("url").agg(F.min("page_type").alias("page_type")))
+
+
 def reach(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges that leave the frontier (start, parent): each of its rows looks into every slot."""
     every = frontier.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
@@ -72,7 +77,7 @@ def crawl(starts: DataFrame, links: DataFrame, pages: DataFrame, max_depth: int
     one join that moves its frontier only, and is settled in the shared folder, so the plan does not grow with the depth.
     """
     edges = laid_out(edges_of(links))
-    types = pages.select(urls.normalize_url(F.col("url")).alias("url"), "page_type").groupBy("url").agg(F.min("page_type").alias("page_type"))
+    types = types_of(pages)
     start = starts.select(urls.normalize_url(F.col("start_url")).alias("start")).distinct()
     first = settle(start.withColumns({"url": F.col("start"), "parent": F.lit(None).cast("string"), "depth": F.lit(0),
                                       "score": F.lit(None).cast("int"), "action": F.lit("collect"), "follow": F.lit(True)})

@@ -53,8 +53,8 @@ def settle(df):
     return df.checkpoint()
 
 
-def settle_by(df, *keys):
-    """The frame as a reliable checkpoint, partitioned by the keys: later joins on them do not move it.
+def settle_as_laid(df):
+    """The frame as a reliable checkpoint that keeps the partitioning of its last shuffle.
 
     A checkpoint keeps its partitioning only where its plan is not adaptive, so that is switched
     off while it is written.
@@ -63,6 +63,11 @@ def settle_by(df, *keys):
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return settle(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), *keys))
+        return settle(df)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def settle_by(df, *keys):
+    """The frame as a reliable checkpoint, partitioned by the keys: later joins on them do not move it."""
+    return settle_as_laid(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys))

@@ -63,3 +63,12 @@ def test_links_without_home_links_are_not_sorted(spark):
         assert sorted(map(tuple, out.collect())) == [(1, "b"), (1, "b"), (2, "a")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_page_types_are_settled_by_url_and_not_moved_again(spark):
+    pages = spark.createDataFrame([("https://www.a.com/x/", "SCHEDULE"), ("https://a.com/x", "OTHER"), ("https://a.com/", None)], "url string, page_type string")
+    types = crawl.types_of(pages)
+    assert {tuple(r) for r in types.collect()} == {("https://a.com/x", "OTHER"), ("https://a.com/", None)}
+    candidates = spark.range(100).selectExpr("concat('https://a.com/', id) AS url")
+    plan = candidates.join(types.hint("merge"), "url", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "regexp" not in plan
