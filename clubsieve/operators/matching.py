@@ -118,19 +118,19 @@ def match_divisions(extracted: DataFrame, listings: DataFrame, floor: float = 0.
     """The listing of the same URL whose day, gender and level read most like a division name.
 
     Both sides are folded to distinct texts per URL, pairs to distinct texts that can reach the floor. Without
-    a name the only listing of the URL is taken. Ties go to the least listing.
+    a name the only listing of the URL is taken, as the answer to an empty name, so that one join moves the
+    extracted records. Ties go to the least listing.
     """
     pairs = division_pairs(extracted, listings)
     ratios = similar.ratios(compared(pairs, floor), "division", "label").filter(F.col("ratio") >= floor)
     best = pairs.join(ratios, ["division", "label"]).groupBy("url", "division").agg(F.min_by(
         F.struct("league_id", "ratio"), F.struct((-F.col("ratio")).alias("r"), "league_id")).alias("b")).select(
-        "url", "division", F.col("b.league_id").alias("named_id"), F.round("b.ratio", 6).alias("ratio"))
-    single = listings.groupBy(F.col("url_scraped").alias("url")).agg(F.count("*").alias("n"), F.min("league_id").alias("single_id")).filter("n = 1")
-    unnamed = F.coalesce(F.col("division_name"), F.lit("")) == ""
-    return (extracted.withColumn("division", F.lower("division_name"))
-            .join(best, ["url", "division"], "left").join(single, "url", "left")
-            .withColumn("league_id", F.when(unnamed, F.col("single_id")).otherwise(F.col("named_id")))
-            .drop("division", "named_id", "single_id", "n"))
+        F.col("url").alias("_url"), F.col("division").alias("_division"), F.round("b.ratio", 6).alias("ratio"), "b.league_id")
+    single = listings.groupBy(F.col("url_scraped").alias("_url")).agg(F.count("*").alias("n"), F.min("league_id").alias("league_id")).filter("n = 1").select(
+        "_url", F.lit("").alias("_division"), F.lit(None).cast("double").alias("ratio"), "league_id")
+    asked = (F.col("url") == F.col("_url")) & (F.coalesce(F.lower("division_name"), F.lit("")) == F.col("_division"))
+    return extracted.join(best.unionByName(single), asked, "left").select(
+        "url", *[c for c in extracted.columns if c != "url"], "ratio", "league_id")
 
 
 def same_day_or_only(extracted: DataFrame, stored: DataFrame) -> DataFrame:

@@ -103,6 +103,16 @@ def test_no_all_pairs_join_in_plan(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_match_divisions_moves_the_named_records_once(spark):
+    listings = spark.createDataFrame([(1, "u", "Monday", "CoEd", "Rec"), (2, "v", "Friday", None, None), (3, "u", None, None, None)],
+                                     "league_id bigint, url_scraped string, day_of_week string, gender_eligibility string, source_comp_level string")
+    rows = [(1, "u", "monday coed rec"), (2, "v", None), (3, "v", ""), (4, "u", ""), (5, None, None), (6, "v", "FRIDAY"), (7, "w", "")]
+    out = matching.match_divisions(spark.createDataFrame(rows, "check_id int, url string, division_name string"), listings)
+    assert {r.check_id: (r.league_id, r.ratio) for r in out.collect()} == {
+        1: (1, 1.0), 2: (2, None), 3: (2, None), 4: (None, None), 5: (None, None), 6: (2, 1.0), 7: (None, None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+
+
 def test_match_divisions_agrees_with_brute_force(spark):
     rng = random.Random(3)
     listings = [(i, f"u{rng.randrange(4)}", rng.choice(["Monday", "Friday", None]), rng.choice(["CoEd", "Mens", None]), rng.choice(["Rec", "Competitive", None]))
