@@ -52,6 +52,11 @@ def page_type_text(html: Column) -> Column:
     return F.lower(strip_tags(html, ""))
 
 
+def page_type_text_of_untagged(untagged: Column) -> Column:
+    """page_type_text() where the tags have been taken out already, see mining.parse_pages."""
+    return F.lower(unescape(untagged))
+
+
 def page_type(url: Column, text: Column) -> Column:
     """struct(page_type, confidence, reason) by URL pattern, else by keywords in the text.
 
@@ -59,18 +64,19 @@ def page_type(url: Column, text: Column) -> Column:
     """
     u = F.lower(url)
     by_url = [(u.contains(p), name, p) for name, ps in fv.PAGE_PATH_PATTERNS.items() for p in ps]
-    # A greatest entry of a list holds each count once; a comparison of all counts would count each word several times.
-    best = F.array_max(F.array(*[F.struct(hits(text, words).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-                                 for i, (name, words) in enumerate(fv.PAGE_TEXT_WORDS.items())]))
 
     def answer(name, confidence, reason):
-        return F.struct(name.alias("page_type"), F.lit(confidence).alias("confidence"),
-                        reason.alias("reason"))
-
-    cases = [F.when(c, answer(F.lit(n), 0.85, F.lit(f"URL matches {n} pattern: {p}"))) for c, n, p in by_url]
-    by_words = F.transform(F.array(best), lambda b: F.when(b["n"] >= 3, answer(
-        b["name"], 0.70, F.concat(b["n"].cast("string"), F.lit(" "), b["name"], F.lit(" keywords")))))[0]
-    return F.coalesce(*cases, by_words, answer(F.lit("other"), 0.3, F.lit("No specific page type detected")))
+        return F.struct(F.lit(name).alias("page_type"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+
+    other = answer("other", 0.3, "No specific page type detected")
+    cases = [F.when(c, answer(n, 0.85, f"URL matches {n} pattern: {p}")) for c, n, p in by_url]
+    # All answers stand in a list, for each count those of the types, the first type last: the greatest place holds each
+    # count once, where a comparison of all counts would count each word several times.
+    names = list(fv.PAGE_TEXT_WORDS)[::-1]
+    most = max(map(len, fv.PAGE_TEXT_WORDS.values()))
+    answers = F.array(*[answer(name, 0.70, f"{n} {name} keywords") if n >= 3 else other for n in range(most + 1) for name in names])
+    place = F.greatest(*[hits(text, fv.PAGE_TEXT_WORDS[name]) * len(names) + i for i, name in enumerate(names)])
+    return F.coalesce(F.when(has_any(u, [p for _, _, p in by_url]), F.coalesce(*cases)), F.get(answers, place), other)
 
 
 def category_text(html: Column) -> Column:

@@ -1,8 +1,7 @@
 """Mining of links, elements, tables and text lines from page HTML."""
 from __future__ import annotations
 
-from itertools import accumulate, chain
-
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -65,15 +64,16 @@ def categorised_links(links: DataFrame) -> DataFrame:
 ELEMENT = pa.struct([("order", pa.int32()), ("tag", pa.string()), ("keyword", pa.string()), *[(c, pa.int32()) for c in ("start", "size", "source", "source_size")]])
 TABLES = pa.list_(pa.struct([("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))),
                              ("row_count", pa.int32()), ("text", pa.string())]))
+HINT = pa.struct([("type", pa.string()), ("value", pa.float64()), ("source", pa.string())])
 #: Characters of HTML whose findings a task holds at a time; a longer page is held alone.
 HELD_CHARS = 1 << 20
 
 
-def lists_of(kind: pa.StructType, lists: list[list[tuple]]) -> pa.Array:
-    """Lists of tuples as one Arrow array of lists of structs."""
-    ends = pa.array([0, *accumulate(map(len, lists))], pa.int32())
-    columns = list(zip(*chain.from_iterable(lists))) or [[]] * kind.num_fields
-    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind)))
+def lists_of(kind: pa.StructType, pages: int, page: np.ndarray, *columns) -> pa.Array:
+    """Rows that come page after page as one Arrow array of lists of structs, a list per page; names as (number, list of names)."""
+    ends = pa.array(np.searchsorted(page, np.arange(pages + 1)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(
+        [pa.array(c[1], f.type).take(pa.array(c[0])) if isinstance(c, tuple) else pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind)))
 
 
 def held_pages(batch: pa.RecordBatch):
@@ -90,9 +90,11 @@ def held_pages(batch: pa.RecordBatch):
         yield batch.slice(start, len(held)), held
 
 
-def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, snippet: int = 500) -> DataFrame:
+def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, snippet: int = 500, hints: bool = False) -> DataFrame:
     """Per page its text, the elements with a keyword in page order and the tables, from one parse in Arrow batches.
 
+    Where asked for, `price_hints` are the amounts of these elements, best element first, and `untagged` is the HTML without its tags.
+
     Elements say where their text stands in the page's text and where their source stands in its HTML, so nested
     ones repeat nothing. A page that the parser gives up on keeps what was read till then, and `error` says why.
     Everything after it works on these arrays in place: no shuffle, however large a site is.
@@ -100,6 +102,8 @@ def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, sn
     schema = ("page_id bigint, url string, html string, page_text string, "
               "elements array<struct<order: int, tag: string, keyword: string, start: int, size: int, source: int, source_size: int>>, "
               "tables array<struct<headers: array<string>, rows: array<array<string>>, row_count: int, text: string>>, error string")
+    if hints:
+        schema += ", price_hints array<struct<type: string, value: double, source: string>>, untagged string"
 
     def tables_of(root):
         return [{"headers": t.headers, "rows": t.rows, "row_count": t.row_count, "text": t.text} for t in html_tree.tables(root)]
@@ -107,17 +111,24 @@ def parse_pages(pages: DataFrame, elements: bool = True, tables: bool = True, sn
     def parse(batches):
         for batch in batches:
             for part, htmls in held_pages(batch):
-                texts, found, listed, errors = [], [], [], []
+                of, listed, errors, untagged = html_tree.ElementTexts(), [], [], []
                 for html in htmls:  # one page at a time, so that one tree is held at a time
                     p = html_tree.page(html)
-                    texts.append(p.text)
-                    found.append(html_tree.worded_elements(p, fv.ELEMENT_TAG_WEIGHTS, fv.ELEMENT_WORD_WEIGHTS, longest=snippet) if elements else [])
+                    of.add(p)
                     listed.append(tables_of(p.root) if tables else [])
                     errors.append(p.error)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id").cast(pa.int64()), part.column("url"), part.column("html"), pa.array(texts, pa.string()),
-                     lists_of(ELEMENT, found), pa.array(listed, TABLES), pa.array(errors, pa.string())],
-                    names=["page_id", "url", "html", "page_text", "elements", "tables", "error"])
+                    untagged.append(None if html is None else p.untagged)
+                columns = {"page_id": part.column("page_id").cast(pa.int64()), "url": part.column("url"), "html": part.column("html"), "page_text": pa.array(of.texts, pa.string())}
+                found = html_tree.WordedElements(of, fv.ELEMENT_TAG_WEIGHTS, fv.ELEMENT_WORD_WEIGHTS, longest=snippet) if elements or hints else None
+                columns["elements"] = pa.array([[]] * len(htmls), pa.list_(ELEMENT)) if not elements else lists_of(
+                    ELEMENT, len(htmls), found.page, found.order, (found.tag, found.tags), (found.word, found.words), found.start, found.size, found.source, found.source_size)
+                columns |= {"tables": pa.array(listed, TABLES), "error": pa.array(errors, pa.string())}
+                if hints:
+                    page, kind, value, tag, word = found.price_hints()
+                    sources = [f"{t}.{w}" for t in found.tags for w in found.words]
+                    columns["price_hints"] = lists_of(HINT, len(htmls), page, (kind, html_tree.KINDS), value, (tag * len(found.words) + word, sources))
+                    columns["untagged"] = pa.array(untagged, pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return pages.select("page_id", "url", "html").mapInArrow(parse, schema)
 
@@ -172,9 +183,9 @@ def list_confidence(groups: Column) -> Column:
     return F.round(F.least(0.5 + groups * 0.15, F.lit(0.95)), 2)
 
 
-def is_listing_table(t: Column) -> Column:
-    """At least two rows, and columns of at least two of the four kinds."""
-    return (F.size(t["headers"]) > 0) & (F.size(t["rows"]) >= 2) & (page_rules.header_groups(t["headers"]) >= 2)
+def is_listing_table(t: Column, groups: Column | None = None) -> Column:
+    """At least two rows, and columns of at least two of the four kinds; their number may be given."""
+    return (F.size(t["headers"]) > 0) & (F.size(t["rows"]) >= 2) & ((page_rules.header_groups(t["headers"]) if groups is None else groups) >= 2)
 
 
 def listing_tables(tables: DataFrame) -> DataFrame:
@@ -221,18 +232,15 @@ def context_bundle(pages: DataFrame, shown_tables: int = 3, shown_rows: int = 5)
     The two limits are for display; the hints come from all tables and whole texts.
     """
     hint = lambda source, n, c: F.struct(F.lit(source).alias("source"), n.alias("count"), F.lit(c).alias("confidence"))
-    parsed = parse_pages(pages).withColumns({"type_text": page_rules.page_type_text(F.col("html")), "data": with_data(F.col("tables")), "best": best_elements(F.col("elements"))})
+    parsed = parse_pages(pages, elements=False, hints=True).withColumns({"type_text": page_rules.page_type_text_of_untagged(F.col("untagged")), "data": with_data(F.col("tables"))})
     numbered = F.transform("data", lambda t, i: F.struct(i.alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"), page_rules.header_groups(t["headers"]).alias("groups")))
-    priced = F.filter("best", lambda e: e["keyword"].isin(*fv.PRICE_WORDS))
-    prices = F.flatten(F.transform(priced, lambda e: F.transform(page_rules.prices(element_text(e)), lambda v: F.struct(
-        page_rules.price_kind(element_text(e)).alias("type"), v.alias("value"), F.concat_ws(".", e["tag"], e["keyword"]).alias("source")))))
     kind = page_rules.page_type(F.col("url"), F.col("type_text"))
     hints = parsed.select(
         "page_id", kind.alias("kind"), F.transform(F.slice("data", 1, shown_tables), lambda t: F.struct(t["headers"].alias("headers"), F.slice(t["rows"], 1, shown_rows).alias("rows"))).alias("tables"),
-        prices.alias("price_hints"),
+        "price_hints",
         F.transform(F.filter("tables", counts_team_rows), lambda t: hint("standings_table", t["row_count"] - 1, 0.85)).alias("table_counts"),
         F.transform(page_rules.team_counts(F.col("type_text")), lambda n: hint("text_mention", n, 0.7)).alias("text_counts"),
-        F.transform(F.filter(numbered, is_listing_table), lambda t: F.struct(
+        F.transform(F.filter(numbered, lambda t: is_listing_table(t, t["groups"])), lambda t: F.struct(
             t["table_index"].alias("table_index"), t["headers"].alias("headers"), t["rows"].alias("rows"),
             list_confidence(t["groups"]).alias("confidence"))).alias("list_hints"))
     return hints.select(

@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from clubsieve.functions import html_tree
+from clubsieve.functions import fixed_values as fv, html_tree, pages as page_rules
 from clubsieve.operators import mining
 from clubsieve.sources import responses
 
@@ -213,3 +213,45 @@ def test_a_bundle_reads_each_page_once(spark):
     assert "Join" not in plan and plan.count("MapInArrow") == 1
     plan = mining.discovered_links(pages_of(spark, PAGE))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_hints_of_a_bundle_are_those_of_its_elements(spark):
+    """Elements that begin or end inside an amount, as texts are joined without a space, take their own part of it."""
+    pieces = ["<p>", "</p>", "<div class='nav x'>", "</div>", "<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<span>", "</span>", "<b>", "</b>", "Team fee ", "COST ", "$", "12", "3,456.7", ",234",
+              ".50", "5 Teams", "player", "İndividual price", "é", "９", " > ", "&amp;", "<script>fee 1</script>", "<!-- 7 -->"]
+    rnd = random.Random(5)
+    htmls = ["<div>Team fee $1<span>2 cost</span></div>", None, *BAD_PAGES, *["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 40))) for _ in range(400)]]
+    df = pages_of(spark, *htmls)
+    scored = mining.scored_elements(df)
+    hints = mining.price_hints(scored).join(scored.select("page_id", "element_order", "element_rank"), ["page_id", "element_order"])
+    wanted = {i: [] for i in range(len(htmls))}
+    for r in sorted(hints.collect(), key=lambda r: (r.page_id, r.element_rank, r.n)):
+        wanted[r.page_id].append((r.kind, r.value, r.source))
+    got = {r.page_id: [(h.type, h.value, h.source) for h in r.price_hints] for r in mining.context_bundle(df).collect()}
+    assert got == wanted and sum(map(len, got.values())) > 500 and got[0] == [("team_fee", 12.0, "div.team fee"), ("unknown", 2.0, "span.cost")]
+    types = {r.page_id: (r.page_type, r.confidence) for r in mining.page_types(df).collect()}
+    assert {r.page_id: (r.page_type, r.page_confidence) for r in mining.context_bundle(df).collect()} == types
+    of = mining.parse_pages(df, hints=True).select(page_rules.page_type_text(F.col("html")).alias("a"), page_rules.page_type_text_of_untagged(F.col("untagged")).alias("b"))
+    assert [r for r in of.collect() if r.a != r.b] == []
+
+
+def test_a_bundle_searches_texts_once(spark):
+    """Elements lie in each other: a search of each one's text for its amounts, and again for each amount, grew with the square of a table's rows."""
+    plan = mining.context_bundle(pages_of(spark, PAGE))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(page_text" not in plan
+
+
+def test_page_type_by_words(spark):
+    words = fv.PAGE_TEXT_WORDS
+    texts = [" ".join(words[a][:n] + words[b][:m]) for a in words for b in words for n in (0, 2, 3, 8) for m in (0, 2, 3, 8)] + [None, ""]
+    df = spark.createDataFrame([(t, u) for t in texts for u in ("https://a.com/", "https://a.com/Games/register", None)], "t string, u string")
+    for r in df.select("t", "u", page_rules.page_type(F.col("u"), F.col("t")).alias("k")).collect():
+        counts = {name: sum(w in (r.t or "") for w in ws) for name, ws in words.items()}
+        best = max(counts, key=counts.get)
+        paths = [(n, p) for n, ps in fv.PAGE_PATH_PATTERNS.items() for p in ps if p in (r.u or "").lower()]
+        if paths:
+            assert tuple(r.k) == (paths[0][0], 0.85, f"URL matches {paths[0][0]} pattern: {paths[0][1]}")
+        elif counts[best] >= 3:
+            assert tuple(r.k) == (best, 0.7, f"{counts[best]} {best} keywords")
+        else:
+            assert tuple(r.k) == ("other", 0.3, "No specific page type detected")
